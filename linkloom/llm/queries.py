@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import table
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.simhash import NearDup, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=4, max_bits=4, seed=42))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.packing import pack
 
@@ -19,6 +26,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
