@@ -35,6 +35,13 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.media import interleave
+
+    found = interleave(table(spark, sf_dir, "documents")).where("kind = 'media'")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.simhash import NearDup, near_duplicates
 
@@ -53,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_warc": op4_warc,
+    "op7_media_columns": op7_media_columns,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_packing": op10_packing,
 }
