@@ -18,6 +18,38 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same mix by sorting: running sums in hash order, and the hash nearest to each budget.
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE C ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+l AS (
+  SELECT *, source_size::DOUBLE / weight AS ratio,
+         (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / weight, source ASC NULLS LAST)),
+f AS (SELECT level AS final FROM l WHERE level * weight < 2 * source_size ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least(coalesce((SELECT final FROM f) * weight, 2.0 * source_size), 2.0 * source_size)::DOUBLE AS target FROM l),
+h AS (SELECT source, h, sum(size) AS size FROM d GROUP BY ALL),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM h),
+b AS (SELECT source, source_size, target, c, least(greatest(target - c * source_size, 0), source_size) AS budget FROM t, (VALUES (0), (1)) v(c)),
+k AS (
+  SELECT r.source, r.h, sum(CASE WHEN upto <= budget OR (upto - size <= budget AND 2 * (budget - (upto - size)) >= size) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source GROUP BY ALL)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.warc import archive_and_read
 
@@ -59,11 +91,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_source_mixing": op2_source_mixing,
     "op4_warc": op4_warc,
     "op7_media_columns": op7_media_columns,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
+    "op2_source_mixing": OP2_SQL,
     "op4_warc": OP4_SQL,
 }
