@@ -74,6 +74,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.simhash import NearDup, near_duplicates
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op4_warc": op4_warc,
     "op7_media_columns": op7_media_columns,
+    "op8_url_rules": op8_url_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_packing": op10_packing,
 }
