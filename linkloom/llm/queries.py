@@ -76,6 +76,12 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.passages import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.media import interleave
 
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_order_minhash": op3_order_minhash,
     "op4_warc": op4_warc,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_url_rules": op8_url_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
