@@ -96,6 +96,19 @@ def thresholds(slim: DataFrame, budgets: DataFrame, most: int) -> DataFrame:
     return done
 
 
+def mix_plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, source, size, hash`` of each document, and ``s, source_size, target, cuts`` of each source."""
+    slim = materialise(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id").cast("long"), seed).alias("hash")), "sizes")
+    aims = materialise(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    copy = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy")
+    budgets = aims.select("source", "source_size", "target", copy).select(
+        "source", "copy", F.least(F.greatest(F.col("target") - F.col("copy") * F.col("source_size"), F.lit(0.0)), F.col("source_size").cast("double")).alias("budget")
+    )
+    cuts = thresholds(slim.select("source", "hash", "size"), budgets, most).groupBy("source").agg(F.collect_list("threshold").alias("cuts"))
+    plan = aims.withColumnRenamed("source", "s").join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("s", "source_size", "target", "cuts")
+    return slim, materialise(plan, "mix-plan")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for each document.
 
@@ -106,16 +119,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     share a hash and are taken together; null ids are such a group as well. Other columns
     are ignored; an empty table gives no rows.
     """
-    slim = materialise(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id"), seed).alias("hash")), "sizes")
-    aims = materialise(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    copy = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy")
-    budgets = aims.select("source", "source_size", "target", copy).select(
-        "source", "copy", F.least(F.greatest(F.col("target") - F.col("copy") * F.col("source_size"), F.lit(0.0)), F.col("source_size").cast("double")).alias("budget")
-    )
-    cuts = thresholds(slim.select("source", "hash", "size"), budgets, most).groupBy("source").agg(F.collect_list("threshold").alias("cuts"))
-    plan = materialise(aims.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "cuts"), "mix-plan")
-    plan = plan.withColumnRenamed("source", "s")
+    slim, plan = mix_plan(docs, weights, share, most, seed)
     copies = F.size(F.filter("cuts", lambda c: F.col("hash") < c))
     return slim.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it; only the plan of the sources is joined."""
+    _, plan = mix_plan(docs, weights, share, most, seed)
+    hashed = docs.withColumn("_hash", unit_hash(F.col("doc_id").cast("long"), seed))
+    met = hashed.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    taken = F.filter("cuts", lambda c: F.col("_hash") < c)
+    return met.select(*docs.columns, F.explode(taken).alias("_cut")).drop("_cut")

@@ -76,6 +76,12 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.weak_labels import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "weak_posterior", "keep")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.passages import remove_repeats
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_order_minhash": op3_order_minhash,
     "op4_warc": op4_warc,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_url_rules": op8_url_rules,

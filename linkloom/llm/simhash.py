@@ -275,3 +275,18 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), block: int = BLO
     roots = components(links)
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "fp2", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(found, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
+
+
+def keep_one(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: that of the smallest id.
+
+    Exact repeats of a kept row go as well. Rows without an id stay: no link can name
+    them. All columns are kept.
+    """
+    found = near_duplicates(docs, rule).select(F.col("doc_id").alias("_id"), "component_id")
+    found = materialise(found.where("_id IS NOT NULL").groupBy("_id").agg(F.min("component_id").alias("root"), F.count("*").alias("n")), "groups")
+    numbered = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    kept = numbered.join(found.where("_id = root").select("_id", "n"), "_id")
+    once = kept.where("n = 1").select(*docs.columns)
+    again = kept.where("n > 1").dropDuplicates(["_id", "text"]).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
