@@ -1,9 +1,9 @@
 """Zstandard WARC archives: a writer, and a reader that checks what it reads.
 
 An archive starts with a skippable frame that holds its dictionary; each record is one
-Zstandard frame that uses it. Archives are deterministic files named by their number, so
-a task that runs again writes the same file over; a file appears under its name only when
-it is whole. Reading goes through Spark's own binary reader, one archive a row.
+Zstandard frame that uses it. A task's archives are named by its number and hold its
+sorted pages, so a task that runs again writes the same files over; a file appears under
+its name only when it is whole. Reading goes through Spark's own binary reader, one archive a row.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import scratch_path
+from linkloom.llm.common import materialise, scratch_path
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -193,48 +194,47 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """``page_id, url, payload, digest, kind, refers_to``: what is written for each page.
 
     Of pages with one payload of at least ``REVISIT_BYTES`` bytes, those of the largest
-    ``page_id`` are responses. The groups are counted on digests alone and joined back by
-    digest; the join's skew is split at run time.
+    ``page_id`` are responses. The groups are found on ids and digests alone; payloads
+    only meet the revisits, by page.
     """
-    slim = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    groups = (
-        slim.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-        .where("n > 1").select("digest", "keeper")
-    )
-    revisit = F.col("keeper").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper")))
-    return slim.join(groups, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("keeper")).alias("refers_to")
+    each = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
+    slim = materialise(each.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest"), "digests")
+    groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
+    revisits = slim.distinct().join(groups, "digest").where("page_id IS NULL OR page_id < refers_to")
+    revisits = materialise(revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to"), "revisits")
+    return each.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select(
+        "page_id", "url", "payload", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("kind"), "refers_to"
     )
 
 
-def write_archives(pages: DataFrame, folder: str, n_archives: int) -> DataFrame:
-    """Write ``pages`` as ``n_archives`` archives; a page's archive follows from its id and payload."""
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write ``pages``: each task sorts its pages by id and starts a new archive after ``archive_bytes`` of payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, records = None, []
+        part, size = TaskContext.get().partitionId(), 0
+        records: list[bytes] = []
         names, counts, sizes = [], [], []
 
         def close() -> None:
             data = make_archive(records)
-            names.append(put_file(folder, f"part-{number:06d}.warc.zst", data))
+            names.append(put_file(folder, f"part-{part:06d}-{len(names):04d}.warc.zst", data))
             counts.append(len(records))
             sizes.append(len(data))
             records.clear()
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != number:
-                    if records:
-                        close()
-                    number = row[0]
-                records.append(make_record(*row[1:]))
+                records.append(make_record(*row))
+                size += len(records[-1])
+                if size >= archive_bytes:
+                    close()
+                    size = 0
         if records:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=WRITTEN.names)
 
-    number = F.pmod(F.xxhash64("page_id", "digest"), F.lit(n_archives)).cast("int").alias("number")
-    rows = plan_records(pages).select(number, "page_id", "url", "payload", "digest", "kind", "refers_to")
-    return rows.repartition(n_archives, "number").sortWithinPartitions("number", "page_id", "url").mapInArrow(run, WRITTEN)
+    rows = plan_records(pages).select("page_id", "url", "payload", "digest", "kind", "refers_to")
+    return rows.sortWithinPartitions("page_id", "digest", "url").mapInArrow(run, WRITTEN)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -271,9 +271,7 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, payloads: bool
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    size = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    n_archives = max(1, -(-(size.n + 500 * size.rows) // archive_bytes))
-    written = write_archives(pages, folder, n_archives).agg(F.sum("records")).first()[0]
+    written = write_archives(pages, folder, archive_bytes).agg(F.sum("records")).first()[0]
     if not written:
         return spark.createDataFrame([], READ)
     return read_archives(spark, folder, payloads)
