@@ -113,8 +113,8 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _keyed(classes: DataFrame, rule: NearDup) -> DataFrame:
-    """A row for each class and key: under its own (``own``) and under those one bit off."""
+def _keyed(classes: DataFrame, rule: NearDup, own_only: bool = False) -> DataFrame:
+    """A row for each class and key: under its own (``own``) and under those one bit off, unless ``own_only``."""
     parts = segments(rule.max_bits)
     rows = []
     for i, (at, n) in enumerate(parts):
@@ -122,18 +122,19 @@ def _keyed(classes: DataFrame, rule: NearDup) -> DataFrame:
         head = F.shiftrightunsigned("fp", at).bitwiseAND((1 << n) - 1)
         tail = F.shiftrightunsigned("fp", bt).bitwiseAND((1 << k) - 1)
         own = F.lit(i).cast("long") * F.lit(1 << 40) + head * F.lit(1 << k) + tail
-        flips = [0, *(1 << b for b in range(k))]
+        flips = [0] if own_only else [0, *(1 << b for b in range(k))]
         rows += [F.struct(own.bitwiseXOR(F.lit(x).cast("long")).alias("key"), F.lit(x == 0).alias("own")) for x in flips]
     return classes.select("rep", "fp", "fp2", F.explode(F.array(*rows)).alias("k")).select("k.key", "k.own", "rep", "fp", "fp2")
 
 
-def _blocked(keyed: DataFrame, block: int) -> DataFrame:
-    """Adds ``role`` (0 both sides, 1 right only, 2 left only) and the pair of blocks ``pair``.
+def _blocked(classes: DataFrame, rule: NearDup, block: int) -> DataFrame:
+    """``_keyed`` with ``role`` (0 both sides, 1 right only, 2 left only) and the pair of blocks ``pair``.
 
     Only keys with over ``block`` own members are cut; there are at most
     (max_bits + 1) * classes / block of them.
     """
-    heavy = keyed.where("own").groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    keyed = _keyed(classes, rule)
+    heavy = _keyed(classes, rule, own_only=True).groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     if heavy.isEmpty():
         return keyed.select("key", F.lit(0).alias("pair"), F.when(F.col("own"), 0).otherwise(1).alias("role"), "rep", "fp", "fp2")
     n, own = F.coalesce("n", F.lit(1)), F.pmod(F.xxhash64("rep"), F.coalesce("n", F.lit(1))).cast("int")
@@ -266,9 +267,11 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), block: int = BLO
     """
     prints = materialise(fingerprints(docs, rule), "fingerprints")
     classes = materialise(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    named = classes.where("rep IS NOT NULL")
+    # Each class becomes many rows: they are made by as many tasks as will sort them.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = classes.where("rep IS NOT NULL").repartition(tasks)
     if rule.max_bits:
-        keyed = _blocked(_keyed(named, rule), block)
+        keyed = _blocked(named, rule, block)
         links = keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(rule), LINKS)
     else:
         links = named.limit(0).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
