@@ -4,16 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import packing
+from linkloom.llm import mixing, packing, passages, simhash, weak_labels
 from linkloom.llm.common import materialise, table
 
+#: Shingles of five words; 9 of 64 differing bits estimate a Jaccard similarity of 0.8
+#: (20 of 128 over both fingerprints, which keeps chance links out).
+NEAR_DUP = simhash.NearDup(width=5, max_bits=9, check_bits=20)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps."""
+    return weak_labels.classify(docs).where("keep").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs, NEAR_DUP)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that an earlier one has."""
+    return passages.remove_repeats(docs).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of their sources takes them."""
+    return mixing.mixed(docs)
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents as pieces of packed sequences."""
+    """The documents as pieces of packed sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("source mixing", source_mix),
+    ("packing", packed),
+]
+#: The stages hash, tokenize and learn; SQL cannot express them.
 ORACLE_SQL = None
 
 
@@ -23,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, name.replace(" ", "_"))
+            docs = materialise(docs, name.replace(" ", "-"))
     return docs
