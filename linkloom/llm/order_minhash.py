@@ -42,28 +42,34 @@ def kmer_hashes(text: Column, width: int = WIDTH) -> Column:
 def numbered(kmers: Column) -> Column:
     """(hash of k-mer and occurrence number, position) of each k-mer.
 
-    Sorting (hash, position) brings equal k-mers together in text order; where a run of
-    them starts, its slice numbers its members.
+    Most texts repeat no k-mer and number all of them 0. Else sorting (hash, position)
+    brings equal k-mers together in text order; where a run of them starts, its slice
+    numbers its members.
     """
-    pairs = F.array_sort(F.transform(kmers, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
 
-    def number(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["h"] != F.get(s, i - 1)["h"]))
-        return _let(
-            starts,
-            lambda at: F.flatten(F.transform(at, lambda a, r: F.transform(
-                F.slice(s, a + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - a), lambda x, n: F.struct(F.xxhash64(x["h"], n).alias("h"), x["p"].alias("p"))
-            ))),
-        )
+    def runs(k: Column) -> Column:
+        pairs = F.sort_array(F.transform(k, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+
+        def number(s: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["h"] != F.get(s, i - 1)["h"]))
+            return _let(
+                starts,
+                lambda at: F.flatten(F.transform(at, lambda a, r: F.transform(
+                    F.slice(s, a + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - a), lambda x, n: F.struct(F.xxhash64(x["h"], n).alias("h"), x["p"].alias("p"))
+                ))),
+            )
+
+        return _let(pairs, number)
 
     none = F.array().cast("array<struct<h:bigint,p:int>>")
-    return _let(pairs, lambda s: F.when(F.size(s) == 0, none).otherwise(number(s)))
+    single = lambda k: F.transform(k, lambda h, i: F.struct(F.xxhash64(h, F.lit(0)).alias("h"), i.alias("p")))
+    return _let(kmers, lambda k: F.when(F.size(k) == 0, none).when(F.size(F.array_distinct(k)) == F.size(k), single(k)).otherwise(runs(k)))
 
 
 def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS) -> Column:
     """The fingerprint's entries; ``orders`` must be a power of two. Empty without a word."""
     shift = 64 - (orders.bit_length() - 1)
-    ranked = F.array_sort(numbered(kmer_hashes(text, width)))
+    ranked = F.sort_array(numbered(kmer_hashes(text, width)))
 
     def pick(s: Column) -> Column:
         n = F.size(s)
@@ -78,7 +84,7 @@ def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int =
                     later = F.size(F.filter(hs, lambda p: p < j))
                     start = F.coalesce(F.get(at, later), F.lit(0))
                     taken = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(length)) - 1), lambda k: F.get(s, (start + k) % n))
-                    in_text = F.array_sort(F.transform(taken, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"))))
+                    in_text = F.sort_array(F.transform(taken, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"))))
                     return F.xxhash64(F.transform(in_text, lambda x: x["h"]))
                 return F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), one)
             return _let(heads, by_heads)
@@ -134,22 +140,24 @@ def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, or
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = fingerprint(docs, width, length, orders)
-    # (smallest text's hash, its id's place) and how many characters the id before asks for.
-    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    ids = materialise(slim.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("h"), F.max("n").alias("n")), "ids")
+    text = F.coalesce("text", F.lit(""))
+    # Every text is sketched once; what follows joins the sketches, not the texts.
+    own = materialise(fingerprint(docs, width, length, orders).select("doc_id", "n_chars", "sketch", F.xxhash64("text").alias("h")), "sketches")
+    # Of each id its smallest text's hash, and how many characters it asks of the next.
+    ids = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("h"), F.max("n_chars").alias("n"))
+    ids = materialise(ids, "ids")
     order = successors(ids.select("doc_id"), parts)
-    asked = order.join(ids.select("doc_id", (F.floor(F.col("n") / 2)).cast("int").alias("need")), "doc_id").select(F.col("doc_id").alias("asker"), "next_id", "need")
+    asked = order.join(ids.select("doc_id", F.floor(F.col("n") / 2).cast("int").alias("need")), "doc_id").select(F.col("doc_id").alias("asker"), "next_id", "need")
     asked = materialise(asked.join(ids.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h")), "next_id"), "asked")
-    supply = own.withColumn("h", F.xxhash64("text")).join(asked, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h"))).select(
-        "asker", F.expr("substr(text, 1, need)").alias("lent"), F.col("sketch").alias("next_sketch")
-    )
-    supply = supply.groupBy("asker").agg(F.first("lent").alias("lent"), F.first("next_sketch").alias("next_sketch"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.expr("substr(text, 1, cast(n_chars - floor(n_chars / 2) as int))"), F.coalesce(F.substr("lent", F.lit(1), half), F.lit("")))
-    none = F.array().cast("array<bigint>")
-    met = own.join(supply, F.col("doc_id") == F.col("asker"), "left").withColumn("edited", edited).withColumn("next_sketch", F.coalesce("next_sketch", none))
-    met = met.withColumn("edited_sketch", sketch(F.col("edited"), width, length, orders))
+    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    supply = texts.withColumn("h", F.xxhash64("text")).join(asked, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h"))).select("asker", F.expr("substr(text, 1, need)").alias("lent"))
+    lent = supply.groupBy("asker").agg(F.first("lent").alias("lent"))
+    n_half = F.expr("cast(floor(length(text) / 2) as int)")
+    edited = F.concat(F.expr("substr(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.coalesce(F.substr("lent", F.lit(1), n_half), F.lit("")))
+    edits = texts.join(lent, F.col("doc_id") == F.col("asker"), "left").select("doc_id", F.xxhash64("text").alias("h"), "text", edited.alias("edited")).withColumn("edited_sketch", sketch(F.col("edited"), width, length, orders))
+    following = asked.join(own.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("sketch").alias("next_sketch")).dropDuplicates(["next_id", "next_h"]), ["next_id", "next_h"]).select("asker", "next_sketch")
+    sketches = own.dropDuplicates(["doc_id", "h"]).join(following, F.col("doc_id") == F.col("asker"), "left").select(F.col("doc_id").alias("i"), F.col("h").alias("t"), "n_chars", "sketch", F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
+    met = edits.join(sketches, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t")))
     return met.select(
         "doc_id", "n_chars", "text", "edited", "sketch", "edited_sketch",
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
