@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder, as in local tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/linkloom"
+#: Starts the names of columns that an operator adds beside those of its input.
+HELPER = "__linkloom_"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

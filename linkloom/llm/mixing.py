@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialise
+from linkloom.llm.common import HELPER, materialise
 
 #: Hash bits of a level's histogram: at most 4096 buckets a source and budget.
 LEVEL_BITS = 12
@@ -129,7 +129,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it; only the plan of the sources is joined."""
     _, plan = mix_plan(docs, weights, share, most, seed)
-    hashed = docs.withColumn("_hash", unit_hash(F.col("doc_id").cast("long"), seed))
-    met = hashed.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    taken = F.filter("cuts", lambda c: F.col("_hash") < c)
-    return met.select(*docs.columns, F.explode(taken).alias("_cut")).drop("_cut")
+    source, cuts, hashed, cut = (f"{HELPER}{x}" for x in ("source", "cuts", "hash", "cut"))
+    plan = plan.select(F.col("s").alias(source), F.col("cuts").alias(cuts))
+    met = docs.withColumn(hashed, unit_hash(F.col("doc_id").cast("long"), seed)).join(plan, F.col("source").eqNullSafe(F.col(source)))
+    taken = F.filter(cuts, lambda c: F.col(hashed) < c)
+    return met.select(*docs.columns, F.explode(taken).alias(cut)).drop(cut)

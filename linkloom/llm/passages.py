@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import materialise
+from linkloom.llm.common import HELPER, materialise
 
 #: Words on either side that a cut's hash must be below; units have REACH + 1 words at least, about 2 * REACH + 1 on average.
 REACH = 2
@@ -113,14 +113,16 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
     Documents rank by ``doc_id``, null ids last; the earliest keeps a passage. Rows that
     share an id rank alike and keep the same passages. A null text stays null, a text
-    that repeats whole becomes empty, and no row is dropped. An empty table gives no rows.
+    that repeats whole becomes empty, and no row is dropped. A column ``removed`` of the
+    input is replaced. An empty table gives no rows.
     """
     listed = materialise(unit_digests(docs), "units")
     each = listed.select("doc_id", F.explode("digests").alias("digest"))
     shared = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
     later = each.join(shared, "digest").where("doc_id IS NULL OR doc_id > first")
-    earlier = later.groupBy("doc_id").agg(F.collect_list("digest").alias("earlier")).select(F.col("doc_id").alias("_id"), F.col("earlier").alias("_earlier"))
-    joined = docs.join(earlier, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    docs, rank = docs.drop("removed"), f"{HELPER}id"
+    earlier = later.groupBy("doc_id").agg(F.collect_list("digest").alias(f"{HELPER}earlier")).withColumnRenamed("doc_id", rank)
+    joined = docs.join(earlier, F.col("doc_id").cast("long").eqNullSafe(F.col(rank)), "left").drop(rank)
 
     names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import materialise
+from linkloom.llm.common import HELPER, materialise
 from linkloom.llm.components import components
 
 #: Members of a key that one task compares; larger keys become pairs of blocks of this size.
@@ -286,10 +286,10 @@ def keep_one(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
     Exact repeats of a kept row go as well. Rows without an id stay: no link can name
     them. All columns are kept.
     """
-    found = near_duplicates(docs, rule).select(F.col("doc_id").alias("_id"), "component_id")
-    found = materialise(found.where("_id IS NOT NULL").groupBy("_id").agg(F.min("component_id").alias("root"), F.count("*").alias("n")), "groups")
-    numbered = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    kept = numbered.join(found.where("_id = root").select("_id", "n"), "_id")
-    once = kept.where("n = 1").select(*docs.columns)
-    again = kept.where("n > 1").dropDuplicates(["_id", "text"]).select(*docs.columns)
+    key, n = f"{HELPER}id", f"{HELPER}n"
+    found = near_duplicates(docs, rule).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count("*").alias(n))
+    kept = materialise(found.where("doc_id = root").select(F.col("doc_id").alias(key), n), "groups")
+    met = docs.join(kept, F.col("doc_id").cast("long") == F.col(key))
+    once = met.where(F.col(n) == 1).select(*docs.columns)
+    again = met.where(F.col(n) > 1).dropDuplicates([key, "text"]).select(*docs.columns)
     return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
