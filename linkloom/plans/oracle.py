@@ -190,7 +190,7 @@ LISTS = "SELECT s1_id AS source1_entity_id, coalesce({0}, '') AS {0} FROM s1 LEF
 
 
 def feature_sql(*names: str) -> str:
-    return sql(*TO_MET, select="SELECT s1_id, t_id, " + ", ".join(f"round({FEATURES[n]}, 6) AS {n}" for n in names) + " FROM met")
+    return sql(*TO_MET, select="SELECT s1_id, t_id, " + ", ".join(f"round(({FEATURES[n]})::DOUBLE, 6) AS {n}" for n in names) + " FROM met")
 
 
 SWEEP = " UNION ALL ".join(
