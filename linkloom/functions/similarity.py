@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -129,7 +130,7 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
 
 
 KERNELS = {"ratio": ratio, "partial": partial_ratio, "token_set": token_set_ratio, "token_sort": token_sort_ratio, "jw": jaro_winkler}
-STRINGS = "struct<" + ",".join(f"{k}:double" for k in KERNELS) + ">"
+STRINGS = T.StructType([T.StructField(k, T.DoubleType()) for k in KERNELS])
 
 
 @F.pandas_udf(STRINGS)

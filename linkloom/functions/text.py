@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.functions import lexicon
 
@@ -81,7 +82,7 @@ def plain_text(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def transliterate(text: pd.Series) -> pd.Series:
     return text.map(plain_text)
 
