@@ -63,25 +63,29 @@ def ratio(a: str, b: str) -> float:
     return 2 * common_length(a, b) / n if n else 1.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ``ratio`` of the shorter string and a window of the longer, windows cut short at both ends included."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 1.0 if not b else 0.0
+def _best_window(a: str, b: str) -> float:
+    """Best ``ratio`` of ``a`` and a window of ``b`` of its length, or shorter at either end."""
     best, m, letters = 0.0, len(a), set(a)
     for i in range(1 - m, len(b)):
         lo, hi = max(0, i), min(len(b), i + m)
         if hi - lo == m and b[hi - 1] not in letters:
             continue  # the window one to the left is as good
-        bound = 2 * (hi - lo) / (m + hi - lo)
-        if bound > best:
+        if 2 * (hi - lo) / (m + hi - lo) > best:
             best = max(best, ratio(a, b[lo:hi]))
             if best == 1.0:
                 break
     return best
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """Best ``ratio`` of the shorter string and a window of the longer; either way round for equal lengths."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 1.0 if not b else 0.0
+    return max(_best_window(a, b), _best_window(b, a)) if len(a) == len(b) else _best_window(a, b)
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 

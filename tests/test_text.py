@@ -79,8 +79,9 @@ def test_string_scores(a, b):
         assert f(a, a) == 1 or not a.split()
     short, long = sorted((a, b), key=len)
     if short:
-        windows = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
-        assert similarity.partial_ratio(a, b) == pytest.approx(max((similarity.ratio(short, w) for w in windows if w), default=0.0))
+        sides = [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]
+        windows = [(x, y[max(0, i) : i + len(x)]) for x, y in sides for i in range(1 - len(x), len(y))]
+        assert similarity.partial_ratio(a, b) == pytest.approx(max((similarity.ratio(x, w) for x, w in windows if w), default=0.0))
 
 
 @settings(max_examples=150, deadline=None)
