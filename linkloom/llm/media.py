@@ -229,7 +229,8 @@ def media_features(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types))], names=FEATURES.names)
 
     each = stored.where("media IS NOT NULL").select("digest", "media").mapInArrow(run, FEATURES)
-    return each.groupBy("digest").agg(*(F.min(c).alias(c) for c in FEATURES.names[1:]))
+    # Written, so that the join to come has plain shuffles on both sides, whose hot digests Spark can split.
+    return materialise(each.groupBy("digest").agg(*(F.min(c).alias(c) for c in FEATURES.names[1:])), "media-features")
 
 
 def interleave(docs: DataFrame) -> DataFrame:
