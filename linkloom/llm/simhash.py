@@ -42,12 +42,15 @@ class NearDup:
 
     ``check_bits``: if set, a second, independent fingerprint is kept, and a link also
     needs at most so many differing bits over both; it keeps chance links out when
-    ``max_bits`` is large.
+    ``max_bits`` is large. ``least_jaccard``: if set, a link's two texts must share so
+    much of their distinct shingles; each key then gives out its nearest links (a minimum
+    spanning forest by differing bits), and their texts are compared whole.
     """
 
     width: int = 5
     max_bits: int = 4
     check_bits: int | None = None
+    least_jaccard: float | None = None
     seed: int = 42
 
 
@@ -165,6 +168,34 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def nearest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indices of a minimum spanning forest of the links a-b (Boruvka's rounds, ties by index)."""
+    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, n, m = index[: len(a)], index[len(a) :], len(nodes), len(a)
+    order = np.argsort(bits, kind="stable")
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    group, kept = np.arange(n), []
+    while True:
+        apart = np.flatnonzero(group[x] != group[y])
+        if not len(apart):
+            return np.concatenate(kept) if kept else apart
+        best = np.full(n, m)
+        for side in (x, y):
+            np.minimum.at(best, group[side[apart]], rank[apart])
+        chosen = order[np.unique(best[best < m])]
+        kept.append(chosen)
+        up, u, v = np.arange(n), group[x[chosen]], group[y[chosen]]
+        while (up[u] != up[v]).any():
+            low = np.minimum(up[u], up[v])
+            np.minimum.at(up, up[u], low)
+            np.minimum.at(up, up[v], low)
+            up = up[up]
+        while (up != up[up]).any():
+            up = up[up]
+        group = up[group]
+
+
 LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
@@ -178,37 +209,48 @@ def _linker(rule: NearDup):
             mask |= ((1 << n) - 1) << at
             if 2 < length < m:
                 steps.append((np.uint64(mask), length * rule.max_bits // m))
-        chains.append(steps)
+        chains.append(steps or [(np.uint64((1 << 64) - 1), rule.max_bits)])
+
+    def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(a) <= 8:
+            return a, b, bits
+        if rule.least_jaccard is not None:
+            kept = nearest(a, b, bits)
+            return a[kept], b[kept], bits[kept]
+        a, b = forest(a, b)
+        return a, b, np.zeros(len(a), np.int64)
 
     def links(key: int, role: np.ndarray, rep: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 2)
-        us, vs = [], []
+        us, vs, ws = [], [], []
         step = max(1, STEP // max(1, len(right)))
         for at in range(0, len(left), step):
             own = left[at : at + step]
             diff = fp[own][:, None] ^ fp[right][None, :]
-            i, j = np.nonzero(rep[own][:, None] != rep[right][None, :])
+            first, most = chains[key >> 40][0]
+            i, j = np.nonzero(np.bitwise_count(diff & first) <= most)
             diff = diff[i, j]
-            for mask, most in chains[key >> 40]:
+            other = rep[own[i]] != rep[right[j]]
+            i, j, diff = i[other], j[other], diff[other]
+            for mask, most in chains[key >> 40][1:]:
                 kept = np.bitwise_count(diff & mask) <= most
                 i, j, diff = i[kept], j[kept], diff[kept]
             bits = np.bitwise_count(diff)
             kept = bits <= rule.max_bits
-            i, j = own[i[kept]], right[j[kept]]
+            i, j, bits = own[i[kept]], right[j[kept]], bits[kept].astype(np.int64)
             if rule.check_bits is not None:
-                near = bits[kept] + np.bitwise_count(fp2[i] ^ fp2[j]) <= rule.check_bits
-                i, j = i[near], j[near]
+                bits = bits + np.bitwise_count(fp2[i] ^ fp2[j])
+                near = bits <= rule.check_bits
+                i, j, bits = i[near], j[near], bits[near]
             if len(i):
                 a, b = rep[i], rep[j]
                 a, b = np.maximum(a, b), np.minimum(a, b)
-                if len(a) > 8:
-                    a, b = forest(a, b)
-                us.append(a)
-                vs.append(b)
+                for part, x in zip((us, vs, ws), spanning(a, b, bits)):
+                    part.append(x)
         if not us:
             return rep[:0], rep[:0]
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return forest(u, v) if len(us) > 1 else (u, v)
+        u, v, w = np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
+        return spanning(u, v, w)[:2] if len(us) > 1 else (u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by key and pair; the last group waits for the next batch."""
@@ -256,6 +298,25 @@ def _linker(rule: NearDup):
     return run
 
 
+def verified(links: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
+    """The links whose texts share ``least_jaccard`` of their distinct shingles; only linked texts are fetched."""
+    linked = links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(linked, "doc_id", "left_semi")
+    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "linked-texts")
+    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = (np.unique(shingle_hashes(t, rule.width, rule.seed)) for t in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= rule.least_jaccard * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=LINKS.names)
+
+    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, LINKS)
+
+
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), block: int = BLOCK) -> DataFrame:
     """``doc_id, fp, fp2, component_id`` for each document.
 
@@ -275,6 +336,8 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), block: int = BLO
         links = keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(rule), LINKS)
     else:
         links = named.limit(0).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+    if rule.max_bits and rule.least_jaccard is not None:
+        links = verified(materialise(links.distinct(), "near-links"), docs, rule)
     roots = components(links)
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "fp2", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(found, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")

@@ -253,6 +253,35 @@ def test_simhash_query_against_brute_force(spark):
     assert got == {i: (f"{fp:016x}", want[i]) for i, fp in rows}
 
 
+def test_links_are_verified(spark):
+    words = [f"w{i}" for i in range(120)]
+    vary = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, vary()), (2, vary(60)), (3, vary(60, 100)), (4, vary(10, 30, 50, 70, 90)), (5, " ".join(reversed(words)))], "doc_id long, text string")
+    rule = simhash.NearDup(max_bits=20, check_bits=60, least_jaccard=0.8)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, rule).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_nearest_links_are_a_minimum_forest():
+    rng = np.random.default_rng(3)
+    a, b, w = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400)
+    a, b, w = (x[a != b] for x in (a, b, w))
+    root = list(range(60))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    total = 0
+    for k in np.argsort(w, kind="stable"):
+        x, y = find(a[k]), find(b[k])
+        if x != y:
+            root[x] = y
+            total += w[k]
+    kept = simhash.nearest(a, b, w)
+    assert w[kept].sum() == total and len(kept) == 60 - len({find(i) for i in set(a.tolist()) | set(b.tolist())}) - (60 - len(set(a.tolist()) | set(b.tolist())))
+
+
 def test_keep_one_of_each_group(messy):
     kept = simhash.keep_one(messy).collect()
     assert sorted(kept[0].asDict()) == sorted(messy.columns)
