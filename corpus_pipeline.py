@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from linkloom.llm import mixing, packing, passages, simhash, weak_labels
 from linkloom.llm.common import materialise, table
 
-#: Shingles of five words; 9 of 64 differing bits estimate a Jaccard similarity of 0.8
-#: (20 of 128 over both fingerprints, which keeps chance links out).
-NEAR_DUP = simhash.NearDup(width=5, max_bits=9, check_bits=20)
+#: Shingles of five words. At a Jaccard similarity of 0.8 fingerprints differ in 9.7 of 64
+#: bits on average; 12 (and 24 of 128 over both fingerprints) leave room for chance, and
+#: the texts of a link must share 0.8 of their shingles.
+NEAR_DUP = simhash.NearDup(width=5, max_bits=12, check_bits=24, least_jaccard=0.8)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
