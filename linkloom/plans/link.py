@@ -19,10 +19,21 @@ class Prepared:
     n_targets: int
 
 
-def prepare(records: DataFrame, cfg: LinkConfig) -> Prepared:
-    """Normalised records with their tokens, and their keys."""
+def prepare(records: DataFrame, cfg: LinkConfig, store: str | None = None) -> Prepared:
+    """Normalised records with their tokens, and their keys.
+
+    Frequencies, probes, postings and features all read them. With ``store`` (a folder
+    that all executors share) they are written there once, keys sorted by key inside each
+    file, and read back; without it the plan repeats them.
+    """
     ready = keys.prepare(normalise(records, cfg.scripts), cfg.split_states)
-    return Prepared(ready, keys.blocking_keys(ready), ready.where("src > 1").count())
+    if store is None:
+        return Prepared(ready, keys.blocking_keys(ready), ready.where("src > 1").count())
+    spark = records.sparkSession
+    ready.write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/records")
+    ready = spark.read.parquet(f"{store}/records")
+    keys.blocking_keys(ready).sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/keys")
+    return Prepared(ready, spark.read.parquet(f"{store}/keys"), ready.where("src > 1").count())
 
 
 def candidates(p: Prepared, cfg: LinkConfig) -> DataFrame:

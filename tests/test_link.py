@@ -118,7 +118,9 @@ def test_candidates_and_split(spark):
 def test_train_and_infer(spark, tmp_path):
     records, truth = projections.company_records(spark, SMALL), projections.company_truth(spark, SMALL)
     cfg = LinkConfig(top_m=5, train_share=50, val_share=30, scripts=False)
-    pairs = link.featured(link.prepare(records, cfg), cfg).cache()
+    stored = link.prepare(records, cfg, f"{tmp_path}/store")
+    assert sorted(map(tuple, stored.keys.collect())) == sorted(map(tuple, link.prepare(records, cfg).keys.collect()))
+    pairs = link.featured(stored, cfg).cache()
     fitted, threshold = link.train(records, truth, cfg, pairs=pairs)
     model.save(fitted, f"{tmp_path}/model")
     found = output.matches(model.predict(model.load(f"{tmp_path}/model"), pairs), threshold)
