@@ -1,5 +1,9 @@
 """The pipeline's stages on planted cases."""
 
+from collections import Counter
+
+import numpy as np
+
 import corpus_pipeline as cp
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,3 +36,100 @@ def test_run_is_registered():
 
     assert "pipeline" in entry.queries() and [n for n, _ in cp.STAGES] == ["quality classifier", "SimHash near-dedup", "substring dedup", "source mixing", "packing"]
     assert sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 10
+
+
+def brute_pipeline(rows):
+    """The kept documents and how often each is packed, without Spark."""
+    import hashlib
+
+    from linkloom.llm import mixing, passages, simhash, weak_labels
+
+    # quality
+    feats, counts = weak_labels.Features(), Counter()
+    seen = {}
+    for i, t, _ in rows:
+        data = t.encode()
+        seen[i] = (weak_labels.pattern(data, data.split()), *feats.of(data.split()))
+        counts[seen[i][0]] += 1
+    posterior, _ = weak_labels.posteriors(counts)
+    weights, bias = weak_labels.train(sorted((at.tobytes(), v.tobytes(), posterior[p]) for p, at, v in seen.values() if p > 0))
+    rows = [r for r in rows if float(weights[seen[r[0]][1]] @ seen[r[0]][2]) + bias >= 0]
+    # near copies
+    prints = {}
+    for i, t, _ in rows:
+        h = simhash.shingle_hashes(t, 5, 42)
+        prints[i] = (simhash.majority(h), simhash.majority(simhash.remix(h)), np.unique(h))
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in prints:
+        for b in prints:
+            if a < b:
+                x, y = (prints[a][0] ^ prints[b][0]).bit_count(), (prints[a][1] ^ prints[b][1]).bit_count()
+                if x <= 12 and x + y <= 24:
+                    both = len(np.intersect1d(prints[a][2], prints[b][2]))
+                    if both >= 0.8 * (len(prints[a][2]) + len(prints[b][2]) - both):
+                        p, q = sorted((find(a), find(b)))
+                        root[q] = p
+    rows = [r for r in rows if find(r[0]) == r[0]]
+    # passages
+    first = {}
+    for i, t, _ in sorted(rows):
+        for d in passages.units(t)[2]:
+            first.setdefault(d, i)
+    cut = []
+    for i, t, s in rows:
+        done, kept = 0, []
+        for a, b in passages.repeats(t, {d for d in passages.units(t)[2] if first[d] < i}):
+            kept.append(t[done:a])
+            done = b
+        cut.append((i, "".join([*kept, t[done:]]), s))
+    # mix
+    size = {i: len(t.split()) for i, t, _ in cut}
+    source = Counter()
+    for i, _, s in cut:
+        source[s] += size[i]
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(source))}
+    target, open_, left = {}, set(source), 1.5 * sum(source.values())
+    while True:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if share * weight[s] >= 2 * source[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2 * source[s]
+            left -= target[s]
+        open_ -= over
+    target |= {s: share * weight[s] for s in open_}
+    copies = Counter()
+    hashed = {i: int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16) for i in size}
+    for s in source:
+        for k in (0, 1):
+            budget, total = min(max(target[s] - k * source[s], 0), source[s]), 0
+            for i in sorted((i for i, _, x in cut if x == s), key=hashed.get):
+                total += size[i]
+                if total <= budget or (total - size[i] <= budget and 2 * (budget - total + size[i]) >= size[i]):
+                    copies[i] += 1
+    return {i: t for i, t, _ in cut}, copies
+
+
+def test_run_against_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    from linkloom.llm.packing import default_tokenizer
+
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    cut, copies = brute_pipeline(rows)
+    t = Tokenizer.from_file(default_tokenizer())
+    want = Counter({(i, *t.encode(cut[i], add_special_tokens=False).ids, 0): n for i, n in copies.items() if n})
+    got, open_ = Counter(), []
+    for r in sorted(cp.run(spark, "/root/testdata/sf0.001").collect(), key=lambda r: (r.sequence_id, r.offset)):
+        open_ += np.frombuffer(r.ids, "<u4").tolist()
+        if len(open_) == r.doc_tokens:
+            got[(r.doc_id, *open_)] += 1
+            open_ = []
+    assert got == want
