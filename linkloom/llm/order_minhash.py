@@ -67,7 +67,7 @@ def numbered(kmers: Column) -> Column:
 
 
 def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS) -> Column:
-    """The fingerprint's entries; ``orders`` must be a power of two. Empty without a word."""
+    """The fingerprint's entries (32 bits each); ``orders`` must be a power of two. Empty without a word."""
     shift = 64 - (orders.bit_length() - 1)
     ranked = F.sort_array(numbered(kmer_hashes(text, width)))
 
@@ -85,13 +85,13 @@ def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int =
                     start = F.coalesce(F.get(at, later), F.lit(0))
                     taken = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(length)) - 1), lambda k: F.get(s, (start + k) % n))
                     in_text = F.sort_array(F.transform(taken, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"))))
-                    return F.xxhash64(F.transform(in_text, lambda x: x["h"]))
+                    return F.shiftright(F.xxhash64(F.transform(in_text, lambda x: x["h"])), 32).cast("int")
                 return F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), one)
             return _let(heads, by_heads)
 
         return _let(firsts, orders_of)
 
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<int>")
     return _let(ranked, lambda s: F.when(F.size(s) == 0, none).otherwise(pick(s)))
 
 
@@ -102,8 +102,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def spelled(entries: Column) -> Column:
-    """32 bits of each entry in hex, in the orders' order."""
-    return F.array_join(F.transform(entries, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    """The entries in hex, in the orders' order."""
+    return F.array_join(F.transform(entries, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
 def successors(ids: DataFrame, parts: int) -> DataFrame:
@@ -125,40 +125,50 @@ def fingerprint(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, order
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).cast("long").alias("n_chars"), sketch(text, width, length, orders).alias("sketch"))
 
 
-def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS) -> DataFrame:
+def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, texts: bool = True) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     The edited text replaces the last ``floor(n_chars / 2)`` characters by the first as
     many (or all) of the next document, by ascending ``doc_id``; the first follows the
-    last. Of rows that share an id the one with the smallest text (by its hash) is the
-    next document of the id before. A null ``doc_id`` has no place in the order: it is
-    given back with its own fingerprint, followed by an empty document. A null text is
-    empty, repeated rows are kept, other columns are ignored, an empty table gives no
-    rows.
+    last. Of rows that share an id the one with the smallest hash of its text is the next
+    document of the id before. A null ``doc_id`` has no place in the order: it is given
+    back with its own fingerprint, followed by an empty document. A null text is empty,
+    repeated rows are kept, other columns are ignored, an empty table gives no rows.
 
-    Returns ``doc_id, n_chars, text, edited, sketch, edited_sketch, near_edited, near_next``.
+    Returns ``doc_id, n_chars, edited_sha256, sketch, edited_sketch, near_edited,
+    near_next``, and ``text, edited`` with ``texts``.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce("text", F.lit(""))
-    # Every text is sketched once; what follows joins the sketches, not the texts.
-    own = materialise(fingerprint(docs, width, length, orders).select("doc_id", "n_chars", "sketch", F.xxhash64("text").alias("h")), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.xxhash64("text")
     # Of each id its smallest text's hash, and how many characters it asks of the next.
-    ids = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("h"), F.max("n_chars").alias("n"))
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("h"), F.max(F.length("text")).alias("n"))
     ids = materialise(ids, "ids")
     order = successors(ids.select("doc_id"), parts)
     asked = order.join(ids.select("doc_id", F.floor(F.col("n") / 2).cast("int").alias("need")), "doc_id").select(F.col("doc_id").alias("asker"), "next_id", "need")
     asked = materialise(asked.join(ids.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h")), "next_id"), "asked")
-    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    supply = texts.withColumn("h", F.xxhash64("text")).join(asked, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h"))).select("asker", F.expr("substr(text, 1, need)").alias("lent"))
-    lent = supply.groupBy("asker").agg(F.first("lent").alias("lent"))
-    n_half = F.expr("cast(floor(length(text) / 2) as int)")
-    edited = F.concat(F.expr("substr(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.coalesce(F.substr("lent", F.lit(1), n_half), F.lit("")))
-    edits = texts.join(lent, F.col("doc_id") == F.col("asker"), "left").select("doc_id", F.xxhash64("text").alias("h"), "text", edited.alias("edited")).withColumn("edited_sketch", sketch(F.col("edited"), width, length, orders))
-    following = asked.join(own.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("sketch").alias("next_sketch")).dropDuplicates(["next_id", "next_h"]), ["next_id", "next_h"]).select("asker", "next_sketch")
-    sketches = own.dropDuplicates(["doc_id", "h"]).join(following, F.col("doc_id") == F.col("asker"), "left").select(F.col("doc_id").alias("i"), F.col("h").alias("t"), "n_chars", "sketch", F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
-    met = edits.join(sketches, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t")))
-    return met.select(
-        "doc_id", "n_chars", "text", "edited", "sketch", "edited_sketch",
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    # Texts are dealt out by id once: lending and editing read the same exchange, so the
+    # text's hash must not become a second join key.
+    named = rows.where("doc_id IS NOT NULL")
+    chosen = (F.col("doc_id") == F.col("next_id")) & (digest.bitwiseXOR(F.col("next_h")) == 0)
+    lent = named.join(asked, chosen).select("asker", F.expr("substr(text, 1, need)").alias("lent")).groupBy("asker").agg(F.first("lent").alias("lent"))
+    half = F.expr("cast(floor(length(text) / 2) as int)")
+    edited = F.concat(F.expr("substr(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.coalesce(F.substr("lent", F.lit(1), half), F.lit("")))
+    met = named.join(lent, F.col("doc_id") == F.col("asker"), "left").select("doc_id", "text", "lent")
+    met = met.unionByName(rows.where("doc_id IS NULL").withColumn("lent", F.lit(None).cast("string"))).withColumn("edited", edited)
+    met = materialise(
+        met.select(
+            "doc_id", digest.alias("h"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+            sketch(F.col("text"), width, length, orders).alias("sketch"), sketch(F.col("edited"), width, length, orders).alias("edited_sketch"), *(["text", "edited"] if texts else []),
+        ),
+        "sketches",
+    )
+    # Only sketches travel from here on.
+    one = met.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h")).agg(F.first("sketch").alias("next_sketch"))
+    following = asked.join(one, ["next_id", "next_h"]).select("asker", "next_sketch")
+    both = met.join(following, F.col("doc_id") == F.col("asker"), "left").withColumn("next_sketch", F.coalesce("next_sketch", F.array().cast("array<int>")))
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch",
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"), *(["text", "edited"] if texts else []),
     )

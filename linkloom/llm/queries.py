@@ -53,9 +53,9 @@ FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h JOIN t ON
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.order_minhash import compare_edited, spelled
 
-    return compare_edited(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), spelled(F.col("sketch")).alias("fingerprint"),
-        spelled(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+    return compare_edited(table(spark, sf_dir, "documents"), texts=False).select(
+        "doc_id", "n_chars", "edited_sha256", spelled(F.col("sketch")).alias("fingerprint"), spelled(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
     )
 
 
