@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder, as in local tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/linkloom"
@@ -47,3 +48,16 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     path = scratch_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table of ids that is sent to every executor at most, some 32 MB.
+BROADCAST_ROWS = 1 << 20
+
+
+def bounded(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``ids`` marked for broadcast if it has no more than ``rows`` rows, else as it is.
+
+    ``ids`` should be a written table, whose rows are counted from its files' footers. A
+    larger one is joined by whatever plan Spark picks.
+    """
+    return F.broadcast(ids) if ids.count() <= rows else ids

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import HELPER, materialise
+from linkloom.llm.common import HELPER, bounded, materialise
 from linkloom.llm.components import components
 
 #: Members of a key that one task compares; larger keys become pairs of blocks of this size.
@@ -300,8 +300,8 @@ def _linker(rule: NearDup):
 
 def verified(links: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
     """The links whose texts share ``least_jaccard`` of their distinct shingles; only linked texts are fetched."""
-    linked = links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(linked, "doc_id", "left_semi")
+    linked = materialise(links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "linked-ids")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(bounded(linked), "doc_id", "left_semi")
     texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "linked-texts")
     side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
 
@@ -349,10 +349,13 @@ def keep_one(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
     Exact repeats of a kept row go as well. Rows without an id stay: no link can name
     them. All columns are kept.
     """
-    key, n = f"{HELPER}id", f"{HELPER}n"
-    found = near_duplicates(docs, rule).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count("*").alias(n))
-    kept = materialise(found.where("doc_id = root").select(F.col("doc_id").alias(key), n), "groups")
-    met = docs.join(kept, F.col("doc_id").cast("long") == F.col(key))
-    once = met.where(F.col(n) == 1).select(*docs.columns)
-    again = met.where(F.col(n) > 1).dropDuplicates([key, "text"]).select(*docs.columns)
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    key = f"{HELPER}id"
+    found = near_duplicates(docs, rule).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count("*").alias("n"))
+    special = found.select(F.col("doc_id").alias(key), (F.col("doc_id") != F.col("root")).alias("goes"), "n").where("goes OR n > 1")
+    special = materialise(special, "special-ids")
+    # The ids that go are far fewer than those that stay; texts stay where they are while those fit a broadcast.
+    goes, repeated = (bounded(special.where(which).select(key)) for which in ("goes", "NOT goes"))
+    same = F.col("doc_id").cast("long") == F.col(key)
+    rest = docs.join(goes, same, "left_anti")
+    again = rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(repeated, same, "left_anti").unionByName(again)
