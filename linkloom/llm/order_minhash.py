@@ -140,7 +140,10 @@ def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, or
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # A cast that changes nothing would still make the two uses of these rows differ in the
+    # plan, and the exchange below would not be reused.
+    number = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(number, F.coalesce("text", F.lit("")).alias("text"))
     digest = F.xxhash64("text")
     # Of each id its smallest text's hash, and how many characters it asks of the next.
     ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("h"), F.max(F.length("text")).alias("n"))
