@@ -11,6 +11,10 @@ exact for any corpus: no bucket, partner or candidate is capped.
 Equal fingerprints are one class before any link is searched, and inside a key only a
 spanning forest of the links is given out, so a group of n copies costs about n rows.
 Keys with very many members are dealt out as pairs of blocks.
+
+Where links are verified by their texts, that forest is the first round only: groups of
+proposed links that it leaves in parts are searched again, and every link between two parts
+is given out (once, under the first key that finds it) until all are tested or joined.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from linkloom.llm.components import components
 BLOCK = 1 << 16
 #: Pairs that one NumPy step compares.
 STEP = 1 << 21
+#: Shares of the links' hashes that the rounds after the first one test; a part that a round joins is not tested in the next.
+ROUNDS = (0, 1 << 12, 1 << 16)
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LANES = np.uint64(0x0101010101010101)
 
@@ -43,8 +49,9 @@ class NearDup:
     ``check_bits``: if set, a second, independent fingerprint is kept, and a link also
     needs at most so many differing bits over both; it keeps chance links out when
     ``max_bits`` is large. ``least_jaccard``: if set, a link's two texts must share so
-    much of their distinct shingles; each key then gives out its nearest links (a minimum
-    spanning forest by differing bits), and their texts are compared whole.
+    much of their distinct shingles, compared whole. Each key first gives out its nearest
+    links (a minimum spanning forest by differing bits), then those between the parts that
+    the failed ones leave.
     """
 
     width: int = 5
@@ -116,6 +123,10 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _carried(classes: DataFrame) -> list[str]:
+    return [c for c in ("rep", "fp", "fp2", "root") if c in classes.columns]
+
+
 def _keyed(classes: DataFrame, rule: NearDup, own_only: bool = False) -> DataFrame:
     """A row for each class and key: under its own (``own``) and under those one bit off, unless ``own_only``."""
     parts = segments(rule.max_bits)
@@ -127,7 +138,7 @@ def _keyed(classes: DataFrame, rule: NearDup, own_only: bool = False) -> DataFra
         own = F.lit(i).cast("long") * F.lit(1 << 40) + head * F.lit(1 << k) + tail
         flips = [0] if own_only else [0, *(1 << b for b in range(k))]
         rows += [F.struct(own.bitwiseXOR(F.lit(x).cast("long")).alias("key"), F.lit(x == 0).alias("own")) for x in flips]
-    return classes.select("rep", "fp", "fp2", F.explode(F.array(*rows)).alias("k")).select("k.key", "k.own", "rep", "fp", "fp2")
+    return classes.select(*_carried(classes), F.explode(F.array(*rows)).alias("k")).select("k.key", "k.own", *_carried(classes))
 
 
 def _blocked(classes: DataFrame, rule: NearDup, block: int) -> DataFrame:
@@ -136,17 +147,17 @@ def _blocked(classes: DataFrame, rule: NearDup, block: int) -> DataFrame:
     Only keys with over ``block`` own members are cut; there are at most
     (max_bits + 1) * classes / block of them.
     """
-    keyed = _keyed(classes, rule)
+    keyed, carried = _keyed(classes, rule), _carried(classes)
     heavy = _keyed(classes, rule, own_only=True).groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     if heavy.isEmpty():
-        return keyed.select("key", F.lit(0).alias("pair"), F.when(F.col("own"), 0).otherwise(1).alias("role"), "rep", "fp", "fp2")
+        return keyed.select("key", F.lit(0).alias("pair"), F.when(F.col("own"), 0).otherwise(1).alias("role"), *carried)
     n, own = F.coalesce("n", F.lit(1)), F.pmod(F.xxhash64("rep"), F.coalesce("n", F.lit(1))).cast("int")
     light = F.array(F.struct(F.lit(0).alias("pair"), F.when(F.col("own"), 0).otherwise(1).alias("role")))
     other = F.sequence(F.lit(0), F.col("n") - 1)
     left = F.when(F.col("own"), F.transform(other, lambda j: F.struct((own * F.col("n") + j).alias("pair"), F.lit(2).alias("role")))).otherwise(F.array().cast("array<struct<pair:int,role:int>>"))
     right = F.transform(other, lambda j: F.struct((j * F.col("n") + own).alias("pair"), F.lit(1).alias("role")))
     spread = F.when(n == 1, light).otherwise(F.concat(left, right))
-    return keyed.join(heavy, "key", "left").select("key", "rep", "fp", "fp2", F.explode(spread).alias("s")).select("key", "s.pair", "s.role", "rep", "fp", "fp2")
+    return keyed.join(heavy, "key", "left").select("key", *carried, F.explode(spread).alias("s")).select("key", "s.pair", "s.role", *carried)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +210,12 @@ def nearest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
 LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def _linker(rule: NearDup):
+def _linker(rule: NearDup, share: tuple[int, int] | None = None):
+    """Links of each key: a spanning forest, or with ``share`` all those between two roots
+    (a seventh column) whose hash is in it, each under the first key only."""
     parts, m = segments(rule.max_bits), rule.max_bits + 1
     chains = []
+    masks = [np.uint64(((1 << n) - 1) << at) for at, n in parts]
     for i in range(m):
         mask, steps = 0, []
         for length in range(1, m + 1):
@@ -220,7 +234,17 @@ def _linker(rule: NearDup):
         a, b = forest(a, b)
         return a, b, np.zeros(len(a), np.int64)
 
-    def links(key: int, role: np.ndarray, rep: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def first_key(segment: int, diff: np.ndarray) -> np.ndarray:
+        """Whether no segment before finds the two as well."""
+        found = np.zeros(len(diff), bool)
+        for i in range(segment):
+            also = (diff & masks[i] == 0) & (np.bitwise_count(diff & masks[(i + 1) % m]) <= 1)
+            for mask, most in chains[i]:
+                also &= np.bitwise_count(diff & mask) <= most
+            found |= also
+        return ~found
+
+    def links(key: int, role: np.ndarray, rep: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 2)
         us, vs, ws = [], [], []
         step = max(1, STEP // max(1, len(right)))
@@ -230,13 +254,21 @@ def _linker(rule: NearDup):
             first, most = chains[key >> 40][0]
             i, j = np.nonzero(np.bitwise_count(diff & first) <= most)
             diff = diff[i, j]
-            other = rep[own[i]] != rep[right[j]]
+            if share is None:
+                other = rep[own[i]] != rep[right[j]]
+            else:
+                a, b = rep[own[i]], rep[right[j]]
+                other = (a > b) & (root[own[i]] != root[right[j]])
+                dealt = remix(a.view(np.uint64) ^ remix(b.view(np.uint64))) >> np.uint64(48)
+                other &= (dealt >= share[0]) & (dealt < share[1])
             i, j, diff = i[other], j[other], diff[other]
             for mask, most in chains[key >> 40][1:]:
                 kept = np.bitwise_count(diff & mask) <= most
                 i, j, diff = i[kept], j[kept], diff[kept]
             bits = np.bitwise_count(diff)
             kept = bits <= rule.max_bits
+            if share is not None:
+                kept &= first_key(key >> 40, diff)
             i, j, bits = own[i[kept]], right[j[kept]], bits[kept].astype(np.int64)
             if rule.check_bits is not None:
                 bits = bits + np.bitwise_count(fp2[i] ^ fp2[j])
@@ -245,19 +277,19 @@ def _linker(rule: NearDup):
             if len(i):
                 a, b = rep[i], rep[j]
                 a, b = np.maximum(a, b), np.minimum(a, b)
-                for part, x in zip((us, vs, ws), spanning(a, b, bits)):
+                for part, x in zip((us, vs, ws), (a, b, bits) if share is not None else spanning(a, b, bits)):
                     part.append(x)
         if not us:
             return rep[:0], rep[:0]
         u, v, w = np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
-        return spanning(u, v, w)[:2] if len(us) > 1 else (u, v)
+        return spanning(u, v, w)[:2] if len(us) > 1 and share is None else (u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by key and pair; the last group waits for the next batch."""
         rest: list[np.ndarray] | None = None
 
         def groups(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray] | None]:
-            key, pair, role, rep, fp, fp2 = cols
+            key, pair, role, *others = cols
             edge = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
             tail = None
@@ -268,7 +300,7 @@ def _linker(rule: NearDup):
             wanted = (end - begin > 1) & (own[end] > own[begin])
             us, vs = [], []
             for a, b in zip(begin[wanted].tolist(), end[wanted].tolist()):
-                u, v = links(int(key[a]), role[a:b], rep[a:b], fp[a:b], fp2[a:b])
+                u, v = links(int(key[a]), role[a:b], *(c[a:b] for c in others))
                 if len(u):
                     us.append(u)
                     vs.append(v)
@@ -279,8 +311,8 @@ def _linker(rule: NearDup):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            cols[4:] = [c.view(np.uint64) for c in cols[4:]]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[4:6] = [c.view(np.uint64) for c in cols[4:6]]
             waiting.append(cols)
             first = waiting[0]
             if cols[0][-1] == first[0][0] and cols[1][-1] == first[1][0]:
@@ -307,9 +339,12 @@ def verified(links: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = (np.unique(shingle_hashes(t, rule.width, rule.seed)) for t in (a, b))
+            near, known = [], {}
+            for ids in zip(*(c.to_pylist() for c in batch.columns)):
+                for i, t in zip(ids, ids[2:]):
+                    if i not in known:
+                        known[i] = np.unique(shingle_hashes(t, rule.width, rule.seed))
+                x, y = known[ids[0]], known[ids[1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= rule.least_jaccard * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=LINKS.names)
@@ -317,6 +352,38 @@ def verified(links: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
     return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, LINKS)
 
 
+def _links(classes: DataFrame, rule: NearDup, block: int, share: tuple[int, int] | None = None) -> DataFrame:
+    keyed = _blocked(classes, rule, block)
+    return keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(rule, share), LINKS)
+
+
+def _in_parts(classes: DataFrame, reach: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rep, fp, fp2, root`` of the classes in groups of proposed links (``reach``) that the
+    verified ones (``roots``) leave in parts. Two classes alone have one link, and it failed."""
+    near = reach.unionAll(reach.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "reach")
+    parts = near.join(roots, "node", "left").select("node", "reach", F.coalesce("root", "node").alias("root"))
+    parts = materialise(parts, "parts")
+    groups = parts.groupBy("reach").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 AND a < b").select("reach")
+    return classes.join(parts.join(groups, "reach", "left_semi"), F.col("rep") == F.col("node")).select("rep", "fp", "fp2", "root")
+
+
+def _verified_components(proposed: DataFrame, classes: DataFrame, docs: DataFrame, rule: NearDup, block: int) -> DataFrame:
+    """``components`` of all links within the bit limits that verify; ``proposed`` spans them in each key."""
+    passed = materialise(verified(proposed, docs, rule), "verified")
+    reach, roots = components(proposed), components(passed)
+    for share in zip(ROUNDS, ROUNDS[1:]):
+        left = materialise(_in_parts(classes, reach, roots), "in-parts")
+        if left.isEmpty():
+            break
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        more = materialise(_links(left.repartition(tasks), rule, block, share), "more-links")
+        if more.isEmpty():
+            continue
+        passed = materialise(passed.unionAll(verified(more, docs, rule)), "verified")
+        roots = components(passed)
+    return roots
+
+
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), block: int = BLOCK) -> DataFrame:
     """``doc_id, fp, fp2, component_id`` for each document.
 
@@ -332,13 +399,13 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), block: int = BLO
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = classes.where("rep IS NOT NULL").repartition(tasks)
     if rule.max_bits:
-        keyed = _blocked(named, rule, block)
-        links = keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(rule), LINKS)
+        links = _links(named, rule, block)
     else:
         links = named.limit(0).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
     if rule.max_bits and rule.least_jaccard is not None:
-        links = verified(materialise(links.distinct(), "near-links"), docs, rule)
-    roots = components(links)
+        roots = _verified_components(materialise(links.distinct(), "near-links"), named, docs, rule, block)
+    else:
+        roots = components(links)
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "fp2", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(found, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
 
