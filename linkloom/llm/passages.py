@@ -1,12 +1,13 @@
 """Substring dedup by hashing lines and pieces of lines.
 
-A text's words are normalised (ASCII case and punctuation go) and cut into units: at
+A text's words are normalised (ASCII case and punctuation go) and cut into pieces: at
 every line end, and inside lines where the hash of two neighbouring words is the smallest
 within ``REACH`` words. Those cuts follow from the words around them alone, so a passage
-pasted into the middle of a line has the same inner units as its source. Digests of units
-are grouped over the whole corpus; a unit is a repeat if an earlier document (or an
-earlier place in its own) has it. Runs of repeats of at least ``least_words`` words are
-removed, and their offsets in the original text are kept.
+pasted into the middle of a line has the same inner pieces as its source. Units are chains
+of neighbouring pieces of at least ``least_words`` words. Their digests are
+grouped over the whole corpus; a unit is a repeat if an earlier document (or an earlier
+place in its own) has all its words in a row. Repeats are removed, and their offsets in the
+original text are kept.
 """
 
 from __future__ import annotations
@@ -24,18 +25,22 @@ from pyspark.sql import types as T
 
 from linkloom.llm.common import HELPER, materialise
 
-#: Words on either side that a cut's hash must be below; units have REACH + 1 words at least, about 2 * REACH + 1 on average.
+#: Words on either side that a cut's hash must be below; pieces have REACH + 1 words at least, about 2 * REACH + 1 on average.
 REACH = 2
-#: Words that a run of repeated units must have to be removed.
+#: Words in a row that must repeat to be removed from inside lines.
 LEAST_WORDS = 25
 #: Lower-cases A-Z and blanks other ASCII characters that are no digit or letter; line ends stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
-def units(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Each unit's first word and the word after its last, and its digest (signed 64 bits)."""
-    words, ends = [], []
+def units(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Each unit's first word and the word after its last, and its digest (signed 64 bits).
+
+    Units are the chains of pieces that no piece can leave at one end without falling below
+    ``least_words``.
+    """
+    words, ends = [], [0]
     for line in (text or "").encode().translate(PLAIN).split(b"\n"):
         words += line.split()
         ends.append(len(words))
@@ -55,33 +60,38 @@ def units(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
             low &= (pair <= padded[REACH - d : REACH - d + len(pair)]) & (pair < padded[REACH + d : REACH + d + len(pair)])
         cut[1:n] |= low
     edges = np.flatnonzero(cut)
+    # The shortest chain from each cut onwards, and the shortest up to each cut.
+    after = np.searchsorted(edges, edges + least_words)
+    before = np.searchsorted(edges, edges - least_words, side="right") - 1
+    onwards, upto = after < len(edges), before >= 0
+    first = np.concatenate([edges[onwards], edges[before[upto]]])
+    last = np.concatenate([edges[after[onwards]], edges[upto]])
+    spans = np.unique(first * (n + 1) + last)
+    begin, end = spans // (n + 1), spans % (n + 1)
     joined = b" ".join(words)
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
     digest = xxhash.xxh64_intdigest
-    begin, end = at[edges[:-1]].tolist(), (at[edges[1:]] - 1).tolist()
-    found = np.array([digest(joined[a:b]) for a, b in zip(begin, end)], np.uint64).view(np.int64).tolist()
-    return edges[:-1], edges[1:], found
+    found = np.array([digest(joined[a:b]) for a, b in zip(at[begin].tolist(), (at[end] - 1).tolist())], np.uint64).view(np.int64).tolist()
+    return begin, end, found
 
 
 def repeats(text: str, earlier: set[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """Spans (in characters) of ``text`` to remove: runs of units in ``earlier``, or before in the text itself."""
-    begin, end, digests = units(text)
-    seen: set[int] = set()
+    """Spans (in characters) of ``text`` to remove: what its units in ``earlier``, or before in the text itself, cover."""
+    begin, end, digests = units(text, least_words)
+    until: dict[int, int] = {}
     runs: list[list[int]] = []
-    for k, digest in enumerate(digests):
-        if digest in earlier or digest in seen:
-            if runs and runs[-1][1] == k:
-                runs[-1][1] = k + 1
+    for a, b, digest in zip(begin.tolist(), end.tolist(), digests):
+        # A unit repeats one of its own text only if that has ended: overlapping copies do not remove each other.
+        if digest in earlier or until.setdefault(digest, b) <= a:
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
             else:
-                runs.append([k, k + 1])
-        seen.add(digest)
-    runs = [r for r in runs if end[r[1] - 1] - begin[r[0]] >= least_words]
+                runs.append([a, b])
     if not runs:
         return []
     places = [(m.start(), m.end()) for m in WORD.finditer(text)]
     spans = []
-    for a, b in runs:
-        first, after = int(begin[a]), int(end[b - 1])
+    for first, after in runs:
         start, last = places[first][0], places[after - 1][1]
         stop = places[after][0] if after < len(places) else len(text)
         line = text.find("\n", last, stop)
@@ -94,12 +104,12 @@ def repeats(text: str, earlier: set[int], least_words: int = LEAST_WORDS) -> lis
 DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digests", T.ArrayType(T.LongType()))])
 
 
-def unit_digests(docs: DataFrame) -> DataFrame:
+def unit_digests(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, digests``: the distinct unit digests of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array(units(t)[2], np.int64)) for t in batch.column(1).to_pylist()]
+            found = [np.unique(np.array(units(t, least_words)[2], np.int64)) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=DIGESTS.names)
@@ -116,7 +126,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     that repeats whole becomes empty, and no row is dropped. A column ``removed`` of the
     input is replaced. An empty table gives no rows.
     """
-    listed = materialise(unit_digests(docs), "units")
+    listed = materialise(unit_digests(docs, least_words), "units")
     each = listed.select("doc_id", F.explode("digests").alias("digest"))
     shared = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
     later = each.join(shared, "digest").where("doc_id IS NULL OR doc_id > first")
