@@ -4,7 +4,7 @@ A text's words are normalised (ASCII case and punctuation go) and cut into piece
 every line end, and inside lines where the hash of two neighbouring words is the smallest
 within ``REACH`` words. Those cuts follow from the words around them alone, so a passage
 pasted into the middle of a line has the same inner pieces as its source. Units are chains
-of neighbouring pieces of at least ``least_words`` words. Their digests are
+of neighbouring pieces of at least ``least_words`` words, and whole lines. Their digests are
 grouped over the whole corpus; a unit is a repeat if an earlier document (or an earlier
 place in its own) has all its words in a row. Repeats are removed, and their offsets in the
 original text are kept.
@@ -29,6 +29,8 @@ from linkloom.llm.common import HELPER, materialise
 REACH = 2
 #: Words in a row that must repeat to be removed from inside lines.
 LEAST_WORDS = 25
+#: Words of a whole line that is removed where it repeats.
+LEAST_LINE = 1
 #: Lower-cases A-Z and blanks other ASCII characters that are no digit or letter; line ends stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -38,7 +40,7 @@ def units(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray,
     """Each unit's first word and the word after its last, and its digest (signed 64 bits).
 
     Units are the chains of pieces that no piece can leave at one end without falling below
-    ``least_words``.
+    ``least_words``, and the whole lines of ``LEAST_LINE`` words or more.
     """
     words, ends = [], [0]
     for line in (text or "").encode().translate(PLAIN).split(b"\n"):
@@ -66,7 +68,9 @@ def units(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray,
     onwards, upto = after < len(edges), before >= 0
     first = np.concatenate([edges[onwards], edges[before[upto]]])
     last = np.concatenate([edges[after[onwards]], edges[upto]])
-    spans = np.unique(first * (n + 1) + last)
+    line = np.array(ends)
+    whole = line[1:] - line[:-1] >= LEAST_LINE
+    spans = np.unique(np.concatenate([first * (n + 1) + last, line[:-1][whole] * (n + 1) + line[1:][whole]]))
     begin, end = spans // (n + 1), spans % (n + 1)
     joined = b" ".join(words)
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])

@@ -21,3 +21,10 @@ def test_ends_of_a_passage_go(spark):
     passage = own(0, 60)
     left = cut(spark, [(1, f"{own(1)}\n{passage}\n{own(11)}"), (2, f"{own(2)}\n{passage}\n{own(22)}")])
     assert left[2].split() == f"{own(2)} {own(22)}".split()
+
+
+def test_short_lines_go_after_the_first(spark):
+    docs = [(1, f"{own(1)}\nA short header line.\n{own(11)}\nend"), (2, f"a short  header line\n{own(2)}\nA short header line\nEnd\n{own(22)}"), (3, f"{own(3)} a short header line {own(33)}")]
+    left = cut(spark, docs)
+    assert left[1] == docs[0][1] and left[3] == docs[2][1]
+    assert left[2].split() == f"{own(2)} {own(22)}".split()
