@@ -116,6 +116,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sql() -> str:
+    """The same judgement by counting every combination of a judged URL's frequent items."""
+    from linkloom.llm import url_rules as u
+
+    fits = "\n".join(
+        f"    WHEN (host = '{rule.partition('/')[0]}' OR ends_with(host, '.{rule.partition('/')[0]}')) AND starts_with(path, '/{rule.partition('/')[2]}') THEN '{verdict} {rule}'"
+        for verdict, rule in sorted(u.RULES, key=lambda r: (-len(r[1]), r[1]))
+    )
+    return f"""
+WITH cut AS (SELECT row_number() OVER () AS id, page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT id, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{u.UPPER}', '{u.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+listed AS (SELECT *, CASE
+{fits} END AS base,
+    [x FOR x IN string_split(host, '.') IF x <> ''] AS l, [x FOR x IN string_split(path, '/') IF x <> ''] AS p,
+    [x FOR x IN [regexp_extract(y, '^([^=]*)', 1) FOR y IN string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')] IF x <> ''] AS q FROM named),
+urls AS (SELECT id, page_id, host, path, split_part(base, ' ', 2) AS rule, split_part(base, ' ', 1) AS verdict, [replace(t, ' ', '%20') FOR t IN list_distinct(
+    [x FOR x IN ['top=' || l[-1], 'name=' || l[-2], 'file=' || p[-1], 'ext=' || nullif(regexp_extract(p[-1], '\\.([A-Za-z0-9]{{1,8}})$', 1), '')] IF x IS NOT NULL]
+    || ['sub=' || x FOR x IN l[:-3]] || ['dir' || i || '=' || p[i] FOR i IN range(1, len(p))] || ['key=' || x FOR x IN q])] AS tokens FROM listed),
+judged AS (SELECT id, tokens, verdict FROM urls WHERE verdict IS NOT NULL),
+least AS (SELECT greatest(ceil({u.MIN_SUPPORT}::DOUBLE * count(*)), {u.MIN_COUNT}) AS c FROM judged),
+extent AS (SELECT token, list_sort(list(id)) AS ids FROM (SELECT id, unnest(tokens) AS token FROM judged) GROUP BY token HAVING count(*) >= (SELECT c FROM least)),
+items AS (SELECT min(token) AS item, list_sort(list(token)) AS members, ids FROM extent GROUP BY ids),
+baskets AS (SELECT id, verdict, list_sort(list(item)) AS b FROM (SELECT item, unnest(ids) AS id FROM items) JOIN judged USING (id) GROUP BY id, verdict),
+sets AS (SELECT verdict, [b[i + 1] FOR i IN range(len(b)) IF (m >> i) & 1 = 1] AS s FROM (SELECT verdict, b, unnest(range(1, 1 << len(b))) AS m FROM baskets)),
+counted AS (SELECT s, verdict, count(*) AS c, sum(count(*)) OVER (PARTITION BY s) AS n FROM sets GROUP BY s, verdict),
+kept AS (SELECT s, verdict, c / n AS confidence, c FROM counted WHERE c >= (SELECT c FROM least) AND c / n >= {u.MIN_CONFIDENCE}::DOUBLE),
+rules AS (SELECT verdict, confidence, c, list_sort(flatten(list(members))) AS items FROM (SELECT *, unnest(s) AS item FROM kept) JOIN items USING (item) GROUP BY s, verdict, confidence, c),
+best AS (
+  SELECT id, arg_min(array_to_string(items, ' '), k) AS mined_rule, arg_min(verdict, k) AS mined FROM (
+    SELECT u.id, r.items, r.verdict, ROW(-r.confidence, -r.c, -len(r.items), array_to_string(r.items, ' '), r.verdict) AS k
+    FROM urls u JOIN rules r ON list_has_all(u.tokens, r.items) WHERE u.verdict IS NULL) GROUP BY id)
+SELECT page_id, host, path, rule, coalesce(verdict, mined, '{u.DEFAULT}') AS verdict, mined_rule FROM urls LEFT JOIN best USING (id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mixing": op2_source_mixing,
@@ -131,4 +166,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
     "op4_warc": OP4_SQL,
+    "op8_url_rules": op8_sql(),
 }

@@ -90,6 +90,32 @@ def test_urls_against_brute_force(spark):
         assert got[i].verdict in ("allow", "block") and verdict in (None, got[i].verdict)
 
 
+def test_method_verdicts_against_sql(spark):
+    """All judgements, mined ones included, against counting every combination."""
+    import duckdb
+
+    from linkloom.llm.queries import op8_sql
+
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect()]
+    deep = [(2000 + i, f"http://a.b.c.d{i % 3}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'fr')[i % 2]}/x/y z/w/{i}.html?k1=1&k2=2&k{i % 4}=3") for i in range(60)]
+    rows = pages + deep + [(1000, None), (1001, "http://a.com"), (1002, "no scheme?k1=2"), (1003, "http://a.com/"), (1004, "x://"), (1005, "http://h/" + "p/" * 3000 + "q.html")]
+    table = duckdb.connect()
+    table.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    table.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    found = table.sql(op8_sql())
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).select(*found.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(found.fetchall(), key=repr)
+    assert any(r.mined_rule for r in got)
+
+
+def test_tokens_that_always_meet_are_one_item(spark):
+    """Thirty tokens that all rows share would make 2 ** 30 combinations."""
+    shared = [f"dir{i}=p" for i in range(30)]
+    judged = spark.createDataFrame([([*shared, "top=com"], "block")] * 20 + [([*shared, "top=net"], "allow")] * 20, "tokens array<string>, verdict string")
+    rules = {(tuple(r["items"]), r.verdict) for r in url_rules.mine(judged).collect()}
+    assert {(("top=com",), "block"), (("top=net",), "allow"), (tuple(sorted([*shared, "top=com"])), "block")} <= rules and len(rules) == 4
+
+
 def test_mined_rules_against_counting(spark):
     judged = [(["top=com", "dir1=en"], "block")] * 30 + [(["top=com", "dir1=de"], "allow")] * 50 + [(["top=net", "dir1=en"], "block")] * 9 + [(["top=net", "dir1=en"], "allow")]
     rules = {tuple(r["items"]): (r.verdict, r.confidence) for r in url_rules.mine(spark.createDataFrame(judged, "tokens array<string>, verdict string"), 0.05, 0.8).collect()}
