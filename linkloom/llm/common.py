@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,37 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Rows that Python code holds as objects at once; Spark's own batches have up to 10,000.
+SLICE = 1024
+
+
+def give_back() -> None:
+    """Return what a finished task held to the system: a worker outlives its tasks, and later ones run beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Run, rows: int | None = SLICE) -> Run:
+    """``run`` (for ``mapInArrow``) on slices of at most ``rows`` rows, its memory given back at the task's end."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                yield batch.slice(at, rows)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(sliced(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
 #: Rows of a table of ids that is sent to every executor at most, some 32 MB.
 BROADCAST_ROWS = 1 << 20
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.llm.common import lean
+
 #: Lower-cases A-Z and blanks every other ASCII character that is no digit or letter.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -163,7 +165,7 @@ def word_weights(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, float]:
                 found[b""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=COUNTED.names)
 
-    counts = {bytes(r.word): r.n for r in docs.select("text").mapInArrow(count, COUNTED).groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counts = {bytes(r.word): r.n for r in docs.select("text").mapInArrow(lean(count), COUNTED).groupBy("word").agg(F.sum("n").alias("n")).collect()}
     n = counts.get(b"", 0)
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1e-9 for w in sorted(vocabulary)}
 
@@ -207,4 +209,4 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, templates: tu
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types))], names=SCANNED.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCANNED)

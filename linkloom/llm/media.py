@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import materialise
+from linkloom.llm.common import lean, materialise
 
 #: Samples in an image's row; payloads are padded with zeros to a positive multiple of it.
 ROW = 64
@@ -190,7 +190,7 @@ def store_media(docs: DataFrame) -> DataFrame:
                     seen.add(key)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests), pa.array(sizes, pa.int64()), pa.array(pages), pa.array(media, pa.binary())], names=STORED.names)
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STORED), "media")
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), STORED), "media")
 
 
 def sequences(pages: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def sequences(pages: DataFrame) -> DataFrame:
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(out[0], pa.int32()), *(pa.array(x, pa.string()) for x in out[1:])], names=SEQUENCE.names
             )
 
-    return pages.select("doc_id", "n_bytes", "html").mapInArrow(run, SEQUENCE)
+    return pages.select("doc_id", "n_bytes", "html").mapInArrow(lean(run), SEQUENCE)
 
 
 def media_features(stored: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def media_features(stored: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types))], names=FEATURES.names)
 
-    each = stored.where("media IS NOT NULL").select("digest", "media").mapInArrow(run, FEATURES)
+    each = stored.where("media IS NOT NULL").select("digest", "media").mapInArrow(lean(run), FEATURES)
     # Written, so that the join to come has plain shuffles on both sides, whose hot digests Spark can split.
     return materialise(each.groupBy("digest").agg(*(F.min(c).alias(c) for c in FEATURES.names[1:])), "media-features")
 

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import materialise
+from linkloom.llm.common import bounded, lean, materialise
 
 #: Tokens in a packed sequence.
 WINDOW = 1024
-#: Chunks whose ids a worker remembers; a full memory takes no more, which changes no result.
-REMEMBERED = 400_000
+#: Bytes of chunks and ids that a task remembers; a full memory takes no more, which changes no result.
+REMEMBERED = 32 << 20
+#: What a remembered chunk takes beside its letters and ids.
+ENTRY = 180
 #: A private-use character that marks where a text is split; texts that hold it are encoded whole.
 MARK = "\ue000"
 #: Where a space is not the last of its white space, a chunk would not end with a piece.
@@ -65,19 +67,18 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
-        self.left = remembered
+        self.path, self.left = path, remembered
         self.known: dict[str, bytes] = {}
-        self.merges = None
+        self.merges = self.tokenizer = None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [x["content"] for x in spec["added_tokens"]]
+        vocab = spec["model"]["vocab"]
+        most = max([len(vocab) - 1, *(x["id"] for x in spec["added_tokens"]), *(vocab.values() if isinstance(vocab, dict) else ())])
+        self.dtype = np.dtype("<u4" if most >= 1 << 16 else "<u2")
         step = spec["pre_tokenizer"] or {}
         if spec["model"]["type"] == "BPE" and spec["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex") and not step["add_prefix_space"]:
-            vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+            merges = spec["model"]["merges"]
             made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
             if made == sorted(made) and not spec["model"]["dropout"]:
                 import tiktoken
@@ -93,6 +94,11 @@ class ChunkEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def whole(self, text: str) -> bytes:
+        """The ids by the file's own tokenizer, which is loaded for the first such text."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -103,7 +109,7 @@ class ChunkEncoder:
             packed = array(self.code, self.merges.encode_ordinary(chunk)).tobytes()
         if self.left > 0:
             self.known[chunk] = packed
-            self.left -= 1
+            self.left -= ENTRY + len(chunk) + len(packed)
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -151,7 +157,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
                 names=TOKENIZED.names,
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENIZED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), TOKENIZED)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 0) -> DataFrame:
@@ -170,6 +176,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         tokens.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
         .select("part", (F.sum("part_tokens").over(order) - F.col("part_tokens")).alias("base"))
     )
+    bases = materialise(bases, "bases")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,6 +197,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
                 names=PIECES.names,
             )
 
-    # One row per scan partition of the input, some 10 MB at a million partitions.
-    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("begin"), "n_tokens", "ids")
-    return placed.mapInArrow(cut, PIECES)
+    # One row per scan partition of the input; sent to all executors only while those are few.
+    placed = tokens.join(bounded(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("begin"), "n_tokens", "ids")
+    return placed.mapInArrow(lean(cut), PIECES)

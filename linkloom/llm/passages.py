@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import HELPER, materialise
+from linkloom.llm.common import HELPER, lean, materialise
 
 #: Words on either side that a cut's hash must be below; pieces have REACH + 1 words at least, about 2 * REACH + 1 on average.
 REACH = 2
@@ -33,7 +33,10 @@ LEAST_WORDS = 25
 LEAST_LINE = 1
 #: Lower-cases A-Z and blanks other ASCII characters that are no digit or letter; line ends stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+#: Scripts that put no spaces between words (Thai to Khmer, Han, kana): each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+ALONE = re.compile(f"[{UNSPACED}]")
+WORD = re.compile(f"[{UNSPACED}]|(?:(?![{UNSPACED}])[0-9A-Za-z\x80-\U0010ffff])+")
 
 
 def units(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -42,8 +45,10 @@ def units(text: str | None, least_words: int = LEAST_WORDS) -> tuple[np.ndarray,
     Units are the chains of pieces that no piece can leave at one end without falling below
     ``least_words``, and the whole lines of ``LEAST_LINE`` words or more.
     """
-    words, ends = [], [0]
-    for line in (text or "").encode().translate(PLAIN).split(b"\n"):
+    words, ends, text = [], [0], text or ""
+    if not text.isascii() and ALONE.search(text):
+        text = ALONE.sub(r" \g<0> ", text)
+    for line in text.encode().translate(PLAIN).split(b"\n"):
         words += line.split()
         ends.append(len(words))
     n = len(words)
@@ -105,60 +110,69 @@ def repeats(text: str, earlier: set[int], least_words: int = LEAST_WORDS) -> lis
     return spans
 
 
-DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digests", T.ArrayType(T.LongType()))])
+DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("digests", T.ArrayType(T.LongType()))])
+#: The column of removed spans, unless another name is given.
+REMOVED = "removed"
 
 
 def unit_digests(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, digests``: the distinct unit digests of each document."""
+    """``doc_id, h, digests``: the distinct unit digests of each document, and its text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array(units(t, least_words)[2], np.int64)) for t in batch.column(1).to_pylist()]
+            found = [np.unique(np.array(units(t, least_words)[2], np.int64)) for t in batch.column(2).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=DIGESTS.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=DIGESTS.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(lean(run), DIGESTS)
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, spans: str = REMOVED) -> DataFrame:
     """All columns of ``docs`` with ``text`` cut (and ``n_chars`` counted again, where there is one),
-    and ``removed``: the spans ``(start, end)`` that went, in characters of the original text.
+    and ``spans``: the ``(start, end)`` that went, in characters of the original text.
 
     Documents rank by ``doc_id``, null ids last; the earliest keeps a passage. Rows that
-    share an id rank alike and keep the same passages. A null text stays null, a text
-    that repeats whole becomes empty, and no row is dropped. A column ``removed`` of the
-    input is replaced. An empty table gives no rows.
+    share an id (or have none) rank alike and keep the same passages; what a document
+    repeats of its own goes too. A null text stays null, a text that repeats whole becomes
+    empty, very long texts are cut like short ones, and no row is dropped. An input column
+    named like ``spans`` is replaced. An empty table gives no rows.
     """
     listed = materialise(unit_digests(docs, least_words), "units")
-    each = listed.select("doc_id", F.explode("digests").alias("digest"))
+    each = listed.select("doc_id", "h", F.explode("digests").alias("digest"))
     shared = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
     later = each.join(shared, "digest").where("doc_id IS NULL OR doc_id > first")
-    docs, rank = docs.drop("removed"), f"{HELPER}id"
-    earlier = later.groupBy("doc_id").agg(F.collect_list("digest").alias(f"{HELPER}earlier")).withColumnRenamed("doc_id", rank)
-    joined = docs.join(earlier, F.col("doc_id").cast("long").eqNullSafe(F.col(rank)), "left").drop(rank)
+    # Rows meet their digests by id and text: rows without an id are no group of their own.
+    docs, rank, h = docs.drop(spans), f"{HELPER}id", f"{HELPER}h"
+    earlier = later.groupBy(F.col("doc_id").alias(rank), F.col("h").alias(h)).agg(F.collect_set("digest").alias(f"{HELPER}earlier"))
+    joined = docs.join(earlier, F.col("doc_id").cast("long").eqNullSafe(F.col(rank)) & (F.xxhash64("text") == F.col(h)), "left").drop(rank, h)
 
-    names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    count_type = "int" if count_at is not None and isinstance(docs.schema["n_chars"].dataType, T.IntegerType) else "long"
+    counted = count_at is not None and isinstance(docs.schema["n_chars"].dataType, (T.IntegerType, T.LongType))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = batch.column(at).to_pylist(), []
             for i, (text, known) in enumerate(zip(texts, batch.column(len(names)))):
-                spans = repeats(text, set(known.values.to_numpy().tolist()) if known.is_valid else set(), least_words) if text else []
-                removed.append([{"start": a, "end": b} for a, b in spans])
-                if spans:
+                gone = repeats(text, set(known.values.to_numpy().tolist()) if known.is_valid else set(), least_words) if text else []
+                removed.append([{"start": a, "end": b} for a, b in gone])
+                if gone:
                     kept, done = [], 0
-                    for a, b in spans:
+                    for a, b in gone:
                         kept.append(text[done:a])
                         done = b
                     texts[i] = "".join([*kept, text[done:]])
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, columns[at].type)
-            if count_at is not None:
-                columns[count_at] = pa.array([None if t is None else len(t) for t in texts], pa.int32() if count_type == "int" else pa.int64())
+            if counted:
+                columns[count_at] = pa.array([None if t is None else len(t) for t in texts], columns[count_at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, span)], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
+
+
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with their texts cut by ``remove_repeats``, and no other column changed or added."""
+    return remove_repeats(docs, least_words, f"{HELPER}{REMOVED}").select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import HELPER, bounded, materialise
+from linkloom.llm.common import HELPER, bounded, lean, materialise
 from linkloom.llm.components import components
 
 #: Members of a key that one task compares; larger keys become pairs of blocks of this size.
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, rule: NearDup) -> DataFrame:
                 [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second))], names=FINGERPRINTS.names
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINGERPRINTS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), FINGERPRINTS)
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -349,12 +349,12 @@ def verified(links: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
                 near.append(both >= rule.least_jaccard * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=LINKS.names)
 
-    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, LINKS)
+    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(lean(run), LINKS)
 
 
 def _links(classes: DataFrame, rule: NearDup, block: int, share: tuple[int, int] | None = None) -> DataFrame:
     keyed = _blocked(classes, rule, block)
-    return keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(rule, share), LINKS)
+    return keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lean(_linker(rule, share), None), LINKS)
 
 
 def _in_parts(classes: DataFrame, reach: DataFrame, roots: DataFrame) -> DataFrame:

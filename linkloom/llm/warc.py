@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import materialise, scratch_path
+from linkloom.llm.common import lean, materialise, scratch_path
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -234,7 +234,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=WRITTEN.names)
 
     rows = plan_records(pages).select("page_id", "url", "payload", "digest", "kind", "refers_to")
-    return rows.sortWithinPartitions("page_id", "digest", "url").mapInArrow(run, WRITTEN)
+    return rows.sortWithinPartitions("page_id", "digest", "url").mapInArrow(lean(run), WRITTEN)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -258,7 +258,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(out[0]), pa.string()), *(pa.array(x, t) for x, t in zip(out, types))], names=READ.names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("path", "content").mapInArrow(run, READ)
+    return files.select("path", "content").mapInArrow(lean(run), READ)
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None, payloads: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.llm.common import HELPER, lean, materialise
+
 UPPER, LETTERS, DIGITS = bytes(range(65, 91)), bytes((*range(65, 91), *range(97, 123), *range(128, 256))), bytes(range(48, 58))
 SYMBOLS = b"*$%&#@^~=+<>{}[]\\_"
 #: Words that are a mark alone.
@@ -34,6 +36,10 @@ LABELLERS = ("capitals", "shouting", "symbols", "tables", "bare", "stutter", "va
 GOOD, BAD = 1, 2
 #: Documents that train the scorer at most (in expectation), whatever the corpus has.
 TRAIN_ROWS = 20_000
+#: Bytes of hashed features that the driver collects for training (in expectation).
+TRAIN_BYTES = 32 << 20
+#: Hash bits of the sample's threshold: fine enough for a share of any corpus.
+SAMPLE_BITS = 60
 DIMENSIONS = 1 << 15
 
 
@@ -156,7 +162,7 @@ def train(rows: list[tuple[bytes, bytes, float]], dimensions: int = DIMENSIONS,
 
 
 COUNTED = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("n", T.LongType())])
-SAMPLED = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
+SAMPLED = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType()), T.StructField("dealt", T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -167,8 +173,17 @@ class Model:
     accuracy: dict[str, float]
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS) -> Model:
-    """Count all documents' vote patterns, then train the scorer on ``train_rows`` of them by hash."""
+def sample_limit(total: int, wanted: int) -> int:
+    """The threshold on a hash of ``SAMPLE_BITS`` bits that about ``wanted`` of ``total`` fall below."""
+    return (1 << SAMPLE_BITS) if total <= wanted else max(1, (wanted << SAMPLE_BITS) // total)
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Count all documents' vote patterns, then train the scorer on ``train_rows`` of them by hash.
+
+    Only documents that get a vote train. Long texts can make their features exceed
+    ``train_bytes``; the hash's threshold is lowered then in proportion.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[int] = Counter()
@@ -188,23 +203,32 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSI
                 at, value = features.of(words)
                 for column, x in zip(out, (pattern(data, words), at.tobytes(), value.tobytes())):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=SAMPLED.names)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), batch.column(1)], names=SAMPLED.names)
 
-    counts = {r.pattern: r.n for r in docs.select("text").mapInArrow(count, COUNTED).groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.pattern: r.n for r in docs.select("text").mapInArrow(lean(count), COUNTED).groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     posterior, accuracy = posteriors(counts)
-    share = min(1.0, train_rows / max(1, sum(counts.values())))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    rows = [(bytes(r.at), bytes(r.value), posterior[r.pattern]) for r in some.mapInArrow(sample, SAMPLED).where("pattern > 0").collect()]
+    limit = sample_limit(sum(n for p, n in counts.items() if p), train_rows)
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - SAMPLE_BITS)
+    some = docs.select("text", hashed.alias("dealt")).where(F.col("dealt") < limit)
+    drawn = materialise(some.mapInArrow(lean(sample), SAMPLED).where("pattern > 0"), "training")
+    size = drawn.agg(F.sum(F.octet_length("at") + F.octet_length("value"))).first()[0] or 0
+    if size > train_bytes:
+        drawn = drawn.where(F.col("dealt") < max(1, limit * train_bytes // size))
+    rows = [(bytes(r.at), bytes(r.value), posterior[r.pattern]) for r in drawn.select("pattern", "at", "value").collect()]
     return Model(*train(sorted(rows), dimensions), posterior, accuracy)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs``, and ``quality_score`` and ``weak_posterior``, both P(good).
+#: Names of the scorer's two columns.
+SCORES = ("quality_score", "weak_posterior")
+
+
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = SCORES) -> DataFrame:
+    """All columns of ``docs``, and the scorer's and the labellers' P(good) as ``names``.
 
     A column of ``docs`` that has one of these names is replaced.
     """
-    docs = docs.drop("quality_score", "weak_posterior")
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("weak_posterior", T.DoubleType())])
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     at, dimensions = docs.columns.index("text"), len(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,14 +244,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 posterior.append(model.posterior.get(pattern(data, words), 0.5))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(posterior, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with ``quality_score``, ``weak_posterior`` and ``keep`` (score at least ``least``).
 
     The model is fitted on ``docs`` itself. A null or empty text has no features and gets
-    the scorer's bias; texts of under three words get no votes. Repeated rows score alike,
-    null ids stay null, and an empty table gives no rows.
+    the scorer's bias; texts of under three words get no votes; very long texts are read
+    whole. Where no document gets a vote nothing is learnt and all are kept. Repeated rows
+    score alike, null ids stay null, input columns of the three names are replaced, and an
+    empty table gives no rows.
     """
     return score(docs.drop("keep"), fit(docs, train_rows)).withColumn("keep", F.col("quality_score") >= least)
+
+
+def keep_good(docs: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns as they were."""
+    names = tuple(HELPER + n for n in SCORES)
+    return score(docs, fit(docs, train_rows), names).where(F.col(names[0]) >= least).select(*docs.columns)
