@@ -15,7 +15,7 @@ NEAR_DUP = simhash.NearDup(width=5, max_bits=12, check_bits=24, least_jaccard=0.
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps."""
-    return weak_labels.classify(docs).where("keep").select(*docs.columns)
+    return weak_labels.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the passages that an earlier one has."""
-    return passages.remove_repeats(docs).select(*docs.columns)
+    return passages.without_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
