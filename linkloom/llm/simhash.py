@@ -12,9 +12,7 @@ Equal fingerprints are one class before any link is searched, and inside a key o
 spanning forest of the links is given out, so a group of n copies costs about n rows.
 Keys with very many members are dealt out as pairs of blocks.
 
-Where links are verified by their texts, that forest is the first round only: groups of
-proposed links that it leaves in parts are searched again, and every link between two parts
-is given out (once, under the first key that finds it) until all are tested or joined.
+`near_copies` verifies links by their texts, on wider fingerprints.
 """
 
 from __future__ import annotations
@@ -29,35 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import HELPER, bounded, lean, materialise
+from linkloom.llm.common import lean, materialise
 from linkloom.llm.components import components
 
 #: Members of a key that one task compares; larger keys become pairs of blocks of this size.
 BLOCK = 1 << 16
 #: Pairs that one NumPy step compares.
 STEP = 1 << 21
-#: Shares of the links' hashes that the rounds after the first one test; a part that a round joins is not tested in the next.
-ROUNDS = (0, 1 << 12, 1 << 16)
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LANES = np.uint64(0x0101010101010101)
 
 
 @dataclass(frozen=True)
 class NearDup:
-    """``width``: words in a shingle; ``max_bits``: differing bits that still link.
-
-    ``check_bits``: if set, a second, independent fingerprint is kept, and a link also
-    needs at most so many differing bits over both; it keeps chance links out when
-    ``max_bits`` is large. ``least_jaccard``: if set, a link's two texts must share so
-    much of their distinct shingles, compared whole. Each key first gives out its nearest
-    links (a minimum spanning forest by differing bits), then those between the parts that
-    the failed ones leave.
-    """
+    """``width``: words in a shingle; ``max_bits``: differing bits that still link."""
 
     width: int = 5
     max_bits: int = 4
-    check_bits: int | None = None
-    least_jaccard: float | None = None
     seed: int = 42
 
 
@@ -96,22 +82,16 @@ def remix(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())])
+FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
 
 
 def fingerprints(docs: DataFrame, rule: NearDup) -> DataFrame:
-    """``doc_id, fp, fp2`` as signed longs; ``fp2`` is 0 unless ``rule.check_bits`` is set."""
+    """``doc_id, fp`` as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, rule.width, rule.seed)
-                first.append(majority(hashes))
-                second.append(majority(remix(hashes)) if rule.check_bits is not None else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second))], names=FINGERPRINTS.names
-            )
+            found = [majority(shingle_hashes(text, rule.width, rule.seed)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=FINGERPRINTS.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), FINGERPRINTS)
 
@@ -123,10 +103,6 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _carried(classes: DataFrame) -> list[str]:
-    return [c for c in ("rep", "fp", "fp2", "root") if c in classes.columns]
-
-
 def _keyed(classes: DataFrame, rule: NearDup, own_only: bool = False) -> DataFrame:
     """A row for each class and key: under its own (``own``) and under those one bit off, unless ``own_only``."""
     parts = segments(rule.max_bits)
@@ -138,17 +114,16 @@ def _keyed(classes: DataFrame, rule: NearDup, own_only: bool = False) -> DataFra
         own = F.lit(i).cast("long") * F.lit(1 << 40) + head * F.lit(1 << k) + tail
         flips = [0] if own_only else [0, *(1 << b for b in range(k))]
         rows += [F.struct(own.bitwiseXOR(F.lit(x).cast("long")).alias("key"), F.lit(x == 0).alias("own")) for x in flips]
-    return classes.select(*_carried(classes), F.explode(F.array(*rows)).alias("k")).select("k.key", "k.own", *_carried(classes))
+    return classes.select("rep", "fp", F.explode(F.array(*rows)).alias("k")).select("k.key", "k.own", "rep", "fp")
 
 
-def _blocked(classes: DataFrame, rule: NearDup, block: int) -> DataFrame:
-    """``_keyed`` with ``role`` (0 both sides, 1 right only, 2 left only) and the pair of blocks ``pair``.
+def spread(keyed: DataFrame, heavy: DataFrame, carried: list[str]) -> DataFrame:
+    """``key, pair, role`` and ``carried``: the rows of ``keyed`` (``key, own, ...``), a heavy key's as pairs of blocks.
 
-    Only keys with over ``block`` own members are cut; there are at most
-    (max_bits + 1) * classes / block of them.
+    ``role``: 0 both sides, 1 right only, 2 left only; rows that are not ``own`` stand on
+    the right alone. ``heavy``: ``key, n``, the number of blocks. Each pair of blocks is a
+    ``pair`` of its own.
     """
-    keyed, carried = _keyed(classes, rule), _carried(classes)
-    heavy = _keyed(classes, rule, own_only=True).groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     if heavy.isEmpty():
         return keyed.select("key", F.lit(0).alias("pair"), F.when(F.col("own"), 0).otherwise(1).alias("role"), *carried)
     n, own = F.coalesce("n", F.lit(1)), F.pmod(F.xxhash64("rep"), F.coalesce("n", F.lit(1))).cast("int")
@@ -156,8 +131,15 @@ def _blocked(classes: DataFrame, rule: NearDup, block: int) -> DataFrame:
     other = F.sequence(F.lit(0), F.col("n") - 1)
     left = F.when(F.col("own"), F.transform(other, lambda j: F.struct((own * F.col("n") + j).alias("pair"), F.lit(2).alias("role")))).otherwise(F.array().cast("array<struct<pair:int,role:int>>"))
     right = F.transform(other, lambda j: F.struct((j * F.col("n") + own).alias("pair"), F.lit(1).alias("role")))
-    spread = F.when(n == 1, light).otherwise(F.concat(left, right))
-    return keyed.join(heavy, "key", "left").select("key", *carried, F.explode(spread).alias("s")).select("key", "s.pair", "s.role", *carried)
+    dealt = F.when(n == 1, light).otherwise(F.concat(left, right))
+    return keyed.join(heavy, "key", "left").select("key", *carried, F.explode(dealt).alias("s")).select("key", "s.pair", "s.role", *carried)
+
+
+def _blocked(classes: DataFrame, rule: NearDup, block: int) -> DataFrame:
+    """``_keyed`` by ``spread``. Only keys with over ``block`` own members are cut; there are
+    at most (max_bits + 1) * classes / block of them."""
+    heavy = _keyed(classes, rule, own_only=True).groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    return spread(_keyed(classes, rule), heavy, ["rep", "fp"])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,12 +192,60 @@ def nearest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
 LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def _linker(rule: NearDup, share: tuple[int, int] | None = None):
-    """Links of each key: a spanning forest, or with ``share`` all those between two roots
-    (a seventh column) whose hash is in it, each under the first key only."""
+def grouped(links, unsigned: slice):
+    """A ``mapInArrow`` function that calls ``links(key, role, *others)`` for each key and pair of blocks.
+
+    Batches have ``key, pair, role`` first and come sorted by key and pair; the last group
+    waits for the next batch. ``unsigned``: the columns that are passed as unsigned longs.
+    """
+
+    def groups(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray] | None]:
+        key, pair, role, *others = cols
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+        begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
+        tail = None
+        if not last:
+            tail = [c[begin[-1] :].copy() for c in cols]
+            begin, end = begin[:-1], end[:-1]
+        own = np.concatenate([[0], np.cumsum(role != 1)])
+        wanted = (end - begin > 1) & (own[end] > own[begin])
+        us, vs = [], []
+        for a, b in zip(begin[wanted].tolist(), end[wanted].tolist()):
+            u, v = links(int(key[a]), role[a:b], *(c[a:b] for c in others))
+            if len(u):
+                us.append(u)
+                vs.append(v)
+        found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=LINKS.names) if us else None
+        return found, tail
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[unsigned] = [c.view(np.uint64) for c in cols[unsigned]]
+            waiting.append(cols)
+            first = waiting[0]
+            if cols[0][-1] == first[0][0] and cols[1][-1] == first[1][0]:
+                continue  # one group so far
+            cols = [np.concatenate(x) for x in zip(*waiting)] if len(waiting) > 1 else cols
+            found, rest = groups(cols, False)
+            waiting = [rest]
+            if found is not None:
+                yield found
+        if waiting:
+            found, _ = groups([np.concatenate(x) for x in zip(*waiting)], True)
+            if found is not None:
+                yield found
+
+    return run
+
+
+def _linker(rule: NearDup):
+    """Links of each key: a spanning forest of those within the limit."""
     parts, m = segments(rule.max_bits), rule.max_bits + 1
     chains = []
-    masks = [np.uint64(((1 << n) - 1) << at) for at, n in parts]
     for i in range(m):
         mask, steps = 0, []
         for length in range(1, m + 1):
@@ -225,28 +255,9 @@ def _linker(rule: NearDup, share: tuple[int, int] | None = None):
                 steps.append((np.uint64(mask), length * rule.max_bits // m))
         chains.append(steps or [(np.uint64((1 << 64) - 1), rule.max_bits)])
 
-    def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(a) <= 8:
-            return a, b, bits
-        if rule.least_jaccard is not None:
-            kept = nearest(a, b, bits)
-            return a[kept], b[kept], bits[kept]
-        a, b = forest(a, b)
-        return a, b, np.zeros(len(a), np.int64)
-
-    def first_key(segment: int, diff: np.ndarray) -> np.ndarray:
-        """Whether no segment before finds the two as well."""
-        found = np.zeros(len(diff), bool)
-        for i in range(segment):
-            also = (diff & masks[i] == 0) & (np.bitwise_count(diff & masks[(i + 1) % m]) <= 1)
-            for mask, most in chains[i]:
-                also &= np.bitwise_count(diff & mask) <= most
-            found |= also
-        return ~found
-
-    def links(key: int, role: np.ndarray, rep: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def links(key: int, role: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 2)
-        us, vs, ws = [], [], []
+        us, vs = [], []
         step = max(1, STEP // max(1, len(right)))
         for at in range(0, len(left), step):
             own = left[at : at + step]
@@ -254,175 +265,45 @@ def _linker(rule: NearDup, share: tuple[int, int] | None = None):
             first, most = chains[key >> 40][0]
             i, j = np.nonzero(np.bitwise_count(diff & first) <= most)
             diff = diff[i, j]
-            if share is None:
-                other = rep[own[i]] != rep[right[j]]
-            else:
-                a, b = rep[own[i]], rep[right[j]]
-                other = (a > b) & (root[own[i]] != root[right[j]])
-                dealt = remix(a.view(np.uint64) ^ remix(b.view(np.uint64))) >> np.uint64(48)
-                other &= (dealt >= share[0]) & (dealt < share[1])
+            other = rep[own[i]] != rep[right[j]]
             i, j, diff = i[other], j[other], diff[other]
             for mask, most in chains[key >> 40][1:]:
                 kept = np.bitwise_count(diff & mask) <= most
                 i, j, diff = i[kept], j[kept], diff[kept]
-            bits = np.bitwise_count(diff)
-            kept = bits <= rule.max_bits
-            if share is not None:
-                kept &= first_key(key >> 40, diff)
-            i, j, bits = own[i[kept]], right[j[kept]], bits[kept].astype(np.int64)
-            if rule.check_bits is not None:
-                bits = bits + np.bitwise_count(fp2[i] ^ fp2[j])
-                near = bits <= rule.check_bits
-                i, j, bits = i[near], j[near], bits[near]
+            kept = np.bitwise_count(diff) <= rule.max_bits
+            i, j = own[i[kept]], right[j[kept]]
             if len(i):
                 a, b = rep[i], rep[j]
                 a, b = np.maximum(a, b), np.minimum(a, b)
-                for part, x in zip((us, vs, ws), (a, b, bits) if share is not None else spanning(a, b, bits)):
-                    part.append(x)
+                a, b = forest(a, b) if len(a) > 8 else (a, b)
+                us.append(a)
+                vs.append(b)
         if not us:
             return rep[:0], rep[:0]
-        u, v, w = np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
-        return spanning(u, v, w)[:2] if len(us) > 1 and share is None else (u, v)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches come sorted by key and pair; the last group waits for the next batch."""
-        rest: list[np.ndarray] | None = None
-
-        def groups(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray] | None]:
-            key, pair, role, *others = cols
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-            begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-            tail = None
-            if not last:
-                tail = [c[begin[-1] :].copy() for c in cols]
-                begin, end = begin[:-1], end[:-1]
-            own = np.concatenate([[0], np.cumsum(role != 1)])
-            wanted = (end - begin > 1) & (own[end] > own[begin])
-            us, vs = [], []
-            for a, b in zip(begin[wanted].tolist(), end[wanted].tolist()):
-                u, v = links(int(key[a]), role[a:b], *(c[a:b] for c in others))
-                if len(u):
-                    us.append(u)
-                    vs.append(v)
-            found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=LINKS.names) if us else None
-            return found, tail
-
-        waiting: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols[4:6] = [c.view(np.uint64) for c in cols[4:6]]
-            waiting.append(cols)
-            first = waiting[0]
-            if cols[0][-1] == first[0][0] and cols[1][-1] == first[1][0]:
-                continue  # one group so far
-            cols = [np.concatenate(x) for x in zip(*waiting)] if len(waiting) > 1 else cols
-            found, rest = groups(cols, False)
-            waiting = [rest]
-            if found is not None:
-                yield found
-        if waiting:
-            found, _ = groups([np.concatenate(x) for x in zip(*waiting)], True)
-            if found is not None:
-                yield found
-
-    return run
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return forest(u, v) if len(us) > 1 else (u, v)
 
-
-def verified(links: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
-    """The links whose texts share ``least_jaccard`` of their distinct shingles; only linked texts are fetched."""
-    linked = materialise(links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "linked-ids")
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(bounded(linked), "doc_id", "left_semi")
-    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "linked-texts")
-    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near, known = [], {}
-            for ids in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, t in zip(ids, ids[2:]):
-                    if i not in known:
-                        known[i] = np.unique(shingle_hashes(t, rule.width, rule.seed))
-                x, y = known[ids[0]], known[ids[1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= rule.least_jaccard * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=LINKS.names)
-
-    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(lean(run), LINKS)
-
-
-def _links(classes: DataFrame, rule: NearDup, block: int, share: tuple[int, int] | None = None) -> DataFrame:
-    keyed = _blocked(classes, rule, block)
-    return keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lean(_linker(rule, share), None), LINKS)
-
-
-def _in_parts(classes: DataFrame, reach: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rep, fp, fp2, root`` of the classes in groups of proposed links (``reach``) that the
-    verified ones (``roots``) leave in parts. Two classes alone have one link, and it failed."""
-    near = reach.unionAll(reach.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "reach")
-    parts = near.join(roots, "node", "left").select("node", "reach", F.coalesce("root", "node").alias("root"))
-    parts = materialise(parts, "parts")
-    groups = parts.groupBy("reach").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 AND a < b").select("reach")
-    return classes.join(parts.join(groups, "reach", "left_semi"), F.col("rep") == F.col("node")).select("rep", "fp", "fp2", "root")
-
-
-def _verified_components(proposed: DataFrame, classes: DataFrame, docs: DataFrame, rule: NearDup, block: int) -> DataFrame:
-    """``components`` of all links within the bit limits that verify; ``proposed`` spans them in each key."""
-    passed = materialise(verified(proposed, docs, rule), "verified")
-    reach, roots = components(proposed), components(passed)
-    for share in zip(ROUNDS, ROUNDS[1:]):
-        left = materialise(_in_parts(classes, reach, roots), "in-parts")
-        if left.isEmpty():
-            break
-        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        more = materialise(_links(left.repartition(tasks), rule, block, share), "more-links")
-        if more.isEmpty():
-            continue
-        passed = materialise(passed.unionAll(verified(more, docs, rule)), "verified")
-        roots = components(passed)
-    return roots
+    return grouped(links, slice(4, 5))
 
 
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), block: int = BLOCK) -> DataFrame:
-    """``doc_id, fp, fp2, component_id`` for each document.
+    """``doc_id, fp, component_id`` for each document.
 
     ``component_id`` is the smallest ``doc_id`` that links reach. A null text is empty;
-    a text without words has fingerprint 0 and links like any other. Repeated rows give
-    repeated rows. A null ``doc_id`` stays null and takes the smallest id of its
-    fingerprint's component (null if no row of that fingerprint has an id). Other columns
-    are ignored; an empty table gives no rows.
+    a text without words has fingerprint 0 and links like any other; very long texts count
+    whole. Repeated rows give repeated rows. A null ``doc_id`` stays null and takes the
+    smallest id of its fingerprint's component (null if no row of that fingerprint has an
+    id). Other columns are ignored; an empty table gives no rows.
     """
     prints = materialise(fingerprints(docs, rule), "fingerprints")
-    classes = materialise(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     # Each class becomes many rows: they are made by as many tasks as will sort them.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = classes.where("rep IS NOT NULL").repartition(tasks)
     if rule.max_bits:
-        links = _links(named, rule, block)
+        keyed = _blocked(named, rule, block)
+        links = keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lean(_linker(rule), None), LINKS)
     else:
         links = named.limit(0).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
-    if rule.max_bits and rule.least_jaccard is not None:
-        roots = _verified_components(materialise(links.distinct(), "near-links"), named, docs, rule, block)
-    else:
-        roots = components(links)
-    found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", "fp2", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(found, ["fp", "fp2"]).select("doc_id", "fp", "fp2", "component_id")
-
-
-def keep_one(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the smallest id.
-
-    Exact repeats of a kept row go as well. Rows without an id stay: no link can name
-    them. All columns are kept.
-    """
-    key = f"{HELPER}id"
-    found = near_duplicates(docs, rule).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count("*").alias("n"))
-    special = found.select(F.col("doc_id").alias(key), (F.col("doc_id") != F.col("root")).alias("goes"), "n").where("goes OR n > 1")
-    special = materialise(special, "special-ids")
-    # The ids that go are far fewer than those that stay; texts stay where they are while those fit a broadcast.
-    goes, repeated = (bounded(special.where(which).select(key)) for which in ("goes", "NOT goes"))
-    same = F.col("doc_id").cast("long") == F.col(key)
-    rest = docs.join(goes, same, "left_anti")
-    again = rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(repeated, same, "left_anti").unionByName(again)
+    found = classes.join(components(links), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")

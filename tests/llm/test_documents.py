@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from linkloom.llm import license_scan, media, mixing, order_minhash, packing, passages, simhash, weak_labels
+from linkloom.llm import license_scan, media, mixing, near_copies, order_minhash, packing, passages, simhash, weak_labels
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -227,7 +227,7 @@ def test_simhash_links_all_pairs(spark, block):
             fp ^= 1 << int(b)
         prints.append((i, signed(fp % (1 << 64))))
     rule = simhash.NearDup(max_bits=4)
-    classes = spark.createDataFrame([(i, fp, 0) for i, fp in prints], "rep long, fp long, fp2 long").dropDuplicates(["fp"])
+    classes = spark.createDataFrame(prints, "rep long, fp long").dropDuplicates(["fp"])
     kept = [(r.rep, r.fp) for r in classes.collect()]
     keyed = simhash._blocked(classes, rule, block)
     links = keyed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(simhash._linker(rule), simhash.LINKS)
@@ -257,8 +257,7 @@ def test_links_are_verified(spark):
     words = [f"w{i}" for i in range(120)]
     vary = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(words))
     docs = spark.createDataFrame([(1, vary()), (2, vary(60)), (3, vary(60, 100)), (4, vary(10, 30, 50, 70, 90)), (5, " ".join(reversed(words)))], "doc_id long, text string")
-    rule = simhash.NearDup(max_bits=20, check_bits=60, least_jaccard=0.8)
-    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, rule).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
 def test_nearest_links_are_a_minimum_forest():
@@ -283,7 +282,7 @@ def test_nearest_links_are_a_minimum_forest():
 
 
 def test_keep_one_of_each_group(messy):
-    kept = simhash.keep_one(messy).collect()
+    kept = near_copies.keep_one(messy).collect()
     assert sorted(kept[0].asDict()) == sorted(messy.columns)
     assert sum(r.doc_id == 4 for r in kept) == 1 and sum(r.doc_id == 5 for r in kept) == 0
 
@@ -314,7 +313,7 @@ def test_packing_round_trip(spark, messy):
 
 WHOLE = {
     "scan": license_scan.scan, "mix": mixing.mix, "omh": order_minhash.compare_edited, "classify": weak_labels.classify, "passages": passages.remove_repeats,
-    "near": simhash.near_duplicates, "mixed": mixing.mixed, "pack": packing.pack, "interleave": media.interleave, "keep_one": simhash.keep_one,
+    "near": simhash.near_duplicates, "mixed": mixing.mixed, "pack": packing.pack, "interleave": media.interleave, "keep_one": near_copies.keep_one,
 }
 
 
