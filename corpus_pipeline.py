@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import mixing, packing, passages, simhash, weak_labels
+from linkloom.llm import mixing, near_copies, packing, passages, weak_labels
 from linkloom.llm.common import materialise, table
 
-#: Shingles of five words. At a Jaccard similarity of 0.8 fingerprints differ in 9.7 of 64
-#: bits on average; 12 (and 24 of 128 over both fingerprints) leave room for chance, and
-#: the texts of a link must share 0.8 of their shingles.
-NEAR_DUP = simhash.NearDup(width=5, max_bits=12, check_bits=24, least_jaccard=0.8)
+#: Five-word shingles; texts that share 0.8 of them are near copies.
+NEAR_COPIES = near_copies.NearCopies(width=5, least_jaccard=0.8)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, NEAR_DUP)
+    return near_copies.keep_one(docs, NEAR_COPIES)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
