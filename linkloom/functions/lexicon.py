@@ -2,120 +2,68 @@
 
 from __future__ import annotations
 
-
-def _pairs(text: str) -> dict[str, str]:
-    """``short: long, long ...`` lines as a mapping from each spelling to the short form."""
-    found: dict[str, str] = {}
-    for line in text.strip().splitlines():
-        short, _, longs = line.partition(":")
-        for spelling in longs.split(","):
-            found.setdefault(spelling.strip(), short.strip())
-    return found
-
-
-# Legal forms and their short forms.
-LEGAL_FORMS = _pairs("""
-inc: incorporated, inc, incorporation
-corp: corporation, corp, corporations
-co: company, co, companies
-ltd: limited, ltd, ltda
-pvt: private, pvt, pte
-pty: proprietary, pty
-llc: llc
-lllp: lllp
-llp: llp
-lp: lp
-plc: plc
-solutions: solutions
-gmbh: gmbh
-sarl: sarl
-sa: sa
-sas: sas
-ag: ag
-bv: bv
-nv: nv
-spa: spa
-sl: sl
-eurl: eurl
-""")
+# Spellings of legal forms and their short forms.
+LEGAL_FORMS = {
+    "incorporated": "inc", "inc": "inc", "incorporation": "inc", "corporation": "corp", "corp": "corp", "corporations": "corp", "company": "co",
+    "co": "co", "companies": "co", "limited": "ltd", "ltd": "ltd", "ltda": "ltd", "private": "pvt", "pvt": "pvt", "pte": "pvt", "proprietary": "pty",
+    "pty": "pty", "llc": "llc", "lllp": "lllp", "llp": "llp", "lp": "lp", "plc": "plc", "solutions": "solutions", "gmbh": "gmbh", "sarl": "sarl",
+    "sa": "sa", "sas": "sas", "ag": "ag", "bv": "bv", "nv": "nv", "spa": "spa", "sl": "sl", "eurl": "eurl",
+}
 
 # Words of a name that say nothing.
-NAME_NOISE = tuple("the a an of and or at in on for to m ms mr mrs miss dr sri shree shri smt messrs aka dba fka trading as t".split())
-
-# Street types and their short forms.
-STREET_TYPES = _pairs("""
-st: street, st, str, saint
-rd: road, rd
-rte: route, rte
-dr: drive, dr, doctor
-ln: lane, ln
-ave: avenue, ave, av, avenida
-blvd: boulevard, blvd, boul, blv
-ct: court, ct
-cir: circle, cir
-pl: place, pl
-plz: plaza, plz
-hwy: highway, hwy
-pkwy: parkway, pkwy
-sq: square, sq
-ter: terrace, ter
-trl: trail, trl, tr
-way: way
-walk: walk
-row: row
-cross: cross
-main: main
-marg: marg
-nagar: nagar
-colony: colony
-sector: sector
-blk: block, blk
-plot: plot
-surv: survey, surv
-chemin: chemin
-impasse: impasse
-allee: allee
-quai: quai
-passage: passage
-voie: voie
-""")
+NAME_NOISE = (
+    "the", "a", "an", "of", "and", "or", "at", "in", "on", "for", "to", "m", "ms", "mr", "mrs", "miss", "dr", "sri", "shree", "shri", "smt", "messrs",
+    "aka", "dba", "fka", "trading", "as", "t",
+)
+
+# Spellings of street types and their short forms.
+STREET_TYPES = {
+    "street": "st", "st": "st", "str": "st", "saint": "st", "road": "rd", "rd": "rd", "route": "rte", "rte": "rte", "drive": "dr", "dr": "dr",
+    "doctor": "dr", "lane": "ln", "ln": "ln", "avenue": "ave", "ave": "ave", "av": "ave", "avenida": "ave", "boulevard": "blvd", "blvd": "blvd",
+    "boul": "blvd", "blv": "blvd", "court": "ct", "ct": "ct", "circle": "cir", "cir": "cir", "place": "pl", "pl": "pl", "plaza": "plz", "plz": "plz",
+    "highway": "hwy", "hwy": "hwy", "parkway": "pkwy", "pkwy": "pkwy", "square": "sq", "sq": "sq", "terrace": "ter", "ter": "ter", "trail": "trl",
+    "trl": "trl", "tr": "trl", "way": "way", "walk": "walk", "row": "row", "cross": "cross", "main": "main", "marg": "marg", "nagar": "nagar",
+    "colony": "colony", "sector": "sector", "block": "blk", "blk": "blk", "plot": "plot", "survey": "surv", "surv": "surv", "chemin": "chemin",
+    "impasse": "impasse", "allee": "allee", "quai": "quai", "passage": "passage", "voie": "voie",
+}
 
 # Address words that say little.
-ADDRESS_NOISE = tuple("""
-po pob box pmb pobox cmb unit apt apartment suite ste floor flr fl building bldg shop flat room rm no num number
-hn house hno dno door near opp opposite behind beside adjacent off above below next landmark dist district post
-taluka tehsil village vill pin pincode zip zipcode gpo
-""".split())
+ADDRESS_NOISE = (
+    "po", "pob", "box", "pmb", "pobox", "cmb", "unit", "apt", "apartment", "suite", "ste", "floor", "flr", "fl", "building", "bldg", "shop", "flat",
+    "room", "rm", "no", "num", "number", "hn", "house", "hno", "dno", "door", "near", "opp", "opposite", "behind", "beside", "adjacent", "off",
+    "above", "below", "next", "landmark", "dist", "district", "post", "taluka", "tehsil", "village", "vill", "pin", "pincode", "zip", "zipcode",
+    "gpo",
+)
 
 # States and regions and their codes, in the order that decides which name a shared word belongs to.
-STATES = {name.strip(): code.strip() for name, code in (x.split("=") for x in """
-alabama=al, alaska=ak, arizona=az, arkansas=ar, california=ca, colorado=co, connecticut=ct, delaware=de, florida=fl,
-georgia=ga, hawaii=hi, idaho=id, illinois=il, indiana=in, iowa=ia, kansas=ks, kentucky=ky, louisiana=la, maine=me,
-maryland=md, massachusetts=ma, michigan=mi, minnesota=mn, mississippi=ms, missouri=mo, montana=mt, nebraska=ne,
-nevada=nv, new hampshire=nh, new jersey=nj, new mexico=nm, new york=ny, north carolina=nc, north dakota=nd, ohio=oh,
-oklahoma=ok, oregon=or, pennsylvania=pa, rhode island=ri, south carolina=sc, south dakota=sd, tennessee=tn, texas=tx,
-utah=ut, vermont=vt, virginia=va, washington=wa, west virginia=wv, wisconsin=wi, wyoming=wy, district of columbia=dc,
-puerto rico=pr, virgin islands=vi, guam=gu,
-andhra pradesh=ap, arunachal pradesh=ar, assam=as, bihar=br, chhattisgarh=cg, goa=ga, gujarat=gj, haryana=hr,
-himachal pradesh=hp, jharkhand=jh, karnataka=ka, kerala=kl, madhya pradesh=mp, maharashtra=mh, manipur=mn,
-meghalaya=ml, mizoram=mz, nagaland=nl, odisha=od, orissa=od, punjab=pb, rajasthan=rj, sikkim=sk, tamil nadu=tn,
-telangana=tg, tripura=tr, uttar pradesh=up, uttarakhand=uk, west bengal=wb, delhi=dl, new delhi=dl,
-jammu and kashmir=jk, ladakh=la, puducherry=py, pondicherry=py, chandigarh=ch,
-ile de france=idf, nouvelle aquitaine=naq, auvergne rhone alpes=ara, occitanie=occ, provence alpes cote d azur=paca,
-bretagne=bre, normandie=nor, pays de la loire=pdl, grand est=ges, hauts de france=hdf, bourgogne franche comte=bfc,
-centre val de loire=cvl, corse=cor
-""".replace("\n", " ").split(","))}
+STATES = {
+    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de",
+    "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks",
+    "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md", "massachusetts": "ma", "michigan": "mi", "minnesota": "mn",
+    "mississippi": "ms", "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv", "new hampshire": "nh", "new jersey": "nj",
+    "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd", "ohio": "oh", "oklahoma": "ok", "oregon": "or",
+    "pennsylvania": "pa", "rhode island": "ri", "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut",
+    "vermont": "vt", "virginia": "va", "washington": "wa", "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy", "district of columbia": "dc",
+    "puerto rico": "pr", "virgin islands": "vi", "guam": "gu", "andhra pradesh": "ap", "arunachal pradesh": "ar", "assam": "as", "bihar": "br",
+    "chhattisgarh": "cg", "goa": "ga", "gujarat": "gj", "haryana": "hr", "himachal pradesh": "hp", "jharkhand": "jh", "karnataka": "ka",
+    "kerala": "kl", "madhya pradesh": "mp", "maharashtra": "mh", "manipur": "mn", "meghalaya": "ml", "mizoram": "mz", "nagaland": "nl",
+    "odisha": "od", "orissa": "od", "punjab": "pb", "rajasthan": "rj", "sikkim": "sk", "tamil nadu": "tn", "telangana": "tg", "tripura": "tr",
+    "uttar pradesh": "up", "uttarakhand": "uk", "west bengal": "wb", "delhi": "dl", "new delhi": "dl", "jammu and kashmir": "jk", "ladakh": "la",
+    "puducherry": "py", "pondicherry": "py", "chandigarh": "ch", "ile de france": "idf", "nouvelle aquitaine": "naq", "auvergne rhone alpes": "ara",
+    "occitanie": "occ", "provence alpes cote d azur": "paca", "bretagne": "bre", "normandie": "nor", "pays de la loire": "pdl", "grand est": "ges",
+    "hauts de france": "hdf", "bourgogne franche comte": "bfc", "centre val de loire": "cvl", "corse": "cor",
+}
 
 # Phrases of several words that become one token.
-PHRASES = {name.strip(): code.strip() for name, code in (x.split("=") for x in """
-new york=ny, new jersey=nj, new mexico=nm, new hampshire=nh, new delhi=dl, north carolina=nc, south carolina=sc,
-north dakota=nd, south dakota=sd, west bengal=wb, west virginia=wv, rhode island=ri, po box=pobox, p o box=pobox,
-post office box=pobox, tamil nadu=tn, andhra pradesh=ap, madhya pradesh=mp, uttar pradesh=up, himachal pradesh=hp,
-arunachal pradesh=ar, jammu and kashmir=jk, andaman and nicobar islands=an, dadra and nagar haveli=dn,
-daman and diu=dd, ile de france=idf, nouvelle aquitaine=naq, auvergne rhone alpes=ara,
-provence alpes cote d azur=paca, pays de la loire=pdl, grand est=ges, hauts de france=hdf,
-bourgogne franche comte=bfc, centre val de loire=cvl, district of columbia=dc
-""".replace("\n", " ").split(","))}
+PHRASES = {
+    "new york": "ny", "new jersey": "nj", "new mexico": "nm", "new hampshire": "nh", "new delhi": "dl", "north carolina": "nc",
+    "south carolina": "sc", "north dakota": "nd", "south dakota": "sd", "west bengal": "wb", "west virginia": "wv", "rhode island": "ri",
+    "po box": "pobox", "p o box": "pobox", "post office box": "pobox", "tamil nadu": "tn", "andhra pradesh": "ap", "madhya pradesh": "mp",
+    "uttar pradesh": "up", "himachal pradesh": "hp", "arunachal pradesh": "ar", "jammu and kashmir": "jk", "andaman and nicobar islands": "an",
+    "dadra and nagar haveli": "dn", "daman and diu": "dd", "ile de france": "idf", "nouvelle aquitaine": "naq", "auvergne rhone alpes": "ara",
+    "provence alpes cote d azur": "paca", "pays de la loire": "pdl", "grand est": "ges", "hauts de france": "hdf", "bourgogne franche comte": "bfc",
+    "centre val de loire": "cvl", "district of columbia": "dc",
+}
 
 
 def ordered_phrases() -> list[tuple[str, str]]:

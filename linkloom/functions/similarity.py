@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.functions import lanes
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct tokens; 0 if both are empty."""
@@ -25,12 +28,13 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Sorted character bigrams with repeats, numbered by occurrence, so that sets compare as multisets."""
+    """Character bigrams with repeats as sorted numbers: both code points and the number of the occurrence, so that sets compare as multisets."""
     n = F.length(text) - 1
-    none = F.array().cast("array<string>")
-    grams = F.when(n < 1, none).otherwise(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))))
-    numbered = lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(g, x) + 1).cast("string")))
-    return F.get(F.transform(F.array(grams), numbered), 0)
+    none = F.array().cast("array<bigint>")
+    code = lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("long")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.shiftleft(F.shiftleft(code(i), 21).bitwiseOR(code(i + 1)), 20))
+    numbered = lambda g: F.transform(g, lambda x, i: x + (i - F.array_position(g, x) + 1))
+    return F.when(n < 1, none).otherwise(F.get(F.transform(F.array(F.array_sort(pairs)), numbered), 0))
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:
@@ -137,13 +141,69 @@ KERNELS = {"ratio": ratio, "partial": partial_ratio, "token_set": token_set_rati
 STRINGS = T.StructType([T.StructField(k, T.DoubleType()) for k in KERNELS])
 
 
+def _token_sets(words: list[list[str]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``token_set_ratio`` of the pairs of texts (by index), each text given as its sorted distinct words."""
+    found, rest, sizes = np.zeros(len(x)), ([], [], []), []
+    sets = [set(w) for w in words]
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        if not words[i] or not words[j]:
+            continue
+        both = len(" ".join(t for t in words[i] if t in sets[j]))
+        one, two = " ".join(t for t in words[i] if t not in sets[j]), " ".join(t for t in words[j] if t not in sets[i])
+        if both and (not one or not two):
+            found[k] = 1.0
+            continue
+        for column, value in zip(rest, (k, one, two)):
+            column.append(value)
+        sizes.append((both, len(one), len(two)))
+    if sizes:
+        both, one, two = np.array(sizes).T
+        gap = both > 0
+        first, second = both + gap + one, both + gap + two
+        shared = lanes.in_batches(lanes.common_lengths, rest[1], rest[2])
+        score = 2 * (both + gap + shared) / (first + second)
+        found[rest[0]] = np.where(gap, np.maximum(score, np.maximum(2 * both / (both + first), 2 * both / (both + second))), score)
+    return found
+
+
+def all_scores(a: list[str], b: list[str]) -> dict[str, np.ndarray]:
+    """The five scores of each pair, over all pairs at once. Very long texts go through the kernels one by one."""
+    lone = [i for i, (x, y) in enumerate(zip(a, b)) if len(x) * len(y) > lanes.CELLS or "\0" in x or "\0" in y]
+    apart = set(lone)
+    at = np.array([i for i in range(len(a)) if i not in apart], np.int64)
+    out = {k: np.zeros(len(a)) for k in KERNELS}
+    for i in lone:
+        for k, f in KERNELS.items():
+            out[k][i] = f(a[i], b[i])
+    if not len(at):
+        return out
+    short, long = zip(*((a[i], b[i]) if len(a[i]) <= len(b[i]) else (b[i], a[i]) for i in at.tolist()))
+    out["ratio"][at], partial = lanes.in_batches(lanes.ratios, short, long, 2)
+    # Texts of one length: windows of either.
+    even = [i for i, (x, y) in enumerate(zip(short, long)) if len(x) == len(y) and x != y]
+    if even:
+        partial[even] = np.maximum(partial[even], lanes.in_batches(lanes.ratios, [long[i] for i in even], [short[i] for i in even], 2)[1])
+    out["partial"][at] = partial
+    texts, where = np.unique(np.array([*(a[i] for i in at.tolist()), *(b[i] for i in at.tolist())], object), return_inverse=True)
+    x, y = where[: len(at)], where[len(at) :]
+    split = [t.split() for t in texts]
+    ordered = [" ".join(sorted(w)) for w in split]
+    one, two = [ordered[i] for i in x.tolist()], [ordered[i] for i in y.tolist()]
+    total = np.array([len(p) + len(q) for p, q in zip(one, two)])
+    out["token_sort"][at] = np.where(total > 0, 2 * lanes.in_batches(lanes.common_lengths, one, two) / np.maximum(total, 1), 1.0)
+    out["token_set"][at] = _token_sets([sorted(set(w)) for w in split], x, y)
+    fits = np.array([len(b[i]) <= lanes.WORD for i in at.tolist()])
+    in_word = at[fits].tolist()
+    out["jw"][in_word] = lanes.in_batches(lanes.jaro_winklers, [a[i] for i in in_word], [b[i] for i in in_word])
+    for i in at[~fits].tolist():
+        out["jw"][i] = jaro_winkler(a[i], b[i])
+    return out
+
+
 @F.pandas_udf(STRINGS)
 def string_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """All five string scores; equal pairs of a batch are computed once."""
-    known: dict[tuple[str, str], tuple[float, ...]] = {}
-    rows = []
-    for pair in zip(a.fillna(""), b.fillna("")):
-        if pair not in known:
-            known[pair] = tuple(f(*pair) for f in KERNELS.values())
-        rows.append(known[pair])
-    return pd.DataFrame(rows, columns=list(KERNELS))
+    (x, left), (y, right) = (pd.factorize(s.fillna("")) for s in (a, b))
+    pairs, back = np.unique(x.astype(np.int64) * max(1, len(right)) + y, return_inverse=True)
+    scores = all_scores([left[i] for i in pairs // max(1, len(right))], [right[i] for i in pairs % max(1, len(right))])
+    return pd.DataFrame({k: v[back] for k, v in scores.items()})

@@ -117,12 +117,23 @@ def tokens(norm: Column) -> Column:
     return F.filter(F.split(norm, " "), lambda t: t != "")
 
 
-def merge_phrases(words: Column) -> Column:
-    """Phrases of the table become one token each, on token boundaries, longest first."""
-    spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    for phrase, code in lexicon.ordered_phrases():
-        spaced = F.replace(spaced, F.lit(f" {phrase.replace(' ', '  ')} "), F.lit(f" {code} "))
-    return F.when(F.size(words) < 2, words).otherwise(F.filter(F.split(spaced, " +"), lambda t: t != ""))
+def merge_phrases(words: Column, compat: bool = False) -> Column:
+    """Phrases of the table become one token each, on token boundaries, longest first.
+
+    ``compat``: in the table's order and inside words too, where some token is the
+    phrase's first word (``grand estate`` reads ``ges ate``).
+    """
+    if compat:
+        merged = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        for phrase, code in lexicon.PHRASES.items():
+            # Normalised text holds no control character: without the first word nothing is found.
+            sought = F.when(F.array_contains(words, phrase.split()[0]), phrase).otherwise("\x01")
+            merged = F.replace(merged, sought, F.lit(f" {code} "))
+    else:
+        merged = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+        for phrase, code in lexicon.ordered_phrases():
+            merged = F.replace(merged, F.lit(f" {phrase.replace(' ', '  ')} "), F.lit(f" {code} "))
+    return F.when(F.size(words) < 2, words).otherwise(F.filter(F.split(merged, " +"), lambda t: t != ""))
 
 
 def mapped(words: Column, table: dict[str, str]) -> Column:
@@ -131,15 +142,15 @@ def mapped(words: Column, table: dict[str, str]) -> Column:
     return F.transform(words, lambda t: F.coalesce(F.try_element_at(lookup, t), t))
 
 
-def name_tokens(norm: Column) -> Column:
+def name_tokens(norm: Column, compat: bool = False) -> Column:
     """Tokens of a name: phrases merged, legal forms shortened, noise dropped; order and repeats stay."""
     noise = literals(lexicon.NAME_NOISE)
-    return F.filter(mapped(merge_phrases(tokens(norm)), lexicon.LEGAL_FORMS), lambda t: ~F.array_contains(noise, t))
+    return F.filter(mapped(merge_phrases(tokens(norm), compat), lexicon.LEGAL_FORMS), lambda t: ~F.array_contains(noise, t))
 
 
-def addr_tokens(norm: Column, split_states: bool = False) -> Column:
+def addr_tokens(norm: Column, split_states: bool = False, compat: bool = False) -> Column:
     """Tokens of an address: phrases merged, street types and then states shortened."""
-    streets = mapped(merge_phrases(tokens(norm)), lexicon.STREET_TYPES)
+    streets = mapped(merge_phrases(tokens(norm), compat), lexicon.STREET_TYPES)
     return mapped(streets, lexicon.state_tokens(split_states))
 
 
@@ -149,6 +160,12 @@ def without_noise(words: Column) -> Column:
     return F.filter(words, lambda t: ~F.array_contains(noise, t))
 
 
+def without_generic(words: Column) -> Column:
+    """Tokens without legal forms, street types and the noise of names and addresses."""
+    generic = literals(lexicon.generic_tokens())
+    return F.filter(words, lambda t: ~F.array_contains(generic, t))
+
+
 def numeric_tokens(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(r"(\d+)"), F.lit(1))
 

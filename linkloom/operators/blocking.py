@@ -25,7 +25,11 @@ def rarest_keys(keys: DataFrame, frequency: DataFrame, cfg: LinkConfig) -> DataF
     own = keys.where("src = 1 AND key_class <> 'D'").select(F.col("entity_id").alias("s1_id"), "key")
     met = own.join(frequency, "key", "left").select("s1_id", "key", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
     order = Window.partitionBy("s1_id").orderBy("df", "key")
-    chosen = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cfg.k).drop("r")
+    chosen = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cfg.k)
+    if cfg.soft_cap is not None:
+        # Keys over the soft cap probe only for records whose rarest key is over it.
+        chosen = chosen.withColumn("rarest", F.min("df").over(Window.partitionBy("s1_id"))).where((F.col("df") <= cfg.soft_cap) | (F.col("rarest") > cfg.soft_cap)).drop("rarest")
+    chosen = chosen.drop("r")
     return chosen.where(F.col("df") <= cfg.hard_cap) if cfg.hard_cap is not None else chosen
 
 

@@ -9,7 +9,7 @@ from linkloom.functions import lexicon
 from linkloom.functions import similarity as sim
 from linkloom.functions.text import literals
 
-#: Features in the order of the model's vector.
+# The features' names, in the order of the model's vector.
 FEATURES = (
     "n_jaccard", "n_overlap", "n_ratio", "n_partial", "n_token_set", "n_token_sort", "n_charbigram", "n_jw", "n_len_ratio",
     "n_suffix_agree", "n_suffix_both", "n_nontok", "n_core_jaccard",
@@ -28,12 +28,11 @@ def _among(words: Column, table) -> Column:
     return F.array_intersect(words, literals(sorted(table)))
 
 
-def record_side(prepared: DataFrame, keys: DataFrame, side: str) -> DataFrame:
+def record_side(prepared: DataFrame, side: str) -> DataFrame:
     """A record's arrays, made once before the pair join and named by ``side`` (1 or 2)."""
     legal, states = lexicon.LEGAL_FORMS, [t for t in lexicon.state_tokens() if len(t) == 2]
-    n_keys = keys.select("entity_id", "n_keys").distinct()
-    rows = prepared.join(n_keys, "entity_id", "left").select(
-        "entity_id", "name_norm", "addr_norm", "country", "digits", "postal", F.coalesce("n_keys", F.lit(0)).alias("n_keys"),
+    rows = prepared.select(
+        "entity_id", "name_norm", "addr_norm", "country", "digits", "postal", F.size("keys").alias("n_keys"),
         F.array_distinct("name_toks").alias("names"), F.array_distinct("addr_toks").alias("addrs"),
         _among(F.col("name_toks"), legal).alias("legal"), F.array_except("name_toks", literals(sorted(legal))).alias("core"),
         _among(F.col("addr_toks"), states).alias("states"), F.filter("digits", lambda d: F.length(d).isin(5, 6)).alias("postals"),
@@ -42,10 +41,10 @@ def record_side(prepared: DataFrame, keys: DataFrame, side: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"{c}{side}") for c in rows.columns))
 
 
-def meet(pairs: DataFrame, prepared: DataFrame, keys: DataFrame) -> DataFrame:
-    """Candidate pairs with both records' columns."""
-    s1 = record_side(prepared.where("src = 1"), keys.where("src = 1"), "1").withColumnRenamed("entity_id1", "s1_id")
-    target = record_side(prepared.where("src > 1"), keys.where("src > 1"), "2").withColumnRenamed("entity_id2", "t_id")
+def meet(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Candidate pairs with both records' columns; of these, only those in use reach the joins."""
+    s1 = record_side(prepared.where("src = 1"), "1").withColumnRenamed("entity_id1", "s1_id")
+    target = record_side(prepared.where("src > 1"), "2").withColumnRenamed("entity_id2", "t_id")
     return pairs.join(s1, "s1_id").join(target, "t_id")
 
 
@@ -95,7 +94,7 @@ def string_features(met: DataFrame) -> DataFrame:
     return scored.drop("_n", "_a")
 
 
-def pair_features(pairs: DataFrame, prepared: DataFrame, keys: DataFrame) -> DataFrame:
+def pair_features(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     """``s1_id, t_id`` and the 34 features as doubles."""
-    scored, made = string_features(meet(pairs, prepared, keys)), expressions()
+    scored, made = string_features(meet(pairs, prepared)), expressions()
     return scored.select("s1_id", "t_id", *((made[f] if f in made else F.col(f)).cast("double").alias(f) for f in FEATURES))

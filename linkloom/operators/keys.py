@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from linkloom.functions import text
 
 
-def prepare(normalised: DataFrame, split_states: bool = False) -> DataFrame:
-    """Adds ``name_toks, addr_toks, digits, postal``: what keys and features need, once per record."""
-    with_digits = normalised.withColumn("digits", text.digit_runs(F.col("addr_norm")))
-    return (
-        with_digits.withColumn("name_toks", text.name_tokens(F.col("name_norm")))
-        .withColumn("addr_toks", text.addr_tokens(F.col("addr_norm"), split_states))
-        .withColumn("postal", text.postal(F.col("digits")))
+def prepare(normalised: DataFrame, split_states: bool = False, compat: bool = False) -> DataFrame:
+    """Adds ``name_toks, addr_toks, digits, postal, keys``: what blocking and features need, once per record."""
+    with_tokens = (
+        normalised.withColumn("digits", text.digit_runs(F.col("addr_norm"))).withColumn("name_toks", text.name_tokens(F.col("name_norm"), compat))
+        .withColumn("addr_toks", text.addr_tokens(F.col("addr_norm"), split_states, compat)).withColumn("postal", text.postal(F.col("digits")))
     )
+    return with_tokens.withColumn("keys", record_keys(F.col("name_toks"), F.col("addr_toks"), F.col("digits"), F.col("country")))
 
 
 def _neighbours(words: Column, tag: str) -> Column:
@@ -40,7 +39,12 @@ def record_keys(name_toks: Column, addr_toks: Column, digits: Column, country: C
 
 
 def blocking_keys(prepared: DataFrame) -> DataFrame:
-    """``src, entity_id, key, key_class, n_keys``, one row per record and key."""
-    keyed = prepared.withColumn("keys", record_keys(F.col("name_toks"), F.col("addr_toks"), F.col("digits"), F.col("country")))
-    long = keyed.select("src", "entity_id", F.size("keys").alias("n_keys"), F.when(text.country_label(F.col("country")) == "", 1).otherwise(F.length(text.country_label(F.col("country"))) + 2).alias("at"), F.explode("keys").alias("key"))
-    return long.select("src", "entity_id", "key", F.expr("substr(key, at, 1)").alias("key_class"), "n_keys")
+    """``src, entity_id, key, key_class``, one row per record and key.
+
+    ``explode_outer``: from a plain ``explode`` Spark infers a filter on the array, which
+    repeats the whole expression behind it where the records are not written.
+    """
+    label = text.country_label(F.col("country"))
+    at = F.when(label == "", 1).otherwise(F.length(label) + 2)
+    long = prepared.select("src", "entity_id", at.alias("at"), F.explode_outer("keys").alias("key")).where("key IS NOT NULL")
+    return long.select("src", "entity_id", "key", F.expr("substr(key, at, 1)").alias("key_class"))

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkloom.scratch import bounded, exists, materialise
+
+#: Offenders of a rule that the report names, and the groups that pick them.
+EXAMPLES, GROUPS = 5, 64
 HEADERS = {"matches": ("source1_entity_id", "matched_entity_ids"), "candidates": ("source1_entity_id", "candidate_entity_ids")}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line`` (from 1) and ``value``; lines of one file in order."""
-    rows = spark.read.text(path, wholetext=True).select("value")
-    lines = F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n"))
-    return rows.select(lines.alias("line", "value")).select((F.col("line") + 1).alias("line"), "value")
+    """``line`` (from 1, in each file) and ``value``.
+
+    Files are read by splits. A row's number inside its split comes from the reader's own
+    order; the splits' row counts are summed in the order of their offsets (one row a split).
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialise(splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "splits")
+    return rows.join(bounded(splits), ["file", "block"]).select((F.col("base") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -85,7 +97,7 @@ def outside_candidates(matched: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame, required: DataFrame, valid: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """``rule, severity, n, examples``, a row per rule that finds something."""
+    """``rule, severity, n, examples``, a row per rule that finds something; the first five offenders are named."""
     found = [
         ("malformed row", malformed(rows)) if "line" in rows.columns else None,
         ("duplicate record", duplicate_rows(rows)), ("duplicate id in a list", duplicate_ids(rows)), ("self match", self_matches(rows)),
@@ -100,10 +112,13 @@ def report(rows: DataFrame, required: DataFrame, valid: DataFrame | None = None,
         rule, offenders = entry
         part = offenders.select(F.lit(rule).alias("rule"), F.lit("warning" if rule.startswith("match outside") else "error").alias("severity"), "offender")
         whole = part if whole is None else whole.unionByName(part)
-    counted = whole.groupBy("rule", "severity").agg(F.count("*").alias("n"))
-    # Some first examples of each rule, without sorting all offenders of one in a task.
-    firsts = whole.groupBy("rule").agg(F.min("offender").alias("examples"))
-    return counted.join(firsts, "rule")
+    # Each group's first offenders, then the rule's: no task sorts all offenders of a rule.
+    dealt = F.pmod(F.xxhash64("offender"), F.lit(GROUPS))
+    first = lambda *by: Window.partitionBy("rule", *by).orderBy("offender")
+    some = whole.withColumn("g", dealt).withColumn("r", F.row_number().over(first("g"))).where(F.col("r") <= EXAMPLES)
+    some = some.withColumn("r", F.row_number().over(first())).where(F.col("r") <= EXAMPLES)
+    examples = some.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("offender")), ", ").alias("examples"))
+    return whole.groupBy("rule", "severity").agg(F.count("*").alias("n")).join(examples, "rule")
 
 
 def verdict(found: DataFrame) -> DataFrame:
@@ -113,8 +128,7 @@ def verdict(found: DataFrame) -> DataFrame:
 
 def check_file(spark: SparkSession, path: str, kind: str, required: DataFrame, valid: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """The report of one file; a missing file or a wrong header ends it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([("file not found", "error", 1, path)], "rule string, severity string, n long, examples string")
     lines = read_lines(spark, path)
     head = header_errors(lines, HEADERS[kind]).select("rule", F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n"), F.col("example").alias("examples"))

@@ -9,63 +9,75 @@ from pyspark.sql import functions as F
 
 from linkloom.config import LinkConfig
 from linkloom.operators import blocking, features, keys, labels, metrics, model, output
-from linkloom.sources.tables import normalise
+from linkloom.scratch import materialise, scratch_path, stored
+from linkloom.sources.tables import known_truth, normalise
+
+GRID = tuple(i / 20 for i in range(1, 20))
 
 
 @dataclass(frozen=True)
 class Prepared:
+    """``records`` is a written table; ``keys`` unfolds its key lists wherever they are read."""
+
     records: DataFrame
     keys: DataFrame
     n_targets: int
 
 
 def prepare(records: DataFrame, cfg: LinkConfig, store: str | None = None) -> Prepared:
-    """Normalised records with their tokens, and their keys.
+    """Normalised records with their tokens and keys, written once.
 
-    Frequencies, probes, postings and features all read them. With ``store`` (a folder
-    that all executors share) they are written there once, keys sorted by key inside each
-    file, and read back; without it the plan repeats them.
+    Frequencies, probes, postings and features all read them. They are written below
+    ``store`` (a folder that all executors share) unless they are there whole, else to the
+    scratch folder. Tokens cost far more than moving names, so records that come in few
+    files are dealt out first.
     """
-    ready = keys.prepare(normalise(records, cfg.scripts), cfg.split_states)
-    if store is None:
-        return Prepared(ready, keys.blocking_keys(ready), ready.where("src > 1").count())
     spark = records.sparkSession
-    ready.write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/records")
-    ready = spark.read.parquet(f"{store}/records")
-    keys.blocking_keys(ready).sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/keys")
-    return Prepared(ready, spark.read.parquet(f"{store}/keys"), ready.where("src > 1").count())
+    tasks = spark.sparkContext.defaultParallelism
+    rows = records.select("src", "entity_id", "business_name", "business_address", "country")
+    if len(records.inputFiles()) < tasks:
+        rows = rows.repartition(tasks, "entity_id")
+    ready = keys.prepare(normalise(rows, cfg.scripts), cfg.split_states, cfg.compat)
+    ready = stored(ready, f"{store or scratch_path(spark, 'records')}/records")
+    return Prepared(ready, keys.blocking_keys(ready), ready.where("src > 1").count())
 
 
 def candidates(p: Prepared, cfg: LinkConfig) -> DataFrame:
     return blocking.candidates(p.keys, cfg, p.n_targets)
 
 
-def featured(p: Prepared, cfg: LinkConfig) -> DataFrame:
-    return features.pair_features(candidates(p, cfg), p.records, p.keys)
+def featured(p: Prepared, cfg: LinkConfig, pairs: DataFrame | None = None) -> DataFrame:
+    return features.pair_features(candidates(p, cfg) if pairs is None else pairs, p.records)
 
 
 def source_ids(records: DataFrame) -> DataFrame:
     return records.where("src = 1").select(F.col("entity_id").alias("s1_id"))
 
 
-def train(records: DataFrame, truth: DataFrame, cfg: LinkConfig, grid: tuple[float, ...] = tuple(i / 20 for i in range(1, 20)), pairs: DataFrame | None = None):
+def train(records: DataFrame, truth: DataFrame, cfg: LinkConfig, grid: tuple[float, ...] = GRID, pairs: DataFrame | None = None):
     """The fitted model and the threshold of the best macro F0.5 on the validation records.
 
-    ``pairs``: featured candidates already written somewhere, if there are any.
+    ``pairs``: featured candidates already written somewhere, if there are any. Only pairs
+    of the training and validation records are featured and written otherwise. Truth on
+    records that do not exist is left out.
     """
-    p = prepare(records, cfg) if pairs is None else None
-    labelled = labels.label_pairs(featured(p, cfg) if pairs is None else pairs, truth, cfg)
-    fitted = model.fit(labelled)
+    truth = known_truth(truth, records)
+    if pairs is None:
+        p = prepare(records, cfg)
+        some = candidates(p, cfg).where(labels.split_of(F.col("s1_id"), cfg) != "rest")
+        pairs = featured(p, cfg, some)
+    labelled = materialise(labels.label_pairs(pairs, truth, cfg).where("split <> 'rest'"), "labelled")
+    fitted = model.fit(labelled, rounds=cfg.rounds, least_gain=cfg.least_gain)
     val = source_ids(records).where(labels.split_of(F.col("s1_id"), cfg) == "val")
-    scored = model.predict(fitted, labelled.where("split = 'val'"))
+    scored = materialise(model.predict(fitted, labelled.where("split = 'val'")), "validated")
     best = metrics.best_threshold(metrics.threshold_sweep(scored, truth.join(val, "s1_id", "left_semi"), val, grid)).first()
     return fitted, best.threshold
 
 
-def infer(records: DataFrame, fitted, threshold: float, cfg: LinkConfig) -> tuple[DataFrame, DataFrame]:
-    """The candidate lists and the match lists of all source-1 records."""
-    p = prepare(records, cfg)
-    pairs = featured(p, cfg)
+def infer(records: DataFrame, fitted, threshold: float, cfg: LinkConfig, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The candidate lists and the match lists of all source-1 records; ``pairs``: featured candidates, if written already."""
+    if pairs is None:
+        pairs = materialise(featured(prepare(records, cfg), cfg), "featured")
     s1 = source_ids(records)
     found = output.matches(model.predict(fitted, pairs), threshold)
     return output.id_lists(s1, pairs, "candidate_entity_ids"), output.id_lists(s1, found, "matched_entity_ids")

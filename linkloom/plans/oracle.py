@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from linkloom.functions import lexicon, text
+from linkloom.operators.features import FEATURES as ALL_FEATURES
 from linkloom.plans.queries import CFG, GRID
-from linkloom.sources.projections import STATE_NAMES
+from linkloom.sources.projections import CYRILLIC, CYRILLIC_NAMES, STATE_NAMES
 
 
 def quoted(x: str) -> str:
@@ -42,6 +43,13 @@ def merged(x: str) -> str:
     return f"CASE WHEN len({x}) < 2 THEN {x} ELSE {words(sql)} END"
 
 
+def merged_compat(x: str) -> str:
+    sql = f"(' ' || array_to_string({x}, ' ') || ' ')"
+    for phrase, code in lexicon.PHRASES.items():
+        sql = f"replace({sql}, CASE WHEN list_contains({x}, '{phrase.split()[0]}') THEN '{phrase}' ELSE chr(1) END, ' {code} ')"
+    return f"CASE WHEN len({x}) < 2 THEN {x} ELSE {words(sql)} END"
+
+
 def mapped(x: str, table: dict[str, str]) -> str:
     return f"[coalesce(map_extract({lookup(table)}, t)[1], t) FOR t IN {x}]"
 
@@ -93,12 +101,12 @@ df AS (SELECT key, count(*) AS df FROM keys WHERE src > 1 GROUP BY key),
 nt AS (SELECT count(*) AS n FROM records WHERE src > 1)"""
 
 
-def chosen(cap: int | None = None) -> str:
-    where = f" AND df <= {cap}" if cap else ""
+def chosen(cap: int | None = None, soft: int | None = None) -> str:
+    where = f" AND df <= {cap}" if cap else f" AND (df <= {soft} OR rarest > {soft})" if soft else ""
     return f"""
 chosen AS (
   SELECT s1_id, key, df FROM (
-    SELECT entity_id AS s1_id, key, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY entity_id ORDER BY coalesce(df, 0), key) AS r
+    SELECT entity_id AS s1_id, key, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY entity_id ORDER BY coalesce(df, 0), key) AS r, min(coalesce(df, 0)) OVER (PARTITION BY entity_id) AS rarest
     FROM keys LEFT JOIN df USING (key) WHERE src = 1 AND key_class <> 'D') WHERE r <= {CFG.k}{where}),
 joined AS (SELECT s1_id, entity_id AS t_id, key, df FROM chosen JOIN keys USING (key) WHERE src > 1 AND key_class <> 'D'),
 pairs AS (SELECT s1_id, t_id, round(sum(ln(1 + (SELECT n FROM nt) / (df + 1))), 6) AS key_score, count(*) AS key_count FROM joined GROUP BY ALL),
@@ -207,17 +215,34 @@ found AS (
   UNION ALL SELECT 'extra record', s1_id FROM (SELECT s1_id FROM rows EXCEPT SELECT s1_id FROM s1)
   UNION ALL SELECT 'unknown id', offender FROM ids WHERE regexp_matches(offender, '^S[23]-') AND offender NOT IN (SELECT entity_id FROM records WHERE src > 1))"""
 
+LINES = "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + 1 AS line FROM customer"
+WHOLE = "coalesce(text, '')"
+#: Each letter that the query writes in Cyrillic, spelled by its letter's name.
+SPELLED = f"array_to_string([coalesce(map_extract(MAP({array(CYRILLIC)}, {array(CYRILLIC_NAMES)}), c)[1], c) FOR c IN string_split({WHOLE}, '')], '')"
+PLAIN_FEATURES = tuple(f for f in ALL_FEATURES if f in FEATURES)
+
 ORACLES: dict[str, str] = {
-    "norm_text": sql(DOCUMENTS, TOKENS, select="SELECT entity_id, name_norm, addr_norm, country FROM normed"),
-    "strip_accents": sql(DOCUMENTS, select=f"SELECT entity_id, {folded('business_name')} AS plain FROM records"),
-    "transliterate": sql(DOCUMENTS, TOKENS, select="SELECT entity_id, name_norm FROM normed"),
+    "scan_source": sql(RECORDS, select="SELECT src, entity_id, business_name, business_address, country FROM records"),
+    "scan_columns": sql(RECORDS, select="SELECT entity_id, country FROM records"),
+    "scan_ids": sql(RECORDS, select="SELECT entity_id FROM records"),
+    "scan_truth": sql(RECORDS, select="SELECT DISTINCT s1_id, t_id FROM truth"),
+    "known_truth": sql(RECORDS, select="SELECT s1_id, t_id FROM truth"),
+    "normalised_store": sql(*TO_TOKENS, select="SELECT entity_id, addr_norm FROM normed"),
+    "normalised_rows": sql(RECORDS, select="SELECT count(*) AS n FROM records"),
+    "result_file": sql(RECORDS, select="SELECT s1_id || chr(9) || coalesce(string_agg(DISTINCT t_id, ',' ORDER BY t_id), '') AS value FROM s1 LEFT JOIN truth USING (s1_id) GROUP BY s1_id"),
+    "metrics_file": sql(*TO_PAIRS, select=RECALL),
+    "norm_text": f"SELECT doc_id, {norm(folded(WHOLE))} AS norm FROM documents",
+    "strip_accents": f"SELECT doc_id, {folded(WHOLE)} AS plain FROM documents",
+    "transliterate": f"SELECT doc_id, {norm(folded(SPELLED))} AS norm FROM documents",
     "ascii_flag": "SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS ascii FROM documents",
     "tokens": sql(*TO_TOKENS, select="SELECT entity_id, array_to_string(nt0, ' ') AS toks, len(nt0)::INT AS n FROM split1"),
     "multiword": sql(*TO_TOKENS, select="SELECT entity_id, array_to_string(aw1, ' ') AS toks FROM tok"),
+    "multiword_compat": sql(*TO_TOKENS, select=f"SELECT entity_id, array_to_string({merged_compat('aw0')}, ' ') AS toks FROM split1"),
     "name_tokens": sql(*TO_TOKENS, select="SELECT entity_id, array_to_string(nt, ' ') AS toks FROM tok"),
     "addr_tokens": sql(*TO_TOKENS, select="SELECT entity_id, array_to_string(aw, ' ') AS toks FROM tok"),
     "addr_tokens_split_states": sql(*TO_TOKENS, select=f"SELECT entity_id, array_to_string({mapped(mapped('aw1', lexicon.STREET_TYPES), lexicon.state_tokens(True))}, ' ') AS toks FROM tok"),
     "addr_without_noise": sql(*TO_TOKENS, select=f"SELECT entity_id, array_to_string([t FOR t IN aw IF NOT list_contains({array(lexicon.ADDRESS_NOISE)}, t)], ' ') AS toks FROM tok"),
+    "name_specific": sql(*TO_TOKENS, select=f"SELECT entity_id, array_to_string([t FOR t IN nt IF NOT list_contains({array(lexicon.generic_tokens())}, t)], ' ') AS toks FROM tok"),
     "numeric_tokens": sql(*TO_TOKENS, select="SELECT entity_id, array_to_string(regexp_extract_all(addr_norm, '[0-9]+'), ',') AS runs, regexp_replace(addr_norm, '[^0-9]', '', 'g') AS digits FROM tok"),
     "digit_signature": sql(*TO_TOKENS, select="SELECT entity_id, array_to_string(digits, '|') AS sig FROM tok"),
     "postal": sql(*TO_TOKENS, select="SELECT entity_id, coalesce([x FOR x IN digits IF length(x) IN (5, 6)][1]::BIGINT, 0) AS postal FROM tok"),
@@ -227,6 +252,7 @@ ORACLES: dict[str, str] = {
     "key_df": sql(*TO_KEYS, select="SELECT key, df FROM df"),
     "key_rarest": sql(*TO_PAIRS, select="SELECT s1_id, key, df FROM chosen"),
     "df_hard_cap": sql(*TO_KEYS, chosen(5), select="SELECT s1_id, key, df FROM chosen"),
+    "df_soft_cap": sql(*TO_KEYS, chosen(soft=5), select="SELECT s1_id, key, df FROM chosen"),
     "posting_join": sql(*TO_PAIRS, select="SELECT s1_id, t_id, key, df FROM joined"),
     "idf": sql(*TO_KEYS, select="SELECT key, round(ln(1 + (SELECT n FROM nt) / (df + 1)), 6) AS idf FROM df"),
     "shared_count": sql(*TO_PAIRS, select="SELECT s1_id, t_id, key_count FROM pairs"),
@@ -252,6 +278,9 @@ ORACLES: dict[str, str] = {
     "f_country": feature_sql("country_eq"),
     "f_key_ratio": feature_sql("key_score", "key_count", "key_count_ratio"),
     "f_jaro_winkler": feature_sql("n_jw", "a_jw"),
+    "plain_features": feature_sql(*PLAIN_FEATURES),
+    "positives": sql(*TO_PAIRS, select="SELECT DISTINCT s1_id, t_id FROM truth SEMI JOIN cand USING (s1_id, t_id)"),
+    "model_reload": sql(*TO_PAIRS, select="SELECT count(*) AS pairs, 0::BIGINT AS changed, 0.5::DOUBLE AS threshold FROM cand"),
     "label_pairs": sql(*TO_PAIRS, LABELLED, select="SELECT s1_id, t_id, label FROM labelled"),
     "split_by_hash": sql(RECORDS, select=f"SELECT s1_id, {SPLIT.format('s1_id')} AS split FROM s1"),
     "split_counts": sql(*TO_PAIRS, LABELLED, select="SELECT split, count(*) AS pairs, count(DISTINCT s1_id) AS records, sum(label)::BIGINT AS positives, round(avg(label), 6) AS positive_rate FROM labelled GROUP BY 1"),
@@ -264,6 +293,9 @@ ORACLES: dict[str, str] = {
     "top1_policy": sql(*TO_SCORES, select="SELECT s1_id, t_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) AS r FROM scored) WHERE r = 1"),
     "match_lists": sql(*TO_SCORES, "kept AS (SELECT * FROM scored WHERE score >= 0.6)", select=LISTS.format("matched_entity_ids", "kept")),
     "candidate_lists": sql(*TO_PAIRS, select=LISTS.format("candidate_entity_ids", "cand")),
+    "val_header": "SELECT * FROM (VALUES (0, 'comma separated', 'source1_entity_id,matched_entity_ids'), (1, 'wrong header', 'a' || chr(9) || 'b'), (2, 'empty file', '')) t(file, rule, example)",
+    "val_malformed": f"SELECT line::VARCHAR AS offender FROM ({LINES}) WHERE c_custkey % 13 = 0",
+    "parsed_lists": f"SELECT line, 'S1-' || c_custkey AS s1_id, 'S2-' || c_custkey || '+S3-' || c_custkey AS ids FROM ({LINES}) WHERE c_custkey % 13 <> 0",
     "val_dup_rows": sql(RECORDS, BROKEN, select="SELECT s1_id AS offender FROM rows GROUP BY 1 HAVING count(*) > 1"),
     "val_dup_ids": sql(RECORDS, BROKEN, select="SELECT DISTINCT s1_id AS offender FROM rows WHERE len(ids) <> len(list_distinct(ids))"),
     "val_prefix": sql(RECORDS, BROKEN, select="SELECT CASE WHEN offender LIKE 'S1-%' THEN 'self' ELSE 'prefix' END AS rule, offender FROM ids WHERE NOT regexp_matches(offender, '^S[23]-')"),
@@ -271,6 +303,6 @@ ORACLES: dict[str, str] = {
     "val_missing": sql(RECORDS, BROKEN, select="SELECT s1_id AS offender FROM s1 EXCEPT SELECT s1_id FROM rows"),
     "val_extra": sql(RECORDS, BROKEN, select="SELECT s1_id AS offender FROM rows EXCEPT SELECT s1_id FROM s1"),
     "matches_subset": sql(*TO_PAIRS, BROKEN, select="SELECT s1_id, t_id FROM (SELECT DISTINCT s1_id, unnest(ids) AS t_id FROM rows) ANTI JOIN cand USING (s1_id, t_id)"),
-    "val_report": sql(RECORDS, BROKEN, REPORT, select="SELECT rule, 'error' AS severity, count(*) AS n, min(offender) AS examples FROM found GROUP BY rule"),
+    "val_report": sql(RECORDS, BROKEN, REPORT, select="SELECT rule, 'error' AS severity, count(*) AS n, array_to_string(list_sort(list(offender))[:5], ', ') AS examples FROM found GROUP BY rule"),
     "val_verdict": sql(RECORDS, BROKEN, REPORT, select="SELECT CASE WHEN count(DISTINCT rule) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, count(DISTINCT rule) AS errors FROM found"),
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +11,19 @@ from linkloom.config import LinkConfig
 from linkloom.functions import text
 from linkloom.operators import blocking, features, keys, labels, metrics, model, output, validate
 from linkloom.plans import link
+from linkloom.plans.link import Prepared
+from linkloom.scratch import materialise, scratch_path
 from linkloom.sources import projections as proj
+from linkloom.sources import tables
 from linkloom.sources.tables import explode_lists, normalise
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: The test tables hold Latin letters only. top_m bounds what is compared per record.
-CFG = LinkConfig(k=10, top_m=20, scripts=False)
+#: Every query runs with the production parameters.
+CFG = LinkConfig()
 GRID = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 QUERIES: dict[str, Query] = {}
 
 
-# Helpers below remember their plans (not their rows) by session and path.
-
-
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
@@ -34,55 +33,38 @@ def joined(words, sep: str = " "):
     return F.array_join(words, sep)
 
 
-@lru_cache(maxsize=16)
 def companies(spark: SparkSession, d: str) -> DataFrame:
     return proj.company_records(spark, d)
 
 
-@lru_cache(maxsize=16)
-def prepared(spark: SparkSession, d: str) -> DataFrame:
-    return keys.prepare(normalise(companies(spark, d), False))
-
+def prepared(spark: SparkSession, d: str) -> Prepared:
+    """The company records with their keys, written once for each query that reads them."""
+    return link.prepare(companies(spark, d), CFG)
 
-@lru_cache(maxsize=16)
-def company_keys(spark: SparkSession, d: str) -> DataFrame:
-    return keys.blocking_keys(prepared(spark, d))
 
-
-@lru_cache(maxsize=16)
 def s1_ids(spark: SparkSession, d: str) -> DataFrame:
     return link.source_ids(companies(spark, d))
 
 
-@lru_cache(maxsize=16)
-def n_targets(spark: SparkSession, d: str) -> int:
-    return companies(spark, d).where("src > 1").count()
-
+def chosen_keys(p: Prepared, cfg: LinkConfig = CFG) -> DataFrame:
+    return blocking.rarest_keys(p.keys, blocking.key_df(p.keys), cfg)
 
-@lru_cache(maxsize=16)
-def chosen_keys(spark: SparkSession, d: str, cfg: LinkConfig = CFG) -> DataFrame:
-    k = company_keys(spark, d)
-    return blocking.rarest_keys(k, blocking.key_df(k), cfg)
 
+def company_postings(p: Prepared, cfg: LinkConfig = CFG) -> DataFrame:
+    return blocking.posting_join(chosen_keys(p, cfg), p.keys)
 
-@lru_cache(maxsize=16)
-def company_postings(spark: SparkSession, d: str, cfg: LinkConfig = CFG) -> DataFrame:
-    return blocking.posting_join(chosen_keys(spark, d, cfg), company_keys(spark, d))
 
+def company_pairs(p: Prepared, cfg: LinkConfig = CFG) -> DataFrame:
+    return blocking.scored_pairs(company_postings(p, cfg), p.n_targets, cfg)
 
-@lru_cache(maxsize=16)
-def company_pairs(spark: SparkSession, d: str, cfg: LinkConfig = CFG) -> DataFrame:
-    return blocking.scored_pairs(company_postings(spark, d, cfg), n_targets(spark, d), cfg)
 
-
-@lru_cache(maxsize=16)
 def company_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.top_candidates(company_pairs(spark, d), CFG.top_m)
+    return link.candidates(prepared(spark, d), CFG)
 
 
-@lru_cache(maxsize=16)
 def company_meet(spark: SparkSession, d: str) -> DataFrame:
-    return features.meet(company_candidates(spark, d), prepared(spark, d), company_keys(spark, d))
+    p = prepared(spark, d)
+    return features.meet(link.candidates(p, CFG), p.records)
 
 
 def some_features(spark: SparkSession, d: str, *names: str) -> DataFrame:
@@ -90,7 +72,6 @@ def some_features(spark: SparkSession, d: str, *names: str) -> DataFrame:
     return company_meet(spark, d).select("s1_id", "t_id", *(F.round(made[n], 6).alias(n) for n in names))
 
 
-@lru_cache(maxsize=16)
 def plain_scores(spark: SparkSession, d: str) -> DataFrame:
     """``s1_id, t_id, score``: a mean of four features, which SQL can follow."""
     f = features.expressions()
@@ -98,23 +79,100 @@ def plain_scores(spark: SparkSession, d: str) -> DataFrame:
     return company_meet(spark, d).select("s1_id", "t_id", F.round(total / 4, 6).alias("score"))
 
 
+# --- tables ------------------------------------------------------------------------------
+
+
+def company_files(spark: SparkSession, d: str) -> str:
+    """The company records as tab-separated files in a scratch folder."""
+    folder = scratch_path(spark, "companies")
+    companies(spark, d).select(*tables.COLUMNS).write.csv(folder, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    return folder
+
+
+def truth_files(spark: SparkSession, d: str) -> str:
+    folder = scratch_path(spark, "truth")
+    output.write_lists(output.id_lists(s1_ids(spark, d), proj.company_truth(spark, d), "matched_entity_ids"), folder)
+    return folder
+
+
+@query
+def scan_source(spark, d):
+    rows = tables.read_source(spark, company_files(spark, d))
+    return rows.select(F.col("src").cast("int").alias("src"), *tables.COLUMNS)
+
+
+@query
+def scan_columns(spark, d):
+    return tables.read_source(spark, company_files(spark, d)).select("entity_id", "country")
+
+
+@query
+def scan_ids(spark, d):
+    return tables.read_ids(spark, company_files(spark, d))
+
+
+@query
+def scan_truth(spark, d):
+    return tables.read_truth(spark, truth_files(spark, d))
+
+
+@query
+def normalised_store(spark, d):
+    """The normalised form, written once and read by column; a second write finds it there."""
+    path = scratch_path(spark, "normalised")
+    for _ in range(2):
+        tables.write_normalised(companies(spark, d), path)
+    return tables.read_normalised(spark, path, "entity_id", "addr_norm")
+
+
+@query
+def normalised_rows(spark, d):
+    n = tables.write_normalised(companies(spark, d), scratch_path(spark, "normalised"))
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"))
+
+
+@query
+def result_file(spark, d):
+    return spark.read.option("header", False).text(truth_files(spark, d)).where(~F.col("value").startswith("source1_entity_id"))
+
+
+@query
+def metrics_file(spark, d):
+    path = scratch_path(spark, "recall")
+    tables.write_metrics(candidate_recall(spark, d), path)
+    return tables.read_metrics(spark, path).select("true_pairs", "hits", "recall", "mean_candidates")
+
+
+@query
+def known_truth(spark, d):
+    """Truth with ids that no table has; these go."""
+    truth = proj.company_truth(spark, d)
+    other = truth.select("s1_id", F.concat("t_id", F.lit("x")).alias("t_id")).unionByName(truth.select(F.concat("s1_id", F.lit("x")).alias("s1_id"), "t_id"))
+    return tables.known_truth(truth.unionByName(other), companies(spark, d))
+
+
 # --- text ------------------------------------------------------------------------------
 
 
+def whole_texts(spark, d):
+    return proj.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 @query
 def norm_text(spark, d):
-    rows = normalise(proj.document_records(spark, d), False)
-    return rows.select("entity_id", "name_norm", "addr_norm", "country")
+    return whole_texts(spark, d).select("doc_id", text.norm_text(F.col("text")).alias("norm"))
 
 
 @query
 def strip_accents(spark, d):
-    return proj.document_records(spark, d).select("entity_id", text.strip_accents(F.col("business_name")).alias("plain"))
+    return whole_texts(spark, d).select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
 @query
 def transliterate(spark, d):
-    return proj.document_records(spark, d).select("entity_id", text.norm_text(F.col("business_name"), True).alias("name_norm"))
+    """Whole texts with some letters replaced by Cyrillic ones, read back as Latin."""
+    cyrillic = F.translate("text", "".join(proj.CYRILLIC), "".join(proj.CYRILLIC.values()))
+    return whole_texts(spark, d).select("doc_id", text.norm_text(cyrillic, True).alias("norm"))
 
 
 @query
@@ -135,14 +193,20 @@ def multiword(spark, d):
     return rows.select("entity_id", joined(text.merge_phrases(text.tokens(F.col("addr_norm")))).alias("toks"))
 
 
+@query
+def multiword_compat(spark, d):
+    rows = normalise(companies(spark, d), False)
+    return rows.select("entity_id", joined(text.merge_phrases(text.tokens(F.col("addr_norm")), True)).alias("toks"))
+
+
 @query
 def name_tokens(spark, d):
-    return prepared(spark, d).select("entity_id", joined("name_toks").alias("toks"))
+    return prepared(spark, d).records.select("entity_id", joined("name_toks").alias("toks"))
 
 
 @query
 def addr_tokens(spark, d):
-    return prepared(spark, d).select("entity_id", joined("addr_toks").alias("toks"))
+    return prepared(spark, d).records.select("entity_id", joined("addr_toks").alias("toks"))
 
 
 @query
@@ -153,7 +217,12 @@ def addr_tokens_split_states(spark, d):
 
 @query
 def addr_without_noise(spark, d):
-    return prepared(spark, d).select("entity_id", joined(text.without_noise(F.col("addr_toks"))).alias("toks"))
+    return prepared(spark, d).records.select("entity_id", joined(text.without_noise(F.col("addr_toks"))).alias("toks"))
+
+
+@query
+def name_specific(spark, d):
+    return prepared(spark, d).records.select("entity_id", joined(text.without_generic(F.col("name_toks"))).alias("toks"))
 
 
 @query
@@ -169,7 +238,7 @@ def digit_signature(spark, d):
 
 @query
 def postal(spark, d):
-    return prepared(spark, d).select("entity_id", "postal")
+    return prepared(spark, d).records.select("entity_id", "postal")
 
 
 @query
@@ -182,58 +251,63 @@ def country_code(spark, d):
 
 @query
 def blocking_keys(spark, d):
-    return company_keys(spark, d).select("src", "entity_id", "key", "key_class")
+    return prepared(spark, d).keys
 
 
 @query
 def key_count(spark, d):
-    return company_keys(spark, d).select("entity_id", "n_keys").distinct()
+    return prepared(spark, d).records.select("entity_id", F.size("keys").alias("n_keys")).where("n_keys > 0")
 
 
 @query
 def key_class_hist(spark, d):
-    return company_keys(spark, d).groupBy("src", "key_class").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_distinct"))
+    return prepared(spark, d).keys.groupBy("src", "key_class").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_distinct"))
 
 
 @query
 def key_df(spark, d):
-    return blocking.key_df(company_keys(spark, d))
+    return blocking.key_df(prepared(spark, d).keys)
 
 
 @query
 def key_rarest(spark, d):
-    return chosen_keys(spark, d)
+    return chosen_keys(prepared(spark, d))
 
 
 @query
 def df_hard_cap(spark, d):
-    return chosen_keys(spark, d, LinkConfig(k=10, hard_cap=5))
+    return chosen_keys(prepared(spark, d), LinkConfig(hard_cap=5))
+
+
+@query
+def df_soft_cap(spark, d):
+    return chosen_keys(prepared(spark, d), LinkConfig(soft_cap=5))
 
 
 @query
 def posting_join(spark, d):
-    return company_postings(spark, d)
+    return company_postings(prepared(spark, d))
 
 
 @query
 def idf(spark, d):
-    frequency = blocking.key_df(company_keys(spark, d))
-    return frequency.select("key", F.round(blocking.idf(F.col("df"), F.lit(n_targets(spark, d))), 6).alias("idf"))
+    p = prepared(spark, d)
+    return blocking.key_df(p.keys).select("key", F.round(blocking.idf(F.col("df"), F.lit(p.n_targets)), 6).alias("idf"))
 
 
 @query
 def shared_count(spark, d):
-    return company_pairs(spark, d).select("s1_id", "t_id", "key_count")
+    return company_pairs(prepared(spark, d)).select("s1_id", "t_id", "key_count")
 
 
 @query
 def key_score(spark, d):
-    return company_pairs(spark, d).select("s1_id", "t_id", "key_score")
+    return company_pairs(prepared(spark, d)).select("s1_id", "t_id", "key_score")
 
 
 @query
 def min_shared(spark, d):
-    return company_pairs(spark, d, LinkConfig(k=10, min_shared=3)).select("s1_id", "t_id", "key_count")
+    return company_pairs(prepared(spark, d), LinkConfig(min_shared=3)).select("s1_id", "t_id", "key_count")
 
 
 @query
@@ -244,15 +318,14 @@ def top_m(spark, d):
 @query
 def link_documents(spark, d):
     """The flagship: candidates of the records made from documents."""
-    p = link.prepare(proj.document_records(spark, d), CFG)
-    return link.candidates(p, CFG)
+    return link.candidates(link.prepare(proj.document_records(spark, d), CFG), CFG)
 
 
 @query
 def document_recall(spark, d):
     records = proj.document_records(spark, d)
-    p = link.prepare(records, CFG)
-    return metrics.candidate_recall(link.candidates(p, CFG), proj.document_truth(records), link.source_ids(records))
+    pairs = link.candidates(link.prepare(records, CFG), CFG)
+    return metrics.candidate_recall(materialise(pairs, "pairs"), proj.document_truth(records), link.source_ids(records))
 
 
 @query
@@ -275,7 +348,7 @@ def truth_pairs(spark, d):
 
 @query
 def candidate_recall(spark, d):
-    return metrics.candidate_recall(company_candidates(spark, d), proj.company_truth(spark, d), s1_ids(spark, d))
+    return metrics.candidate_recall(materialise(company_candidates(spark, d), "pairs"), proj.company_truth(spark, d), s1_ids(spark, d))
 
 
 # --- features ----------------------------------------------------------------------------
@@ -353,10 +426,20 @@ def f_fuzz_ratios(spark, d):
     return scored.select("s1_id", "t_id", *(F.round(f, 6).alias(f) for f in features.STRING_FEATURES if not f.endswith("jw")))
 
 
+def all_features(spark, d):
+    p = prepared(spark, d)
+    return link.featured(p, CFG)
+
+
 @query
 def pair_features(spark, d):
-    rows = features.pair_features(company_candidates(spark, d), prepared(spark, d), company_keys(spark, d))
-    return rows.select("s1_id", "t_id", *(F.round(f, 6).alias(f) for f in features.FEATURES))
+    return all_features(spark, d).select("s1_id", "t_id", *(F.round(f, 6).alias(f) for f in features.FEATURES))
+
+
+@query
+def plain_features(spark, d):
+    """The 26 of the 34 features that SQL can follow."""
+    return pair_features(spark, d).drop(*(f for f in features.STRING_FEATURES if not f.endswith("jw")))
 
 
 # --- labels, metrics, model ---------------------------------------------------------------
@@ -367,6 +450,11 @@ def label_pairs(spark, d):
     return labels.label_pairs(company_candidates(spark, d), proj.company_truth(spark, d), CFG).select("s1_id", "t_id", "label")
 
 
+@query
+def positives(spark, d):
+    return labels.positives(company_candidates(spark, d), proj.company_truth(spark, d))
+
+
 @query
 def split_by_hash(spark, d):
     return s1_ids(spark, d).select("s1_id", labels.split_of(F.col("s1_id"), CFG).alias("split"))
@@ -429,15 +517,38 @@ def candidate_lists(spark, d):
 
 @query
 def gbt_scores(spark, d):
-    rows = features.pair_features(company_candidates(spark, d), prepared(spark, d), company_keys(spark, d)).cache()
-    fitted = model.fit(labels.label_pairs(rows, proj.company_truth(spark, d), CFG))
+    rows = materialise(all_features(spark, d), "featured")
+    fitted, _ = link.train(companies(spark, d), proj.company_truth(spark, d), CFG, pairs=rows)
     return model.predict(fitted, rows)
 
 
+@query
+def model_reload(spark, d):
+    """How many scores change when the model is saved and loaded: none."""
+    p = prepared(spark, d)
+    pairs = materialise(link.candidates(p, CFG), "pairs")
+    rows = features.meet(pairs, p.records).select("s1_id", "t_id", *(f.alias(n) for n, f in features.expressions().items()))
+    rows = materialise(rows.select("s1_id", "t_id", *(F.coalesce(F.col(f), F.lit(0.0)).alias(f) if f in rows.columns else F.lit(0.0).alias(f) for f in features.FEATURES)), "plain")
+    fitted = model.fit(materialise(labels.label_pairs(rows, proj.company_truth(spark, d), LinkConfig(train_share=50, val_share=50)), "labelled"), rounds=3)
+    path = scratch_path(spark, "model")
+    model.save(fitted, path, 0.5)
+    again = model.predict(model.load(path), rows).withColumnRenamed("score", "again")
+    met = model.predict(fitted, rows).join(again, ["s1_id", "t_id"])
+    return met.agg(F.count("*").alias("pairs"), F.count_if(F.col("score") != F.col("again")).alias("changed"), F.lit(model.load_threshold(path)).alias("threshold"))
+
+
+@query
+def infer_lists(spark, d):
+    """Training and inference from the records to both lists, as the stage driver runs them."""
+    rows = materialise(all_features(spark, d), "featured")
+    fitted, threshold = link.train(companies(spark, d), proj.company_truth(spark, d), CFG, pairs=rows)
+    listed, matched = link.infer(companies(spark, d), fitted, threshold, CFG, pairs=rows)
+    return listed.join(matched, "source1_entity_id")
+
+
 # --- validation ----------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=16)
 def broken_lists(spark, d):
     """Lists that break each rule somewhere: ``s1_id, ids``."""
     c = F.col("c_custkey")
@@ -455,6 +566,39 @@ def target_ids(spark, d):
     return companies(spark, d).where("src > 1").select(F.col("entity_id").alias("t_id"))
 
 
+def line_file(spark, d, *first: str) -> str:
+    """A file of lists that begins with the lines ``first``; each thirteenth customer's line has no tab."""
+    folder, c = scratch_path(spark, "lines"), F.col("c_custkey")
+    line = F.when(c % 13 == 0, F.concat(F.lit("S1-"), c)).otherwise(F.concat(F.lit("S1-"), c, F.lit("\tS2-"), c, F.lit(",S3-"), c))
+    rows = proj.table(spark, d, "customer").select(c.alias("at"), line.alias("value"))
+    head = spark.createDataFrame([(i - len(first), x) for i, x in enumerate(first)], "at long, value string")
+    rows.unionByName(head).coalesce(1).sortWithinPartitions("at").select("value").write.text(folder)
+    return folder
+
+
+@query
+def val_header(spark, d):
+    """The header rule on four files, the last of which is right."""
+    heads = ("source1_entity_id,matched_entity_ids", "a\tb", "", "Source1_Entity_ID\t matched_entity_ids")
+    found = None
+    for i, head in enumerate(heads):
+        rule = validate.header_errors(validate.read_lines(spark, line_file(spark, d, head)), validate.HEADERS["matches"]).select(F.lit(i).alias("file"), "rule", "example")
+        found = rule if found is None else found.unionByName(rule)
+    return found
+
+
+@query
+def val_malformed(spark, d):
+    lines = validate.read_lines(spark, line_file(spark, d, "source1_entity_id\tmatched_entity_ids"))
+    return validate.malformed(validate.parsed(lines))
+
+
+@query
+def parsed_lists(spark, d):
+    lines = validate.read_lines(spark, line_file(spark, d, "source1_entity_id\tmatched_entity_ids"))
+    return validate.parsed(lines).where("ids IS NOT NULL").select("line", "s1_id", joined("ids", "+").alias("ids"))
+
+
 @query
 def val_dup_rows(spark, d):
     return validate.duplicate_rows(broken_lists(spark, d))

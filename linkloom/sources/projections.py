@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 #: States by nation, in turn.
 STATE_NAMES = ("Ohio", "Texas", "California", "New York", "Maharashtra", "Tamil Nadu", "West Virginia", "Delaware", "Kerala", "Utah")
 
+# Latin letters and the Cyrillic letters that stand in for them.
+CYRILLIC = {"a": "а", "b": "б", "d": "д", "e": "е", "g": "г", "i": "и", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у"}
+# How these letters are named in Unicode, in the same order.
+CYRILLIC_NAMES = ("a", "be", "de", "ie", "ghe", "i", "ka", "el", "em", "en", "o", "pe", "er", "es", "te", "u")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

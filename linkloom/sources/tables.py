@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions import text
+from linkloom.scratch import stored
 
 COLUMNS = ("entity_id", "business_name", "business_address", "country")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -34,6 +35,11 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return explode_lists(_read(spark, path, TRUTH))
 
 
+def read_lists(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``source1_entity_id`` and the comma-joined list ``name`` of a result file."""
+    return _read(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", name)]))
+
+
 def explode_lists(lists: DataFrame) -> DataFrame:
     ids = F.explode(F.split(F.coalesce("matched_entity_ids", F.lit("")), ","))
     return lists.select(F.col("source1_entity_id").alias("s1_id"), ids.alias("t_id")).where("t_id <> ''").distinct()
@@ -47,16 +53,15 @@ def normalise(records: DataFrame, scripts: bool = True) -> DataFrame:
     )
 
 
+def known_truth(truth: DataFrame, records: DataFrame) -> DataFrame:
+    """The true pairs whose records both exist."""
+    ids = lambda which, name: records.where(which).select(F.col("entity_id").alias(name)).distinct()
+    return truth.join(ids("src = 1", "s1_id"), "s1_id", "left_semi").join(ids("src > 1", "t_id"), "t_id", "left_semi").select("s1_id", "t_id")
+
+
 def write_normalised(records: DataFrame, path: str, scripts: bool = True) -> int:
-    """Write the normalised form as Parquet (zstd) unless it is there, and return its rows.
-
-    The commit protocol makes the folder appear whole; its ``_SUCCESS`` marks it as done.
-    """
-    spark = records.sparkSession
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-        normalise(records, scripts).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path).count()
+    """Write the normalised form as Parquet (zstd) unless it is there whole, and return its rows."""
+    return stored(normalise(records, scripts), path).count()
 
 
 def read_normalised(spark: SparkSession, path: str, *columns: str) -> DataFrame:

@@ -106,7 +106,7 @@ def test_source_tables(spark, tmp_path):
 
 def test_candidates_and_split(spark):
     got = queries.company_candidates(spark, SMALL).groupBy("s1_id").count().agg(F.max("count")).first()[0]
-    assert got <= queries.CFG.top_m
+    assert got <= queries.CFG.top_m == 150
     recall = queries.QUERIES["candidate_recall"](spark, SMALL).first()
     assert recall.recall > 0.95 and recall.true_pairs == 165
     shares = {r.split: r["count"] for r in queries.QUERIES["split_by_hash"](spark, "/root/testdata/sf0.01").groupBy("split").count().collect()}
@@ -115,18 +115,81 @@ def test_candidates_and_split(spark):
     assert marked.agg(F.sum("label")).first()[0] == recall.hits
 
 
+def test_soft_cap_spares_records_of_frequent_keys(spark):
+    keys_of = [(1, "a", "rare", "n"), (1, "a", "hot", "n"), (1, "b", "hot", "n"), (2, "t", "rare", "n"), *((2, f"t{i}", "hot", "n") for i in range(9))]
+    rows = table(spark, keys_of, "src int, entity_id string, key string, key_class string")
+    got = blocking.rarest_keys(rows, blocking.key_df(rows), LinkConfig(soft_cap=5)).collect()
+    assert {(r.s1_id, r.key) for r in got} == {("a", "rare"), ("b", "hot")}
+
+
+def test_keys_are_computed_once(spark):
+    """No filter repeats the token pipeline, and the plan holds each phrase but once a column."""
+    rows = keys.prepare(tables.normalise(projections.company_records(spark, SMALL), False))
+    plan = keys.blocking_keys(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") < 200
+
+
 def test_train_and_infer(spark, tmp_path):
     records, truth = projections.company_records(spark, SMALL), projections.company_truth(spark, SMALL)
-    cfg = LinkConfig(top_m=5, train_share=50, val_share=30, scripts=False)
+    cfg = LinkConfig(top_m=5, train_share=50, val_share=30, scripts=False, rounds=40)
     stored = link.prepare(records, cfg, f"{tmp_path}/store")
     assert sorted(map(tuple, stored.keys.collect())) == sorted(map(tuple, link.prepare(records, cfg).keys.collect()))
     pairs = link.featured(stored, cfg).cache()
     fitted, threshold = link.train(records, truth, cfg, pairs=pairs)
-    model.save(fitted, f"{tmp_path}/model")
+    model.save(fitted, f"{tmp_path}/model", threshold)
+    assert model.load_threshold(f"{tmp_path}/model") == threshold
     found = output.matches(model.predict(model.load(f"{tmp_path}/model"), pairs), threshold)
     f05 = metrics.macro_f05(metrics.record_counts(link.source_ids(records), truth, found)).first().macro_f05
     plain = output.matches(pairs.select("s1_id", "t_id", F.col("n_jaccard").alias("score")), 0.6)
     assert f05 > 0.9 and f05 > metrics.macro_f05(metrics.record_counts(link.source_ids(records), truth, plain)).first().macro_f05
+    listed, matched = link.infer(records, fitted, threshold, cfg)
+    want = {(r.s1_id, r.t_id) for r in found.collect()}
+    assert {(r.source1_entity_id, t) for r in matched.collect() for t in r.matched_entity_ids.split(",") if t} == want
+    assert listed.count() == matched.count() == link.source_ids(records).count()
+    pairs.unpersist()
+
+
+def test_stages_from_files_to_lists(spark, tmp_path):
+    """All stages from tab-separated files; a second run reuses what is there, and a stopped one goes on."""
+    from linkloom.plans.driver import Driver
+
+    records, truth = projections.company_records(spark, SMALL), projections.company_truth(spark, SMALL)
+    for split in ("train", "test"):
+        (tmp_path / "data" / split).mkdir(parents=True)
+        for i in (1, 2, 3):
+            records.where(F.col("src") == i).drop("src").toPandas().to_csv(tmp_path / "data" / split / f"{split}_source{i}.tsv", sep="\t", index=False)
+    lists = output.id_lists(link.source_ids(records), truth, "matched_entity_ids").toPandas()
+    lists.loc[0, "matched_entity_ids"] += ",S2-unknown"
+    lists.to_csv(tmp_path / "data" / "train" / "train_ground_truth.tsv", sep="\t", index=False)
+    driver = Driver(spark, f"{tmp_path}/data", f"{tmp_path}/work", f"{tmp_path}/out", LinkConfig(top_m=5, train_share=50, val_share=30, rounds=20))
+    driver.run()
+    stamps = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("part-*")}
+    driver.run()
+    assert stamps == {p: p.stat().st_mtime_ns for p in tmp_path.rglob("part-*")}
+    recall = tables.read_metrics(spark, f"{tmp_path}/work/recall").first()
+    assert recall.true_pairs == 165 and spark.read.parquet(f"{tmp_path}/work/positives").count() == recall.hits
+    assert validate.verdict(driver.check()).first().verdict == "PASS"
+    found = tables.read_truth(spark, f"{tmp_path}/out/matching_results")
+    assert metrics.macro_f05(metrics.record_counts(link.source_ids(records), truth, found)).first().macro_f05 > 0.85
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    path = tmp_path / "long.tsv"
+    path.write_text("".join(f"row {i}\n" for i in range(1, 3001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = validate.read_lines(spark, str(path))
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 3
+        assert all(r.value == f"row {r.line}" for r in rows.collect()) and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_report_names_five_examples(spark):
+    rows = validate.lists_of(table(spark, [(f"S1-{i:03}", "S2-1,S2-1") for i in range(300)], "source1_entity_id string, ids string"), "ids")
+    found = validate.report(rows, rows.select("s1_id")).first()
+    assert (found.rule, found.n, found.examples) == ("duplicate id in a list", 300, ", ".join(f"S1-{i:03}" for i in range(5)))
 
 
 def test_stream_finds_what_a_batch_finds(spark, tmp_path):

@@ -92,6 +92,23 @@ def test_jaro_winkler_against_duckdb(a, b):
     assert similarity.jaro_winkler(a, b) == pytest.approx(duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(WORDS, WORDS), min_size=1, max_size=30))
+def test_batches_score_like_single_pairs(pairs):
+    long = [("x" * 300, "xy" * 200), ("", "é a"), ("a" * 70, "ba" * 40), ("nul \0", "nul")]
+    a, b = map(list, zip(*pairs, *long))
+    got = similarity.all_scores(a, b)
+    for name, kernel in similarity.KERNELS.items():
+        assert got[name].tolist() == pytest.approx([kernel(x, y) for x, y in zip(a, b)])
+
+
+def test_compatible_phrases(spark):
+    rows = spark.createDataFrame([("grand estate",), ("a new york grand est",), ("north",)], "norm string")
+    merged = lambda compat: [r[0] for r in rows.select(text.merge_phrases(text.tokens(F.col("norm")), compat)).collect()]
+    assert merged(True) == [["ges", "ate"], ["a", "ny", "ges"], ["north"]]
+    assert merged(False) == [["grand", "estate"], ["a", "ny", "ges"], ["north"]]
+
+
 def test_known_scores():
     assert similarity.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert similarity.ratio("this is a test", "this is a test!") == pytest.approx(28 / 29)
