@@ -1,18 +1,18 @@
-"""Shared helpers: table access, the shared scratch folder and cut lineage."""
+"""Shared helpers: table access, memory of Python tasks, and the scratch folder's."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in local tests.
-LOCAL_SCRATCH = "/tmp/checkpoints/linkloom"
+from linkloom.scratch import bounded, materialise, scratch_path
+
+__all__ = ["HELPER", "bounded", "files", "give_back", "lean", "materialise", "scratch_path", "table"]
+
 #: Starts the names of columns that an operator adds beside those of its input.
 HELPER = "__linkloom_"
 
@@ -22,38 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by the driver and all executors (``spark.checkpoint.dir``)."""
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{LOCAL_SCRATCH}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    It cuts the lineage: a lost executor costs a re-read and never a recomputation
-    of what stands before.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Rows that Python code holds as objects at once; Spark's own batches have up to 10,000.
 SLICE = 1024
@@ -85,14 +53,10 @@ def lean(run: Run, rows: int | None = SLICE) -> Run:
     return wrapped
 
 
-#: Rows of a table of ids that is sent to every executor at most, some 32 MB.
-BROADCAST_ROWS = 1 << 20
-
+#: Rows of a small table (ids, links) that one file holds.
+FILE_ROWS = 1 << 19
 
-def bounded(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``ids`` marked for broadcast if it has no more than ``rows`` rows, else as it is.
 
-    ``ids`` should be a written table, whose rows are counted from its files' footers. A
-    larger one is joined by whatever plan Spark picks.
-    """
-    return F.broadcast(ids) if ids.count() <= rows else ids
+def files(rows: int) -> int:
+    """Files that a small table of at most ``rows`` rows is written to."""
+    return max(1, -(-rows // FILE_ROWS))

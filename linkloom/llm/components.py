@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialise
+from linkloom.llm.common import files, materialise
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -38,5 +38,6 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = materialise(links.distinct(), "links")
     while not _are_stars(links):
-        links = materialise(_small_star(_large_star(links)), "stars")
+        # A round never adds links; few links need few files.
+        links = materialise(_small_star(_large_star(links)).coalesce(files(links.count())), "stars")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

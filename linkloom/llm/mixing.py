@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import HELPER, materialise
+from linkloom.llm.common import HELPER, bounded, materialise
 
 #: Hash bits of a level's histogram: at most 4096 buckets a source and budget.
 LEVEL_BITS = 12
@@ -33,24 +33,49 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+#: Sources that one task orders; more of them are dealt out by ranges.
+RANGE_ROWS = 1 << 17
+
+
+def before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` over all rows that come before in ``order``.
+
+    Rows are dealt out by ranges and summed in each; the ranges' totals (one row a range)
+    are summed in turn, so no task holds all rows.
+    """
+    part, ranges = f"{HELPER}part", 1 + rows.count() // RANGE_ROWS
+    ranged = materialise(rows.select("*", *(c.alias(n) for n, c in sums.items())).repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    until = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(part).agg(*(F.sum(n).alias(n) for n in sums))
+    bases = materialise(totals.select(part, *(F.coalesce(F.sum(n).over(until), F.lit(0)).alias(f"{HELPER}{n}") for n in sums)), "range-bases")
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.join(bounded(bases), part)
+    return found.select(*rows.columns, *((F.col(f"{HELPER}{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(n) for n in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``source, source_size, weight, target`` from ``source, source_size``.
+    """``source, source_size, weight, target`` from ``source, source_size``, a written table.
 
     Targets share ``share`` times all sizes by weight; none is above ``most`` times its
     source's size, and the excess is shared again by weight. In order of size per weight
-    the sources that stop are the first ones, so prefix sums give the final share. One
-    row per source is sorted here, never a document.
+    the sources that stop are the first ones, so prefix sums give the final share. Sources
+    are ordered by ranges, so there may be any number of them.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    listed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.lit(share) * F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(rest)
-    leveled = listed.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") < most * F.col("source_size"))
-    final = leveled.withColumn("final", F.min(F.when(F.col("open"), F.struct((F.col("source_size") / F.col("weight")).alias("at"), "source", "level"))).over(everything))
+    name = F.col("source").asc_nulls_last()
+    place = before(sizes, [name], n=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int")).cast("long")
+    listed = materialise(place.withColumn("weight", weight).drop("n"), "weights")
+    total = listed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    ratio = F.col("source_size") / F.col("weight")
+    sums = before(listed, [ratio, name], size_before=F.col("source_size"), weight_before=F.col("weight"))
+    level = (F.lit(share) * F.lit(total["size"] or 0) - most * F.col("size_before")) / (F.lit(total["weight"] or 0) - F.col("weight_before"))
+    leveled = sums.withColumn("level", level)
+    opened = leveled.where(F.col("level") * F.col("weight") < most * F.col("source_size"))
+    # Of the sources that do not stop, the first in order has the final share: one row.
+    final = opened.agg(F.min_by("level", F.struct(ratio, F.col("source").isNull(), "source")).alias("level")).first()["level"]
     capped = (F.lit(most) * F.col("source_size")).cast("double")
-    return final.select("source", "source_size", "weight", F.least(F.coalesce(F.col("final.level") * F.col("weight"), capped), capped).alias("target"))
+    shared = capped if final is None else F.lit(final) * F.col("weight")
+    return listed.select("source", "source_size", "weight", F.least(shared, capped).alias("target"))
 
 
 def thresholds(slim: DataFrame, budgets: DataFrame, most: int) -> DataFrame:
@@ -99,7 +124,8 @@ def thresholds(slim: DataFrame, budgets: DataFrame, most: int) -> DataFrame:
 def mix_plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, source, size, hash`` of each document, and ``s, source_size, target, cuts`` of each source."""
     slim = materialise(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id").cast("long"), seed).alias("hash")), "sizes")
-    aims = materialise(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    sizes = materialise(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    aims = materialise(targets(sizes, weights, share, most), "targets")
     copy = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy")
     budgets = aims.select("source", "source_size", "target", copy).select(
         "source", "copy", F.least(F.greatest(F.col("target") - F.col("copy") * F.col("source_size"), F.lit(0.0)), F.col("source_size").cast("double")).alias("budget")

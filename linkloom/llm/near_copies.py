@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import HELPER, bounded, lean, materialise
+from linkloom.llm.common import HELPER, bounded, files, lean, materialise
 from linkloom.llm.components import components
 from linkloom.llm.simhash import BLOCK, LANES, LINKS, STEP, grouped, nearest, remix, shingle_hashes, spread
 
@@ -46,12 +46,15 @@ ROUNDS = (0, 1 << 12, 1 << 16)
 class NearCopies:
     """``width``: words in a shingle; ``least_jaccard``: share of two texts' distinct
     shingles that links them; ``segments`` (a multiple of 4): ring segments, each a join key;
-    ``max_bits``: differing bits of two fingerprints whose texts are compared."""
+    ``chain_bits``: differing bits that the chains' budgets share out by segments, above
+    ``max_bits``, the limit of the whole fingerprints, as a chain from a given segment can
+    have more than its share."""
 
     width: int = 5
     least_jaccard: float = 0.8
     segments: int = 40
-    max_bits: int = 136
+    chain_bits: int = 136
+    max_bits: int = 120
     seed: int = 42
 
     @property
@@ -117,8 +120,11 @@ def _window(names: list[str], segment: int) -> Column:
 
 
 def _keyed(classes: DataFrame, rule: NearCopies) -> DataFrame:
-    """``key, own, c0, c1, ..., rep`` (and ``root``): a row for each class and segment, with the chain after it."""
-    names, carried = rule.words, [c for c in ("rep", "root") if c in classes.columns]
+    """``key, own, rep, c0, c1, ...``: a row for each class and segment, with the chain after it.
+
+    Classes with a ``root`` are few: they carry their whole fingerprints and their root as well.
+    """
+    names, carried = rule.words, ["rep", *([*rule.words, "root"] if "root" in classes.columns else [])]
     rows = [
         F.struct(
             (F.lit(i << 20) + F.shiftrightunsigned(names[i // 4], SEGMENT_BITS * (i % 4)).bitwiseAND((1 << SEGMENT_BITS) - 1)).alias("key"),
@@ -130,12 +136,13 @@ def _keyed(classes: DataFrame, rule: NearCopies) -> DataFrame:
 
 
 def _linker(rule: NearCopies, share: tuple[int, int] | None):
-    """Links of each key: a minimum spanning forest, or with ``share`` all those between two roots whose hash is in it."""
-    budget = [length * rule.max_bits // rule.segments for length in range(4 * CARRIED + 2)]
+    """Links of each key: a minimum spanning forest of the chains, or with ``share`` all those
+    between two roots whose hash is in it and whose whole fingerprints are near."""
+    budget = [length * rule.chain_bits // rule.segments for length in range(4 * CARRIED + 2)]
     ends = [np.uint64((1 << SEGMENT_BITS * (k + 1)) - 1) for k in range(3)]
 
     def links(key: int, role: np.ndarray, rep: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chain, root = rest[:CARRIED], rest[CARRIED] if share is not None else None
+        chain, words, root = rest[:CARRIED], rest[CARRIED:-1], rest[-1]
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 2)
         us, vs, ws = [], [], []
         step = max(1, STEP // max(1, len(right)))
@@ -158,6 +165,9 @@ def _linker(rule: NearCopies, share: tuple[int, int] | None):
                 bits = bits + np.bitwise_count(diff)
                 near &= bits <= budget[4 * k + 5]
                 i, j, bits = i[near], j[near], bits[near]
+            if share is not None:
+                whole = sum((np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words), np.zeros(len(i), np.int64))
+                i, j, bits = (x[whole <= rule.max_bits] for x in (i, j, bits))
             if not len(i):
                 continue
             a, b = rep[i], rep[j]
@@ -175,21 +185,24 @@ def _linker(rule: NearCopies, share: tuple[int, int] | None):
             return u[best], v[best]
         return u, v
 
-    return grouped(links, slice(4, 4 + CARRIED))
+    return grouped(links, slice(4, 4 + CARRIED + (len(rule.words) if share is not None else 0)))
 
 
 def _links(classes: DataFrame, rule: NearCopies, block: int, share: tuple[int, int] | None = None) -> DataFrame:
-    """Distinct links within the full Hamming limit; keys of more than ``block`` members are dealt out as pairs of blocks."""
+    """Distinct links of the chains; keys of more than ``block`` members are dealt out as pairs of blocks."""
     keyed = _keyed(classes, rule)
     some = keyed.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0) if block >= 16 * SAMPLED else keyed
     each = SAMPLED if block >= 16 * SAMPLED else 1
     heavy = some.groupBy("key").count().where(F.col("count") * each > block).select("key", F.ceil(F.col("count") * each / block).cast("int").alias("n"))
     dealt = spread(keyed, heavy, [c for c in keyed.columns if c not in ("key", "own")])
-    found = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lean(_linker(rule, share), None), LINKS)
-    found = materialise(found.distinct(), "chain-links")
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lean(_linker(rule, share), None), LINKS).distinct()
+
+
+def within(links: DataFrame, classes: DataFrame, rule: NearCopies) -> DataFrame:
+    """The links whose whole fingerprints differ in ``max_bits`` at most."""
     side = lambda name: classes.select(F.col("rep").alias(name), *(F.col(w).alias(f"{name}_{w}") for w in rule.words))
     bits = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in rule.words), F.lit(0))
-    return found.join(side("u"), "u").join(side("v"), "v").where(bits <= rule.max_bits).select("u", "v")
+    return links.join(side("u"), "u").join(side("v"), "v").where(bits <= rule.max_bits).select("u", "v")
 
 
 def verified(links: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
@@ -219,7 +232,7 @@ def _in_parts(classes: DataFrame, reach: DataFrame, roots: DataFrame) -> DataFra
     ones (``roots``) leave in parts. Two classes alone have one link, and it failed."""
     near = reach.unionAll(reach.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "reach")
     parts = near.join(roots, "node", "left").select("node", "reach", F.coalesce("root", "node").alias("root"))
-    parts = materialise(parts, "parts")
+    parts = materialise(parts.coalesce(files(2 * reach.count())), "parts")
     groups = parts.groupBy("reach").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 AND a < b").select("reach")
     return classes.join(parts.join(groups, "reach", "left_semi"), F.col("rep") == F.col("node")).select(*classes.columns, "root")
 
@@ -239,8 +252,8 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), block: int = B
     # Each class becomes many rows: they are made by as many tasks as will sort them.
     classes = materialise(classes.repartition(tasks), "classes")
     named = classes.where("rep IS NOT NULL").select("rep", *rule.words)
-    proposed = materialise(_links(named, rule, block), "near-links")
-    passed = materialise(verified(proposed, docs, rule), "verified")
+    proposed = materialise(_links(named, rule, block), "chain-links")
+    passed = materialise(verified(materialise(within(proposed, named, rule), "near-links"), docs, rule), "verified")
     reach, roots = components(proposed), components(passed)
     for share in zip(ROUNDS, ROUNDS[1:]):
         left = materialise(_in_parts(named, reach, roots), "in-parts")
