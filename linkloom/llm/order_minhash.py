@@ -1,13 +1,14 @@
 """Order MinHash fingerprints, built from Spark's own functions only.
 
 A text's k-mers (runs of ``width`` words) are numbered by their occurrence and hashed as
-(k-mer, occurrence). Each of the sketch's orders ranks those hashes from another point
-of the hash circle; the ``length`` smallest under an order are put back in text order and
-hashed as one tuple. Equal entries of two sketches estimate how alike the texts are in
-content and order, which tracks their edit distance.
-
-All steps are linear in a text's words but for two sorts of longs. Occurrence numbers
-come from runs of equal hashes after the first sort, the orders' minima from the second.
+(k-mer, occurrence). The sketch's orders come from ``hashes`` independent hashes of these;
+the orders of one hash rank it from different points of the hash circle. The ``length``
+smallest k-mers under an order are put back in text order and hashed as one tuple. Equal
+entries of two sketches estimate how alike the texts are in content and order, which
+tracks their edit distance.
+
+All steps are linear in a text's words but for the sorts of longs. Occurrence numbers come
+from runs of equal hashes after the first sort, the orders' minima from one sort a hash.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import materialise
 
-#: Words in a k-mer, k-mers in a tuple, orders in a sketch.
-WIDTH, LENGTH, ORDERS = 5, 2, 32
-#: Characters after which a longer word is cut, so that text without spaces has k-mers as well.
+#: Words in a k-mer, k-mers in a tuple, orders in a sketch, and independent hashes that give them.
+WIDTH, LENGTH, ORDERS, HASHES = 5, 2, 32, 8
+#: Bits of a rank that hold the k-mer's position.
+PLACE_BITS = 24
+#: Characters after which a longer word is cut into several, so that text without spaces has k-mers as well.
 WORD = 32
 
 
@@ -40,11 +43,11 @@ def kmer_hashes(text: Column, width: int = WIDTH) -> Column:
 
 
 def numbered(kmers: Column) -> Column:
-    """(hash of k-mer and occurrence number, position) of each k-mer.
+    """Hash of each k-mer and its occurrence number, in text order.
 
     Most texts repeat no k-mer and number all of them 0. Else sorting (hash, position)
     brings equal k-mers together in text order; where a run of them starts, its slice
-    numbers its members.
+    numbers its members, and they go back to their positions.
     """
 
     def runs(k: Column) -> Column:
@@ -52,47 +55,54 @@ def numbered(kmers: Column) -> Column:
 
         def number(s: Column) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["h"] != F.get(s, i - 1)["h"]))
-            return _let(
+            found = _let(
                 starts,
                 lambda at: F.flatten(F.transform(at, lambda a, r: F.transform(
-                    F.slice(s, a + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - a), lambda x, n: F.struct(F.xxhash64(x["h"], n).alias("h"), x["p"].alias("p"))
+                    F.slice(s, a + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - a), lambda x, n: F.struct(x["p"].alias("p"), F.xxhash64(x["h"], n).alias("h"))
                 ))),
             )
+            return F.transform(F.sort_array(found), lambda x: x["h"])
 
         return _let(pairs, number)
 
-    none = F.array().cast("array<struct<h:bigint,p:int>>")
-    single = lambda k: F.transform(k, lambda h, i: F.struct(F.xxhash64(h, F.lit(0)).alias("h"), i.alias("p")))
+    none = F.array().cast("array<bigint>")
+    single = lambda k: F.transform(k, lambda h: F.xxhash64(h, F.lit(0)))
     return _let(kmers, lambda k: F.when(F.size(k) == 0, none).when(F.size(F.array_distinct(k)) == F.size(k), single(k)).otherwise(runs(k)))
 
 
-def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS) -> Column:
-    """The fingerprint's entries (32 bits each); ``orders`` must be a power of two. Empty without a word."""
-    shift = 64 - (orders.bit_length() - 1)
-    ranked = F.sort_array(numbered(kmer_hashes(text, width)))
+def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, hashes: int = HASHES) -> Column:
+    """The fingerprint's entries (32 bits each). Empty without a word.
+
+    ``hashes`` independent hashes give ``orders / hashes`` orders each, a power of two. A
+    rank is a long: 40 bits of the order's hash, then the k-mer's position (positions from
+    2 ** 24 on count as that).
+    """
+    each = orders // hashes
+    low = (1 << PLACE_BITS) - 1
 
     def pick(s: Column) -> Column:
+        """An entry for each of one hash's orders, from its sorted ranks."""
         n = F.size(s)
-        part = lambda x: F.shiftright(x["h"], shift) + orders // 2  # noqa: E731  signed order: 0 to orders - 1
-        # The first k-mer of each part of the circle that has one: at most ``orders`` indices.
-        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (part(F.get(s, i)) != part(F.get(s, i - 1))))
-
-        def orders_of(at: Column) -> Column:
-            heads = F.transform(at, lambda i: part(F.get(s, i)).cast("int"))
-            def by_heads(hs: Column) -> Column:
-                def one(j: Column) -> Column:
-                    later = F.size(F.filter(hs, lambda p: p < j))
-                    start = F.coalesce(F.get(at, later), F.lit(0))
-                    taken = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(length)) - 1), lambda k: F.get(s, (start + k) % n))
-                    in_text = F.sort_array(F.transform(taken, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"))))
-                    return F.shiftright(F.xxhash64(F.transform(in_text, lambda x: x["h"])), 32).cast("int")
-                return F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), one)
-            return _let(heads, by_heads)
-
-        return _let(firsts, orders_of)
+
+        def one(taken: Column) -> Column:
+            # Position first, so that sorting puts the k-mers back in text order.
+            in_text = F.sort_array(F.transform(taken, lambda x: F.shiftleft(x.bitwiseAND(low), 64 - PLACE_BITS - 1).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS + 1))))
+            return F.shiftright(F.xxhash64(F.transform(in_text, lambda x: x.bitwiseAND((1 << (64 - PLACE_BITS - 1)) - 1))), 32).cast("int")
+
+        if each == 1:
+            return F.array(one(F.slice(s, 1, length)))
+        # How many ranks stand before each part of the circle: an order starts there, or at the circle's begin after the last.
+        shift = 64 - (each.bit_length() - 1)
+        parts = F.transform(s, lambda x: F.shiftright(x, shift) + each // 2)
+        starts = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: F.size(F.filter(parts, lambda p: p < j)) % n)
+        return F.transform(starts, lambda at: one(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(length)) - 1), lambda k: F.get(s, (at + k) % n))))
+
+    def entries(kmers: Column) -> Column:
+        ranked = lambda i: F.sort_array(F.transform(kmers, lambda h, p: F.xxhash64(h, i).bitwiseAND(~low).bitwiseOR(F.least(p, F.lit(low)))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: _let(ranked(i), pick)))
 
     none = F.array().cast("array<int>")
-    return _let(ranked, lambda s: F.when(F.size(s) == 0, none).otherwise(pick(s)))
+    return _let(numbered(kmer_hashes(text, width)), lambda k: F.when(F.size(k) == 0, none).otherwise(entries(k)))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -77,23 +77,24 @@ def spark_hash(values):
     return signed(seed)
 
 
-def brute_sketch(text, width=5, length=2, orders=32):
+def brute_sketch(text, width=5, length=2, orders=32, hashes=8):
     words = [w for w in re.findall(r"[^\x20\x09-\x0D]{1,32}", text)]
     if not words:
         return []
     h = [spark_hash([w]) for w in words]
     kmers = [spark_hash(h[i : i + width]) for i in range(len(h) - width + 1)] if len(h) >= width else [spark_hash(h)]
-    seen, ranked = Counter(), []
-    for p, k in enumerate(kmers):
-        ranked.append((spark_hash([k, np.int32(seen[k])]), p))
+    seen, ids = Counter(), []
+    for k in kmers:
+        ids.append(spark_hash([k, np.int32(seen[k])]))
         seen[k] += 1
-    ranked.sort()
-    out = []
-    for j in range(orders):
-        lower = -(1 << 63) + j * ((1 << 64) // orders)
-        start = next((i for i, x in enumerate(ranked) if x[0] >= lower), 0)
-        taken = [ranked[(start + k) % len(ranked)] for k in range(min(length, len(ranked)))]
-        out.append(spark_hash([x for x, _ in sorted(taken, key=lambda x: x[1])]) >> 32)
+    out, each = [], orders // hashes
+    for i in range(hashes):
+        ranked = sorted((spark_hash([k, np.int32(i)]) >> 24, p) for p, k in enumerate(ids))
+        for j in range(each):
+            lower = (-(1 << 63) + j * ((1 << 64) // each)) >> 24
+            start = next((i for i, x in enumerate(ranked) if x[0] >= lower), 0)
+            taken = [ranked[(start + k) % len(ranked)] for k in range(min(length, len(ranked)))]
+            out.append(spark_hash([x % (1 << 40) >> 1 for x, _ in sorted(taken, key=lambda t: t[1])]) >> 32)
     return out
 
 
@@ -114,6 +115,48 @@ def test_order_minhash_against_brute_force(spark, messy):
     assert order_minhash.compare_edited(messy).count() == messy.count()
 
 
+def edit_similarity(a, b):
+    """1 - (edit distance of the word sequences) / words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_likeness_follows_edit_distance(spark):
+    """Texts with edited words, and with blocks moved: MinHash takes moved blocks for near, Order MinHash does not."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(160)]
+    rows, want, plain = [], [], []
+    kmers = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for i in range(160):
+        text = base[:]
+        if i % 2:
+            size = int(rng.integers(16, 40))
+            blocks = [text[k : k + size] for k in range(0, 160, size)]
+            text = [w for k in rng.permutation(len(blocks)) for w in blocks[k]]
+        for at in rng.choice(160, int(rng.integers(0, 12)), replace=False):
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(base), " ".join(text)))
+        want.append(edit_similarity(base, text))
+        plain.append(len(kmers(base) & kmers(text)) / len(kmers(base) | kmers(text)))
+    docs = spark.createDataFrame(rows, "i int, a string, b string")
+    near = lambda **k: order_minhash.likeness(order_minhash.sketch(F.col("a"), **k), order_minhash.sketch(F.col("b"), **k))
+    got = docs.orderBy("i").select(near(), near(orders=256, hashes=64)).collect()
+    few, many = (np.corrcoef([r[k] for r in got], want)[0, 1] for k in (0, 1))
+    exact = np.corrcoef(plain, want)[0, 1]  # MinHash's own limit with any number of hashes
+    assert few > exact + 0.05 and many > exact + 0.1, (few, many, exact)
+
+
+@pytest.mark.parametrize("words, least", [(8, 5), (12, 12), (20, 18), (60, 28)])
+def test_entries_of_short_texts_differ(words, least):
+    """The orders do not repeat a few pairs of neighbours: of n k-mers, n * (n - 1) / 2 pairs can meet."""
+    counts = [len(set(brute_sketch(" ".join(f"{k}w{i}" for i in range(words))))) for k in range(30)]
+    assert np.mean(counts) >= least
+
+
 # --- quality ---
 
 
