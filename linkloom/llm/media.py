@@ -98,7 +98,8 @@ class Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[list[str | None]] = []
         self.text: list[str] = []
-        self.figure: int | None = None
+        #: Open figures: the first item of each, and its caption so far.
+        self.figures: list[list] = []
         self.caption = self.skip = False
 
     def flush(self) -> None:
@@ -106,13 +107,19 @@ class Sequence(HTMLParser):
         self.text.clear()
         if not run.strip():
             return
-        if self.caption:
-            for item in self.items[self.figure :] if self.figure is not None else []:
-                if item[0] == "media":
-                    item[2] = run.strip()
+        if self.caption and self.figures:
+            known = self.figures[-1][1]
+            self.figures[-1][1] = f"{known} {run.strip()}" if known else run.strip()
         else:
             self.items.append(["text", run, None])
 
+    def end_figure(self) -> None:
+        """A figure's caption goes to all its media, before it or after it."""
+        start, caption = self.figures.pop()
+        for item in self.items[start:]:
+            if item[0] == "media" and caption:
+                item[2] = caption
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("script", "style"):
             self.skip = True
@@ -120,7 +127,7 @@ class Sequence(HTMLParser):
             self.flush()
         named = dict(attrs)
         if tag == "figure":
-            self.figure = len(self.items)
+            self.figures.append([len(self.items), None])
         elif tag == "figcaption":
             self.caption = True
         elif tag in ("img", "audio", "video") and (named.get("src") or ""):
@@ -133,8 +140,14 @@ class Sequence(HTMLParser):
             self.flush()
         if tag == "figcaption":
             self.caption = False
-        elif tag == "figure":
-            self.figure = None
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -144,8 +157,7 @@ class Sequence(HTMLParser):
 def parse_sequence(page: str | None) -> list[tuple[str, str, str | None]]:
     parser = Sequence()
     parser.feed(page or "")
-    parser.close()
-    parser.flush()
+    parser.finish()
     return [tuple(x) for x in parser.items]
 
 
@@ -159,7 +171,7 @@ STORED = T.StructType([
     T.StructField("html", T.StringType()), T.StructField("media", T.BinaryType()),
 ])
 SEQUENCE = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("position", T.IntegerType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("position", T.IntegerType()),
     T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("caption", T.StringType()),
 ])
 FEATURES = T.StructType([
@@ -193,23 +205,23 @@ def store_media(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), STORED), "media")
 
 
-def sequences(pages: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, position, kind, value, caption``: each page's text and media in order."""
+def sequences(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, position, kind, value, caption`` of ``doc_id, html``: each page's text and media in order; columns ``keep`` go with them."""
+    schema = T.StructType([*SEQUENCE.fields, *(pages.schema[k] for k in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], [[], [], [], []]
-            for i, page in enumerate(batch.column(2).to_pylist()):
+            for i, page in enumerate(batch.column(1).to_pylist()):
                 for position, item in enumerate(parse_sequence(page)):
                     rows.append(i)
                     for column, x in zip(out, (position, *item)):
                         column.append(x)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(out[0], pa.int32()), *(pa.array(x, pa.string()) for x in out[1:])], names=SEQUENCE.names
-            )
+            found = [batch.column(0).take(at), pa.array(out[0], pa.int32()), *(pa.array(x, pa.string()) for x in out[1:]), *(batch.column(2 + k).take(at) for k in range(len(keep)))]
+            yield pa.RecordBatch.from_arrays(found, names=schema.names)
 
-    return pages.select("doc_id", "n_bytes", "html").mapInArrow(lean(run), SEQUENCE)
+    return pages.select(F.col("doc_id").cast("long"), "html", *keep).mapInArrow(lean(run), schema)
 
 
 def media_features(stored: DataFrame) -> DataFrame:
@@ -230,19 +242,32 @@ def media_features(stored: DataFrame) -> DataFrame:
 
     each = stored.where("media IS NOT NULL").select("digest", "media").mapInArrow(lean(run), FEATURES)
     # Written, so that the join to come has plain shuffles on both sides, whose hot digests Spark can split.
-    return materialise(each.groupBy("digest").agg(*(F.min(c).alias(c) for c in FEATURES.names[1:])), "media-features")
+    # One whole row a digest: builds of zlib may differ in the bytes that they store.
+    rest = FEATURES.names[1:]
+    return materialise(each.groupBy("digest").agg(F.min(F.struct("media_sha256", *(c for c in rest if c != "media_sha256"))).alias("m")).select("digest", *(f"m.{c}" for c in rest)), "media-features")
+
+
+def resolve(pages: DataFrame, stored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The sequences of ``pages`` (``doc_id, html``) with their media from ``stored`` (``digest, media``).
+
+    Columns: ``doc_id, position, kind, value, caption``, ``keep``, and the medium's
+    ``payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``: null
+    for text, and for references that name no stored digest (addresses, unknown digests).
+    A figure's caption goes with each of its media, others keep their ``alt``. A null or
+    empty page gives no rows, a null id stays null, repeated rows stay.
+    """
+    items = sequences(pages, keep).withColumn("digest", F.expr(f"CASE WHEN kind = 'media' AND startswith(value, '{SCHEME}') THEN substr(value, {len(SCHEME) + 1}) END"))
+    return items.join(media_features(stored), "digest", "left").select(*SEQUENCE.names, *keep, *FEATURES.names[1:])
 
 
 def interleave(docs: DataFrame) -> DataFrame:
-    """One row per document and item of its sequence, its medium resolved by digest.
-
-    Columns: ``doc_id, n_bytes, position, kind, value, caption`` and the medium's
-    ``payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``
-    (null for text). A null text is empty and is stored as 64 zeros. Equal texts share
-    one digest; a digest is decoded where it is stored and only its features are joined,
-    so a hot payload moves a few bytes a row. Repeated rows stay, a null ``doc_id`` stays
-    null, other columns are ignored, an empty table gives no rows.
+    """One row per document: the page that shows its text as a medium, resolved by digest.
+
+    Columns as in ``resolve``, with ``n_bytes``. A null text is empty and is stored as 64
+    zeros; very long texts are stored whole. Equal texts share one digest; a digest is
+    decoded where it is stored and only its features are joined, so a hot payload moves a
+    few bytes a row. Repeated rows stay, a null ``doc_id`` stays null, other columns are
+    ignored, an empty table gives no rows.
     """
     stored = store_media(docs)
-    items = sequences(stored).withColumn("digest", F.expr(f"CASE WHEN kind = 'media' THEN substr(value, {len(SCHEME) + 1}) END"))
-    return items.join(media_features(stored), "digest", "left").select(*SEQUENCE.names, *FEATURES.names[1:])
+    return resolve(stored, stored, ("n_bytes",))

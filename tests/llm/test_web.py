@@ -41,6 +41,68 @@ def test_archives_read_back(pages):
     assert not left and {r.url for r in rows if r.page_id == 3} == {None}
 
 
+def squeezed(markup):
+    """A page's text without markup and white space, by regular expressions."""
+    import html
+
+    bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>|<[^>]*>", "", markup)
+    return re.sub(r"\s+", "", html.unescape(bare))
+
+
+def test_real_pages_with_media(spark):
+    """Media at random places of real pages: order, positions, captions and payloads, by construction."""
+    import random
+    import zlib
+
+    from linkloom.llm import media
+
+    rng = random.Random(3)
+    store = [bytes(rng.randrange(256) for _ in range(64 * rng.randint(1, 30))) for _ in range(12)]
+    digests = [hashlib.sha256(x).hexdigest() for x in store]
+    rows, want = [], {}
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        places = sorted(rng.sample(range(len(found := [m.start() for m in re.finditer("<p>", r.html)])), min(len(found), rng.randint(0, 5)))) if "<p>" in r.html else []
+        page, done, items = "", 0, []
+        for at in (found[k] for k in places):
+            kind = rng.randrange(5)
+            refs = [rng.randrange(len(store)) for _ in range(rng.randint(1, 3) if kind == 0 else 1)]
+            caption = f"Caption {len(items)} & more <b>of</b> it"
+            said = caption.replace("<b>", "").replace("</b>", "")
+            images = "".join(f'<img src="media:sha256:{digests[k]}" alt="alt {k}">' for k in refs)
+            snippet, told = {
+                0: (f"<figure>{images}<figcaption>{caption}</figcaption></figure>", [(k, said) for k in refs]),
+                1: (f"<figure><figcaption>{caption}</figcaption>{images}</figure>", [(k, said) for k in refs]),
+                2: (images, [(k, f"alt {k}") for k in refs]),
+                3: (f'<video src="media:sha256:{digests[refs[0]]}"></video>', [(refs[0], None)]),
+                4: ('<img src="http://elsewhere/x.png" alt="far">', [(None, "far")]),
+            }[kind]
+            page += r.html[done:at] + snippet
+            done = at
+            items += [(k, told_caption, squeezed(r.html[:at])) for k, told_caption in told]
+        rows.append((r.page_id, page + r.html[done:], "clash"))
+        want[r.page_id] = (items, squeezed(r.html))
+    pages = spark.createDataFrame(rows, "doc_id long, html string, digest string")
+    stored = spark.createDataFrame([(d, bytearray(media.encode_png(x))) for d, x in zip(digests, store)] * 2, "digest string, media binary")
+    got = {i: [] for i in want}
+    for r in media.resolve(pages, stored).collect():
+        got[r.doc_id].append(r)
+    assert sum(len(x[0]) for x in want.values()) > 50
+    for i, (items, text) in want.items():
+        row = sorted(got[i], key=lambda r: r.position)
+        assert [r.position for r in row] == list(range(len(row)))
+        before, seen = "", []
+        for r in row:
+            if r.kind == "text":
+                before += re.sub(r"\s+", "", r.value)
+                assert r.payload_sha256 is None and r.caption is None
+                continue
+            seen.append((r, before))
+        assert before == text and len(seen) == len(items)
+        for (r, prefix), (k, caption, upto) in zip(seen, items):
+            assert (r.caption, prefix) == (caption, upto)
+            assert (r.payload_sha256, r.tail_crc32) == ((None, None) if k is None else (digests[k], zlib.crc32(store[k][-64:])))
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_and_read(none).count() == 0
