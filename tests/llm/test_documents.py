@@ -45,6 +45,48 @@ def test_license_templates_are_found_when_edited(spark):
     assert got == {1: "mit", 2: "", 3: "gpl-3"}
 
 
+def brute_alignments(text, idf, rule):
+    """label -> best share over every start and every template."""
+    ws, found = license_scan.words(text), {}
+    for t in license_scan.TEMPLATES:
+        tw = license_scan.words(t.text)
+        weight = [idf[w] for w in tw]
+        slack = max(rule.slack, len(tw) // 16)
+        for start in range(-slack, len(ws)):
+            lo = max(0, start - slack)
+            window = ws[lo : max(0, start + len(tw) + slack)]
+            share = sum(x for i, (w, x) in enumerate(zip(tw, weight)) if w in ws[max(0, start + i - slack) : max(0, start + i + slack + 1)]) / sum(weight)
+            joined = b" " + b" ".join(window) + b" "
+            if share >= rule.least and all(b" " + b" ".join(license_scan.words(p)) + b" " in joined for p in t.mandatory):
+                found[t.label] = max(found.get(t.label, 0.0), min(1.0, share))
+    return found
+
+
+def test_alignments_against_every_start(spark):
+    """Whole and edited licence texts inside other words: labels and scores as trying all starts gives them."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        t = license_scan.TEMPLATES[i % len(license_scan.TEMPLATES)]
+        ws = t.text.split()
+        for at in rng.choice(len(ws), int(rng.integers(0, 1 + len(ws) // 6)), replace=False):
+            ws[at] = rng.choice(["", "edited", "two words", ws[at] + " software"])
+        ahead, after = (" ".join(rng.choice(["the", "software", "license", "of", "copyright", "x1", "x2"], int(rng.integers(0, 40)))) for _ in range(2))
+        rows.append((i, f"{ahead} {' '.join(ws)} {after}" if i % 7 else f"{ahead} {' '.join(ws[: len(ws) // 2])} {after}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary = {w for t in (*license_scan.PHRASES, *license_scan.TEMPLATES) for w in license_scan.words(t.text)}
+    idf = license_scan.word_weights(docs, vocabulary)
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    hits = 0
+    for i, text in rows:
+        want = brute_alignments(text, idf, license_scan.ScanRule())
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == base | set(want), i
+        assert got[i].score == pytest.approx(1.0 if base else max(want.values(), default=0.0))
+        hits += bool(want)
+    assert hits > 20
+
+
 # --- mixing ---
 
 
