@@ -8,6 +8,7 @@ its name only when it is whole. Reading goes through Spark's own binary reader,
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
@@ -34,24 +35,47 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: First halves of the record URIs of pages with an id, and without one.
+WITH_ID, WITHOUT_ID = 0x77617263_0000_4000, 0x77617263_0000_4FFF
+
+
 class WarcError(ValueError):
     """An archive that breaks the format."""
 
 
 def record_id(page_id: int | None) -> str:
     """A URI that carries the page's id in its low 64 bits."""
-    high = 0x77617263_0000_4000 if page_id is not None else 0x77617263_0000_4FFF
+    high = WITH_ID if page_id is not None else WITHOUT_ID
     return f"<urn:uuid:{uuid.UUID(int=(high << 64) | ((page_id or 0) % (1 << 64)))}>"
 
 
 def page_of(uri: str) -> int | None:
-    number = uuid.UUID(uri.strip("<>").removeprefix("urn:uuid:")).int
-    if (number >> 64) & 0xFFF:
+    """The page's id in a URI of ``record_id``; null for others' URIs and for pages without an id."""
+    try:
+        number = uuid.UUID(uri.strip("<>").removeprefix("urn:uuid:")).int
+    except ValueError:
+        return None
+    if number >> 64 != WITH_ID:
         return None
     low = number % (1 << 64)
     return low - (1 << 64) if low >> 63 else low
 
 
+def sha1_of(field: str | None) -> str | None:
+    """A ``sha1:`` digest field (base 16 or base 32, as writers differ) in lower-case hex; null for none and for other algorithms."""
+    name, _, value = (field or "").partition(":")
+    if name.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    try:
+        raw = base64.b32decode(value.upper()) if len(value) == 32 else bytes.fromhex(value)
+    except ValueError as e:
+        raise WarcError(f"no SHA-1 digest: {value!r}") from e
+    if len(raw) != 20:
+        raise WarcError(f"no SHA-1 digest: {value!r}")
+    return raw.hex()
+
+
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP head and drops the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -146,27 +170,30 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise WarcError(f"the block has {len(rest) - 4} bytes; its header says {n}")
     block = rest[:n]
-    if (digest := headers.get("warc-block-digest")) and digest != f"sha1:{hashlib.sha1(block).hexdigest()}":
+    if (digest := sha1_of(headers.get("warc-block-digest"))) and digest != hashlib.sha1(block).hexdigest():
         raise WarcError("the block does not have its digest")
     return headers, block
 
 
-def parse_http(headers: dict[str, str], block: bytes) -> tuple[int, str, bytes | None]:
+def parse_http(headers: dict[str, str], block: bytes) -> tuple[int, str | None, bytes | None]:
     """(full payload's bytes, its SHA-1, payload or None for a revisit)."""
     head, found, payload = block.partition(b"\r\n\r\n")
     if not found:
         raise WarcError("no HTTP head")
-    length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
-    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    said = next((x.split(b":", 1)[1].strip() for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
+    if said is not None and not said.isdigit():
+        raise WarcError(f"the HTTP length is no number: {said!r}")
+    length, digest = None if said is None else int(said), sha1_of(headers.get("warc-payload-digest"))
     if headers["warc-type"] == "revisit":
         if payload or "warc-refers-to" not in headers:
             raise WarcError("a revisit with a payload or without its target")
         return length or 0, digest, None
     if length is not None and length != len(payload):
         raise WarcError("the payload does not have its HTTP length")
-    if digest != hashlib.sha1(payload).hexdigest():
+    found_digest = hashlib.sha1(payload).hexdigest()
+    if digest is not None and digest != found_digest:
         raise WarcError("the payload does not have its digest")
-    return len(payload), digest, payload
+    return len(payload), found_digest, payload
 
 
 def put_file(folder: str, name: str, data: bytes) -> str:
@@ -264,7 +291,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 def archive_and_read(pages: DataFrame, folder: str | None = None, payloads: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write each row of ``pages`` as a WARC record, then read the archives back.
 
-    A null html is an empty payload; a null url is written as ``urn:unknown`` and read as
+    A null html is an empty payload; very long ones are one record each. Control characters
+    and spaces of a url are read back escaped (``%20``); a null url is written as ``urn:unknown`` and read as
     null; a null ``page_id`` is read as null, and such a page only revisits pages with an
     id. Repeated rows are written each, and the rows of the largest id are all responses.
     Other columns are ignored. An empty table writes nothing and gives no rows.

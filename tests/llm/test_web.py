@@ -121,6 +121,15 @@ def test_archive_format_and_broken_archives():
     for old, new in ((b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: ", b"Content-Lengthx: "), (b"payload", b"pbyload"), (b"\r\n\r\npay", b"\r\n\r\n\r\npay")):
         with pytest.raises(warc.WarcError):
             warc.parse_http(*warc.parse_record(records[3].replace(old, new, 1)))
+    import base64
+
+    digest = hashlib.sha1(b"payload 3 " * 50).hexdigest()
+    for spelled in (base64.b32encode(bytes.fromhex(digest)).decode(), digest.upper()):
+        assert warc.parse_http(*warc.parse_record(records[3].replace(digest.encode(), spelled.encode())))[1] == digest
+    inner = records[3].index(b"Content-Length: ", records[3].index(b"HTTP/1.1")) + 16
+    with pytest.raises(warc.WarcError):
+        warc.parse_http(*warc.parse_record((records[3][:inner] + b"x" + records[3][inner + 1 :]).replace(b"WARC-Block-Digest", b"X-Block-Digest")))
+    assert warc.page_of("<urn:uuid:12345678-1234-4234-8234-123456789abc>") is None and warc.page_of("http://elsewhere/1") is None
     for i in (None, 0, -5, 1 << 62):
         assert warc.page_of(warc.record_id(i)) == i
 
