@@ -29,8 +29,8 @@ from linkloom.llm.common import HELPER, lean, materialise
 REACH = 2
 #: Words in a row that must repeat to be removed from inside lines.
 LEAST_WORDS = 25
-#: Words of a whole line that is removed where it repeats.
-LEAST_LINE = 1
+#: Words of a whole line that is removed where it repeats; shorter ones meet by chance in clean documents.
+LEAST_LINE = 4
 #: Lower-cases A-Z and blanks other ASCII characters that are no digit or letter; line ends stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Scripts that put no spaces between words (Thai to Khmer, Han, kana): each of their characters is a word.

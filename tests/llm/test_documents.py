@@ -210,6 +210,25 @@ def test_quality_on_held_out_labels(spark):
     assert right > 0.97 and kept > 0.98
 
 
+@pytest.mark.parametrize("total", [0, 10, 20_001, 10**10, 10**14, 10**17])
+def test_a_sample_of_any_corpus(total):
+    """The sample never becomes empty, and stays near its bound, whatever the corpus has."""
+    limit = weak_labels.sample_limit(total, weak_labels.TRAIN_ROWS)
+    assert 0 < limit <= 1 << weak_labels.SAMPLE_BITS
+    assert total * limit / (1 << weak_labels.SAMPLE_BITS) == pytest.approx(min(total, weak_labels.TRAIN_ROWS), rel=0.2)
+
+
+def test_long_texts_train_within_the_bound(spark):
+    """Features beyond the byte bound lower the sample's threshold; a model still comes out."""
+    rng = np.random.default_rng(2)
+    good = [(i, " ".join(f"{''.join(chr(97 + c) for c in rng.integers(0, 26, 6))}" for _ in range(200))) for i in range(60)]
+    bad = [(100 + i, "BUY!! NOW!! " * 40 + f"X{i}!!") for i in range(60)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    found = weak_labels.fit(docs, train_bytes=20_000)
+    rows = {r.doc_id: r.quality_score for r in weak_labels.score(docs, found).collect()}
+    assert np.count_nonzero(found.weights) and all(rows[i] > 0.5 for i, _ in good) and all(rows[i] < 0.5 for i, _ in bad)
+
+
 def test_em_finds_the_bad_labeller():
     base = {}
     for good, vote in ((True, 1), (False, 2)):

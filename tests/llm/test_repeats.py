@@ -24,7 +24,33 @@ def test_ends_of_a_passage_go(spark):
 
 
 def test_short_lines_go_after_the_first(spark):
-    docs = [(1, f"{own(1)}\nA short header line.\n{own(11)}\nend"), (2, f"a short  header line\n{own(2)}\nA short header line\nEnd\n{own(22)}"), (3, f"{own(3)} a short header line {own(33)}")]
+    docs = [(1, f"{own(1)}\nA short header line.\n{own(11)}\nthe end"), (2, f"a short  header line\n{own(2)}\nA short header line\nThe end\n{own(22)}"), (3, f"{own(3)} a short header line {own(33)}")]
     left = cut(spark, docs)
     assert left[1] == docs[0][1] and left[3] == docs[2][1]
-    assert left[2].split() == f"{own(2)} {own(22)}".split()
+    assert left[2].split() == f"{own(2)} The end {own(22)}".split()  # three words and less meet by chance
+
+
+def test_a_text_of_one_line_goes_whole(spark):
+    line = own(7, 20)
+    assert cut(spark, [(1, line), (2, line.upper()), (3, f"{line}\n")]) == {1: line, 2: "", 3: ""}
+
+
+def test_scripts_without_spaces(spark):
+    """A passage of Han characters pasted into two lines: each character counts as a word."""
+    passage = "".join(chr(0x4E00 + (i * 37) % 5000) for i in range(200))
+    docs = [(1, "前" * 3 + passage + "后"), (2, "甲乙丙丁" + passage + "戊己庚辛"), (3, "".join(chr(0x4E00 + (i * 91) % 5000) for i in range(150)))]
+    left = cut(spark, docs)
+    assert left[1] == docs[0][1] and left[3] == docs[2][1]
+    assert len(left[2]) < 30 and left[2].startswith("甲乙丙丁") and left[2].endswith("戊己庚辛")
+
+
+def test_rows_without_an_id_are_no_group(spark):
+    """Null ids rank last and alike; many of them never meet in one list."""
+    shared = own(0, 40)
+    docs = [(5, f"{shared}\n{own(5)}"), *((None, f"{shared}\n{own(100 + k)}") for k in range(50)), (None, own(9))] + [(5, f"{shared}\n{own(5)}")] * 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = passages.remove_repeats(frame).collect()
+    assert sorted(r.text for r in rows if r.doc_id is None) == sorted([*(own(100 + k) for k in range(50)), own(9)])
+    assert [r.text for r in rows if r.doc_id == 5] == [docs[0][1]] * 4
+    plan = passages.remove_repeats(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__linkloom_h" in plan
