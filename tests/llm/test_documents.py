@@ -210,6 +210,59 @@ def test_quality_on_held_out_labels(spark):
     assert right > 0.97 and kept > 0.98
 
 
+def brute_votes(text):
+    """The nine labellers by plain string operations: 1 good, 2 bad, 0 none."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if len(words) < 3:
+        return [0] * 9
+    data, n = text.encode(), len(words)
+    letters = [b for b in data if b >= 128 or chr(b).isalpha()]
+    solid = sum(len(w.encode()) for w in words)
+    capitals = sum(65 <= b <= 90 for b in data) / len(letters) if letters else 0.0
+    marks = sum(chr(b) in "*$%&#@^~=+<>{}[]\\_" for b in data) / n
+    stutter = sum(a == b for a, b in zip(words, words[1:])) / n
+    bare = sum(w in "|*$%&#@^~=+<>-_/\\.,;:!?" and len(w) == 1 for w in words) / n
+    lettered = sum(b >= 128 or chr(b).isalnum() for b in data) / solid
+    variety = sum(len(set(words[i : i + 500])) for i in range(0, n, 500)) / n if n >= 20 else 1.0
+    bad = [capitals >= 0.5, text.count("!!") / n >= 0.3, marks >= 1, words.count("|") / n >= 0.15, bare >= 0.15, stutter >= 0.25, variety <= 0.25, lettered <= 0.65]
+    plain = lettered >= 0.85 and capitals <= 0.2 and stutter <= 0.05 and bare <= 0.02 and marks <= 0.1
+    odd = lettered <= 0.7 or capitals >= 0.4 or stutter >= 0.2 or bare >= 0.1
+    return [2 * x for x in bad] + [1 if plain else 2 if odd else 0]
+
+
+def brute_shape(word):
+    kinds = "".join("A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "0" if 48 <= b <= 57 else chr(b) for b in word.encode())
+    return re.sub(r"(.)\1+", r"\1", kinds, flags=re.S)[:12]
+
+
+def test_classifier_against_brute_force(spark):
+    """EM document by document, and the scorer's scores from features made anew."""
+    all_texts = texts(spark)
+    votes = {i: brute_votes(t) for i, t in all_texts.items()}
+    accuracy = [0.9] * 9
+    for _ in range(60):
+        good = {}
+        for i, v in votes.items():
+            odds = sum((1 if x == 1 else -1) * np.log(a / (1 - a)) for x, a in zip(v, accuracy) if x)
+            good[i] = 1 / (1 + np.exp(-odds))
+        for k in range(9):
+            right = sum(good[i] if v[k] == 1 else 1 - good[i] for i, v in votes.items() if v[k])
+            accuracy[k] = min(0.9999, max(0.51, (right + 1.8) / (sum(v[k] != 0 for v in votes.values()) + 2)))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = weak_labels.fit(docs)
+    assert list(found.accuracy.values()) == pytest.approx(accuracy, abs=1e-6)
+    for r in weak_labels.score(docs, found).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", all_texts[r.doc_id])
+        bag = Counter()
+        for w in words:
+            bag[zlib.crc32(b"s" + brute_shape(w).encode()) % 32768] += 1
+            bag[zlib.crc32(b"e" + w.encode()[-2:]) % 32768] += 1
+        bag[zlib.crc32(b"repeat") % 32768] += sum(a == b for a, b in zip(words, words[1:]))
+        z = found.bias + (sum(float(found.weights[k]) * (x / len(words)) ** 0.5 for k, x in bag.items()) if words else 0)
+        assert r.weak_posterior == pytest.approx(good[r.doc_id], abs=1e-6)
+        assert r.quality_score == pytest.approx(1 / (1 + np.exp(-min(30, max(-30, z)))), abs=1e-4)
+
+
 @pytest.mark.parametrize("total", [0, 10, 20_001, 10**10, 10**14, 10**17])
 def test_a_sample_of_any_corpus(total):
     """The sample never becomes empty, and stays near its bound, whatever the corpus has."""

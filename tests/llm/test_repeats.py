@@ -1,5 +1,7 @@
 """Repeated lines, and passages that only seem to repeat."""
 
+import random
+
 from linkloom.llm import passages
 
 
@@ -54,3 +56,39 @@ def test_rows_without_an_id_are_no_group(spark):
     assert [r.text for r in rows if r.doc_id == 5] == [docs[0][1]] * 4
     plan = passages.remove_repeats(frame)._jdf.queryExecution().optimizedPlan().toString()
     assert "__linkloom_h" in plan
+
+
+def test_planted_passages_by_construction(spark):
+    """Passages of 50 to 120 words inside lines of other words: later copies go but for a few words at their ends, all else stays."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    planted = [[word() for _ in range(rng.randint(50, 120))] for _ in range(15)]
+    docs, marks, seen = [], {}, set()
+    for i in range(120):
+        text, mark = [], []
+        for _ in range(rng.randint(1, 4)):
+            line = [(word(), None) for _ in range(rng.randint(10, 90))]
+            if rng.random() < 0.5:
+                k, at = rng.randrange(15), rng.randint(0, len(line))
+                line[at:at] = [(w, k) for w in planted[k]]
+            text.append(" ".join(w for w, _ in line))
+            mark += [(w, k is not None and k in seen, k) for w, k in line]
+            seen |= {k for _, k in line if k is not None}
+        docs.append((i, "\n".join(text)))
+        marks[i] = mark
+    left = {r.doc_id: r for r in passages.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    repeated = kept = 0
+    for i, text in docs:
+        gone = [False] * len(text)
+        for a, b in left[i].removed:
+            gone[a:b] = [True] * (b - a)
+        assert "".join(c for c, g in zip(text, gone) if not g) == left[i].text
+        at = 0
+        for w, again, _ in marks[i]:
+            at = text.index(w, at)
+            out = gone[at]
+            assert again or not out, "a word that does not repeat went"
+            repeated += again
+            kept += again and not out
+            at += len(w)
+    assert repeated > 1500 and kept < 0.08 * repeated
