@@ -140,7 +140,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     ``copies`` (0 to ``most``) says how often the mix takes the document and ``taken`` =
     ``copies * size``. A source's taken words differ from its target by half of its
-    boundary document at most; a source without words takes none. A null text has size 0;
+    boundary document at most; a source without words takes none. A null or empty text has
+    size 0, a very long one is counted whole and is never split;
     a null source is a source of its own, the last in the order. Rows with one ``doc_id``
     share a hash and are taken together; null ids are such a group as well. Other columns
     are ignored; an empty table gives no rows.
@@ -153,7 +154,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` takes it; only the plan of the sources is joined."""
+    """The rows of ``docs``, each as often as ``mix`` takes it, with all their columns as they were.
+
+    Only the plan of the sources is joined. Nulls, ties, repeats, empty and very long texts
+    and an empty table as in ``mix``.
+    """
     _, plan = mix_plan(docs, weights, share, most, seed)
     source, cuts, hashed, cut = (f"{HELPER}{x}" for x in ("source", "cuts", "hash", "cut"))
     plan = plan.select(F.col("s").alias(source), F.col("cuts").alias(cuts))

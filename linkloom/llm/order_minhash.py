@@ -129,13 +129,13 @@ def successors(ids: DataFrame, parts: int) -> DataFrame:
     return inside.join(F.broadcast(heads), "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"))
 
 
-def fingerprint(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, id_parts: int | None = None) -> DataFrame:
+def fingerprint(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, hashes: int = HASHES) -> DataFrame:
     """``doc_id, text, n_chars, sketch`` of each document (null text: empty)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).cast("long").alias("n_chars"), sketch(text, width, length, orders).alias("sketch"))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).cast("long").alias("n_chars"), sketch(text, width, length, orders, hashes).alias("sketch"))
 
 
-def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, texts: bool = True) -> DataFrame:
+def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, texts: bool = True, hashes: int = HASHES) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     The edited text replaces the last ``floor(n_chars / 2)`` characters by the first as
@@ -143,6 +143,7 @@ def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, or
     last. Of rows that share an id the one with the smallest hash of its text is the next
     document of the id before. A null ``doc_id`` has no place in the order: it is given
     back with its own fingerprint, followed by an empty document. A null text is empty,
+    very long texts are sketched whole (a word of over 32 characters counts as several),
     repeated rows are kept, other columns are ignored, an empty table gives no rows.
 
     Returns ``doc_id, n_chars, edited_sha256, sketch, edited_sketch, near_edited,
@@ -173,7 +174,7 @@ def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, or
     met = materialise(
         met.select(
             "doc_id", digest.alias("h"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-            sketch(F.col("text"), width, length, orders).alias("sketch"), sketch(F.col("edited"), width, length, orders).alias("edited_sketch"), *(["text", "edited"] if texts else []),
+            sketch(F.col("text"), width, length, orders, hashes).alias("sketch"), sketch(F.col("edited"), width, length, orders, hashes).alias("edited_sketch"), *(["text", "edited"] if texts else []),
         ),
         "sketches",
     )

@@ -165,7 +165,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
     Returns ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``; ``ids``
     holds the piece's ids as little-endian unsigned 32-bit numbers. A null text counts
-    as empty and still gives its closing id, so each row has one piece at least. A null
+    as empty and still gives its closing id, so each row has one piece at least; a very long
+    text gives as many pieces as windows it reaches into. A null
     ``doc_id`` is kept as null, repeated rows are packed each, other columns are ignored,
     and an empty table gives no rows. Only the last sequence can be short.
     """
