@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import mixing, near_copies, packing, passages, weak_labels
-from linkloom.llm.common import materialise, table
+from linkloom.llm.common import table
+from linkloom.scratch import scope, scratch_path, stored
 
 #: Five-word shingles; texts that share 0.8 of them are near copies.
 NEAR_COPIES = near_copies.NearCopies(width=5, least_jaccard=0.8)
@@ -48,10 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each stage's result is written and read again."""
+    """All stages in turn; each stage's result is written and read again, and what it wrote beside that is removed."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scope(spark):
+            stored(stage(spark, docs, sf_dir), path, "snappy")
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,32 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: The paths of each open ``scope``, innermost last.
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver's JVM ends."""
+    """A new path below the shared folder, removed at the end of the ``scope`` or, at the latest, when the driver's JVM ends."""
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     system, at = file_system(spark, path)
     system.deleteOnExit(at)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes what was written to the scratch folder inside it; results must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            system, at = file_system(spark, path)
+            system.delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, at = file_system(spark, path)
     return system.exists(at)
