@@ -12,7 +12,8 @@ with a chance of 0.07, so 40 segments propose 19 of 20 such pairs and nearly all
 nearer; unlike texts meet in 40 / 2 ** 16 of all pairs. Texts with one set of shingles are
 one class before any link is searched. A key first gives out its nearest links (a minimum
 spanning forest), then, where verification leaves a group in parts, every link between two
-parts until all are tested or joined.
+parts until all are tested or joined. Those groups get three times longer fingerprints
+first, so that few of the pairs that are tested fail.
 """
 
 from __future__ import annotations
@@ -48,26 +49,34 @@ class NearCopies:
     shingles that links them; ``segments`` (a multiple of 4): ring segments, each a join key;
     ``chain_bits``: differing bits that the chains' budgets share out by segments, above
     ``max_bits``, the limit of the whole fingerprints, as a chain from a given segment can
-    have more than its share."""
+    have more than its share. Groups that are searched again have fingerprints of
+    ``fine_words`` words, whose limit is ``fine_bits``."""
 
     width: int = 5
     least_jaccard: float = 0.8
     segments: int = 40
     chain_bits: int = 136
     max_bits: int = 120
+    fine_words: int = 30
+    fine_bits: int = 330
     seed: int = 42
 
     @property
     def words(self) -> list[str]:
         return [f"w{i}" for i in range(self.segments * SEGMENT_BITS // 64)]
 
+    @property
+    def finer(self) -> list[str]:
+        """The words of the fine fingerprint beyond ``words``."""
+        return [f"w{i}" for i in range(len(self.words), self.fine_words)]
+
 
 def shingle_set(text: str | None, rule: NearCopies) -> np.ndarray:
     return np.unique(shingle_hashes(text, rule.width, rule.seed))
 
 
-def wide_prints(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """A row of ``words`` 64-bit words for each set of hashes: the majority of each bit; zeros for an empty set."""
+def wide_prints(sets: list[np.ndarray], words: int, begin: int = 0) -> np.ndarray:
+    """A row of ``words`` 64-bit words (from the ``begin``-th on) for each set of hashes: the majority of each bit; zeros for an empty set."""
     out = np.zeros((len(sets), words), np.uint64)
     kept = [i for i, s in enumerate(sets) if len(s)]
     if not kept:
@@ -79,7 +88,7 @@ def wide_prints(sets: list[np.ndarray], words: int) -> np.ndarray:
     at = np.repeat(np.cumsum(sizes) - sizes - 255 * first, parts) + 255 * np.arange(parts.sum())
     counts = np.empty((len(kept), 8, 8), np.int64)
     for w in range(words):
-        x = remix(hashes + np.uint64(w * 0xD1342543DE82EF95 % (1 << 64)))
+        x = remix(hashes + np.uint64((begin + w) * 0xD1342543DE82EF95 % (1 << 64)))
         for i in range(8):
             lanes = np.add.reduceat((x >> np.uint64(i)) & LANES, at)
             counts[:, :, i] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
@@ -111,6 +120,24 @@ def prints(docs: DataFrame, rule: NearCopies) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)
 
 
+def fine_prints(classes: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
+    """``classes`` (a written table) with the words ``rule.finer``, from the texts of their ``rep`` alone."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("rep", *rule.finer)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = wide_prints([shingle_set(t, rule) for t in batch.column(1).to_pylist()], len(rule.finer), len(rule.words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=schema.names)
+
+    return classes.join(texts_of(classes.select(F.col("rep").alias("doc_id")), docs).mapInArrow(lean(run, 256), schema), "rep")
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the ids of a written table; of rows that share an id, the smallest text."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(bounded(ids), "doc_id", "left_semi")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def _window(names: list[str], segment: int) -> Column:
     """The four segments from ``segment`` on, around the ring, as one word."""
     word, shift = segment // 4 % len(names), SEGMENT_BITS * (segment % 4)
@@ -122,9 +149,9 @@ def _window(names: list[str], segment: int) -> Column:
 def _keyed(classes: DataFrame, rule: NearCopies) -> DataFrame:
     """``key, own, rep, c0, c1, ...``: a row for each class and segment, with the chain after it.
 
-    Classes with a ``root`` are few: they carry their whole fingerprints and their root as well.
+    Classes with a ``root`` are few: they carry their fine fingerprints and their root as well.
     """
-    names, carried = rule.words, ["rep", *([*rule.words, "root"] if "root" in classes.columns else [])]
+    names, carried = rule.words, ["rep", *([*rule.words, *rule.finer, "root"] if "root" in classes.columns else [])]
     rows = [
         F.struct(
             (F.lit(i << 20) + F.shiftrightunsigned(names[i // 4], SEGMENT_BITS * (i % 4)).bitwiseAND((1 << SEGMENT_BITS) - 1)).alias("key"),
@@ -137,7 +164,7 @@ def _keyed(classes: DataFrame, rule: NearCopies) -> DataFrame:
 
 def _linker(rule: NearCopies, share: tuple[int, int] | None):
     """Links of each key: a minimum spanning forest of the chains, or with ``share`` all those
-    between two roots whose hash is in it and whose whole fingerprints are near."""
+    between two roots whose hash is in it and whose fine fingerprints are near."""
     budget = [length * rule.chain_bits // rule.segments for length in range(4 * CARRIED + 2)]
     ends = [np.uint64((1 << SEGMENT_BITS * (k + 1)) - 1) for k in range(3)]
 
@@ -167,7 +194,7 @@ def _linker(rule: NearCopies, share: tuple[int, int] | None):
                 i, j, bits = i[near], j[near], bits[near]
             if share is not None:
                 whole = sum((np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words), np.zeros(len(i), np.int64))
-                i, j, bits = (x[whole <= rule.max_bits] for x in (i, j, bits))
+                i, j, bits = (x[whole <= rule.fine_bits] for x in (i, j, bits))
             if not len(i):
                 continue
             a, b = rep[i], rep[j]
@@ -185,7 +212,7 @@ def _linker(rule: NearCopies, share: tuple[int, int] | None):
             return u[best], v[best]
         return u, v
 
-    return grouped(links, slice(4, 4 + CARRIED + (len(rule.words) if share is not None else 0)))
+    return grouped(links, slice(4, 4 + CARRIED + (rule.fine_words if share is not None else 0)))
 
 
 def _links(classes: DataFrame, rule: NearCopies, block: int, share: tuple[int, int] | None = None) -> DataFrame:
@@ -207,9 +234,8 @@ def within(links: DataFrame, classes: DataFrame, rule: NearCopies) -> DataFrame:
 
 def verified(links: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
     """The links whose texts share ``least_jaccard`` of their distinct shingles; only linked texts are fetched."""
-    linked = materialise(links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "linked-ids")
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(bounded(linked), "doc_id", "left_semi")
-    texts = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "linked-texts")
+    linked = materialise(links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "doc_id"), "linked-ids")
+    texts = materialise(texts_of(linked, docs), "linked-texts")
     side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +280,15 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), block: int = B
     named = classes.where("rep IS NOT NULL").select("rep", *rule.words)
     proposed = materialise(_links(named, rule, block), "chain-links")
     passed = materialise(verified(materialise(within(proposed, named, rule), "near-links"), docs, rule), "verified")
-    reach, roots = components(proposed), components(passed)
+    reach, roots, fine = components(proposed), components(passed), None
     for share in zip(ROUNDS, ROUNDS[1:]):
         left = materialise(_in_parts(named, reach, roots), "in-parts")
         if left.isEmpty():
             break
+        if fine is None:
+            # Later rounds search some of these classes again.
+            fine = materialise(fine_prints(left.drop("root"), docs, rule), "fine-prints")
+        left = fine.join(left.select("rep", "root"), "rep")
         more = materialise(_links(left.repartition(tasks), rule, block, share), "more-links")
         if more.isEmpty():
             continue

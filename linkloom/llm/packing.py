@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import bounded, lean, materialise
+from linkloom.llm.common import bounded, give_back, lean, materialise
 
 #: Tokens in a packed sequence.
 WINDOW = 1024
@@ -70,6 +70,11 @@ class ChunkEncoder:
         self.path, self.left = path, remembered
         self.known: dict[str, bytes] = {}
         self.merges = self.tokenizer = None
+        self._load(path)
+        # The file's tables take more memory than what was made of them.
+        give_back()
+
+    def _load(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [x["content"] for x in spec["added_tokens"]]
