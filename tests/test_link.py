@@ -213,3 +213,13 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.present("no_such_module") is None and entry.present("no_such_package.module") is None
+
+
+def test_errors_inside_a_module_are_not_hidden(tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    (tmp_path / "broken_module.py").write_text("import no_such_module\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.raises(ModuleNotFoundError):
+        entry.present("broken_module")
