@@ -1,14 +1,14 @@
 """Order MinHash fingerprints, built from Spark's own functions only.
 
 A text's k-mers (runs of ``width`` words) are numbered by their occurrence and hashed as
-(k-mer, occurrence). The sketch's orders come from ``hashes`` independent hashes of these;
-the orders of one hash rank it from different points of the hash circle. The ``length``
-smallest k-mers under an order are put back in text order and hashed as one tuple. Equal
-entries of two sketches estimate how alike the texts are in content and order, which
-tracks their edit distance.
-
-All steps are linear in a text's words but for the sorts of longs. Occurrence numbers come
-from runs of equal hashes after the first sort, the orders' minima from one sort a hash.
+(k-mer, occurrence). The sketch's orders come from independent hashes of these, four of
+each (by all bits or the lower half of them, upwards or downwards). The ``length`` first
+k-mers under an order are put back in text order and hashed as one tuple. Equal entries of
+two sketches estimate how alike the texts are in content and order, which tracks their edit
+distance.
+
+All steps are linear in a text's words; only texts that repeat a k-mer are sorted, for the
+occurrence numbers.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import materialise
 
-#: Words in a k-mer, k-mers in a tuple, orders in a sketch, and independent hashes that give them.
-WIDTH, LENGTH, ORDERS, HASHES = 5, 2, 32, 8
-#: Bits of a rank that hold the k-mer's position.
-PLACE_BITS = 24
+#: Words in a k-mer, k-mers in a tuple, orders in a sketch (four a hash).
+WIDTH, LENGTH, ORDERS = 5, 2, 32
 #: Characters after which a longer word is cut into several, so that text without spaces has k-mers as well.
 WORD = 32
 
@@ -43,9 +41,9 @@ def kmer_hashes(text: Column, width: int = WIDTH) -> Column:
 
 
 def numbered(kmers: Column) -> Column:
-    """Hash of each k-mer and its occurrence number, in text order.
+    """Hash of each k-mer and its occurrence number, in text order; the first occurrence keeps the k-mer's own.
 
-    Most texts repeat no k-mer and number all of them 0. Else sorting (hash, position)
+    Most texts repeat no k-mer. Else sorting (hash, position)
     brings equal k-mers together in text order; where a run of them starts, its slice
     numbers its members, and they go back to their positions.
     """
@@ -58,48 +56,42 @@ def numbered(kmers: Column) -> Column:
             found = _let(
                 starts,
                 lambda at: F.flatten(F.transform(at, lambda a, r: F.transform(
-                    F.slice(s, a + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - a), lambda x, n: F.struct(x["p"].alias("p"), F.xxhash64(x["h"], n).alias("h"))
+                    F.slice(s, a + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - a), lambda x, n: F.struct(x["p"].alias("p"), F.when(n == 0, x["h"]).otherwise(F.xxhash64(x["h"], n)).alias("h"))
                 ))),
             )
             return F.transform(F.sort_array(found), lambda x: x["h"])
 
         return _let(pairs, number)
 
-    none = F.array().cast("array<bigint>")
-    single = lambda k: F.transform(k, lambda h: F.xxhash64(h, F.lit(0)))
-    return _let(kmers, lambda k: F.when(F.size(k) == 0, none).when(F.size(F.array_distinct(k)) == F.size(k), single(k)).otherwise(runs(k)))
+    return _let(kmers, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), k).otherwise(runs(k)))
 
 
-def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, hashes: int = HASHES) -> Column:
-    """The fingerprint's entries (32 bits each). Empty without a word.
+def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS) -> Column:
+    """The fingerprint's entries (32 bits each), ``orders`` rounded up to four a hash. Empty without a word.
 
-    ``hashes`` independent hashes give ``orders / hashes`` orders each, a power of two. A
-    rank is a long: 40 bits of the order's hash, then the k-mer's position (positions from
-    2 ** 24 on count as that).
+    A hash gives four orders: its values from the least up and from the greatest down, and
+    the values of its lower 32 bits likewise.
     """
-    each = orders // hashes
-    low = (1 << PLACE_BITS) - 1
-
-    def pick(s: Column) -> Column:
-        """An entry for each of one hash's orders, from its sorted ranks."""
-        n = F.size(s)
-
-        def one(taken: Column) -> Column:
-            # Position first, so that sorting puts the k-mers back in text order.
-            in_text = F.sort_array(F.transform(taken, lambda x: F.shiftleft(x.bitwiseAND(low), 64 - PLACE_BITS - 1).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS + 1))))
-            return F.shiftright(F.xxhash64(F.transform(in_text, lambda x: x.bitwiseAND((1 << (64 - PLACE_BITS - 1)) - 1))), 32).cast("int")
-
-        if each == 1:
-            return F.array(one(F.slice(s, 1, length)))
-        # How many ranks stand before each part of the circle: an order starts there, or at the circle's begin after the last.
-        shift = 64 - (each.bit_length() - 1)
-        parts = F.transform(s, lambda x: F.shiftright(x, shift) + each // 2)
-        starts = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: F.size(F.filter(parts, lambda p: p < j)) % n)
-        return F.transform(starts, lambda at: one(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(length)) - 1), lambda k: F.get(s, (at + k) % n))))
+
+    def entry(ranks: Column, taken: list[Column]) -> Column:
+        placed = F.transform(F.array_compact(F.array(*taken)), lambda h: F.struct(F.array_position(ranks, h).alias("p"), h.alias("h")))
+        return F.shiftright(F.xxhash64(F.transform(F.sort_array(placed), lambda x: x["h"])), 32).cast("int")
+
+    def order(ranks: Column, first, rest: Column | None = None, taken: tuple[Column, ...] = ()) -> Column:
+        """``first`` (least or greatest) is taken ``length`` times."""
+        if len(taken) == length:
+            return entry(ranks, list(taken))
+        rest = ranks if rest is None else rest
+        return _let(first(rest), lambda h: order(ranks, first, F.array_remove(rest, h), (*taken, h)))
+
+    both = lambda ranks: [order(ranks, F.array_min), order(ranks, F.array_max)]
+
+    def four(ranks: Column) -> Column:
+        return _let(F.transform(ranks, lambda h: F.shiftleft(h, 32)), lambda lower: F.array(*both(ranks), *both(lower)))
 
     def entries(kmers: Column) -> Column:
-        ranked = lambda i: F.sort_array(F.transform(kmers, lambda h, p: F.xxhash64(h, i).bitwiseAND(~low).bitwiseOR(F.least(p, F.lit(low)))))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: _let(ranked(i), pick)))
+        hashes = F.sequence(F.lit(0), F.lit(-(-orders // 4) - 1))
+        return F.flatten(F.transform(hashes, lambda i: _let(F.transform(kmers, lambda h: F.xxhash64(h, i)), four)))
 
     none = F.array().cast("array<int>")
     return _let(numbered(kmer_hashes(text, width)), lambda k: F.when(F.size(k) == 0, none).otherwise(entries(k)))
@@ -129,13 +121,13 @@ def successors(ids: DataFrame, parts: int) -> DataFrame:
     return inside.join(F.broadcast(heads), "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"))
 
 
-def fingerprint(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, hashes: int = HASHES) -> DataFrame:
+def fingerprint(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS) -> DataFrame:
     """``doc_id, text, n_chars, sketch`` of each document (null text: empty)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).cast("long").alias("n_chars"), sketch(text, width, length, orders, hashes).alias("sketch"))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.length(text).cast("long").alias("n_chars"), sketch(text, width, length, orders).alias("sketch"))
 
 
-def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, texts: bool = True, hashes: int = HASHES) -> DataFrame:
+def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, orders: int = ORDERS, texts: bool = True) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     The edited text replaces the last ``floor(n_chars / 2)`` characters by the first as
@@ -174,7 +166,7 @@ def compare_edited(docs: DataFrame, width: int = WIDTH, length: int = LENGTH, or
     met = materialise(
         met.select(
             "doc_id", digest.alias("h"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-            sketch(F.col("text"), width, length, orders, hashes).alias("sketch"), sketch(F.col("edited"), width, length, orders, hashes).alias("edited_sketch"), *(["text", "edited"] if texts else []),
+            sketch(F.col("text"), width, length, orders).alias("sketch"), sketch(F.col("edited"), width, length, orders).alias("edited_sketch"), *(["text", "edited"] if texts else []),
         ),
         "sketches",
     )

@@ -119,7 +119,7 @@ def spark_hash(values):
     return signed(seed)
 
 
-def brute_sketch(text, width=5, length=2, orders=32, hashes=8):
+def brute_sketch(text, width=5, length=2, orders=32):
     words = [w for w in re.findall(r"[^\x20\x09-\x0D]{1,32}", text)]
     if not words:
         return []
@@ -127,16 +127,15 @@ def brute_sketch(text, width=5, length=2, orders=32, hashes=8):
     kmers = [spark_hash(h[i : i + width]) for i in range(len(h) - width + 1)] if len(h) >= width else [spark_hash(h)]
     seen, ids = Counter(), []
     for k in kmers:
-        ids.append(spark_hash([k, np.int32(seen[k])]))
+        ids.append(spark_hash([k, np.int32(seen[k])]) if seen[k] else k)
         seen[k] += 1
-    out, each = [], orders // hashes
-    for i in range(hashes):
-        ranked = sorted((spark_hash([k, np.int32(i)]) >> 24, p) for p, k in enumerate(ids))
-        for j in range(each):
-            lower = (-(1 << 63) + j * ((1 << 64) // each)) >> 24
-            start = next((i for i, x in enumerate(ranked) if x[0] >= lower), 0)
-            taken = [ranked[(start + k) % len(ranked)] for k in range(min(length, len(ranked)))]
-            out.append(spark_hash([x % (1 << 40) >> 1 for x, _ in sorted(taken, key=lambda t: t[1])]) >> 32)
+    out = []
+    for i in range(orders // 4):
+        whole = [spark_hash([k, np.int32(i)]) for k in ids]
+        for ranks in (whole, [signed((x << 32) % (1 << 64)) for x in whole]):
+            for down in (False, True):
+                taken = sorted(sorted(ranks, reverse=down)[:length], key=ranks.index)
+                out.append(spark_hash(taken) >> 32)
     return out
 
 
@@ -186,7 +185,7 @@ def test_likeness_follows_edit_distance(spark):
         plain.append(len(kmers(base) & kmers(text)) / len(kmers(base) | kmers(text)))
     docs = spark.createDataFrame(rows, "i int, a string, b string")
     near = lambda **k: order_minhash.likeness(order_minhash.sketch(F.col("a"), **k), order_minhash.sketch(F.col("b"), **k))
-    got = docs.orderBy("i").select(near(), near(orders=256, hashes=64)).collect()
+    got = docs.orderBy("i").select(near(), near(orders=256)).collect()
     few, many = (np.corrcoef([r[k] for r in got], want)[0, 1] for k in (0, 1))
     exact = np.corrcoef(plain, want)[0, 1]  # MinHash's own limit with any number of hashes
     assert few > exact + 0.05 and many > exact + 0.1, (few, many, exact)
