@@ -9,7 +9,8 @@ from dataclasses import dataclass
 class LinkConfig:
     """``k`` rarest keys of a record probe the index, ``top_m`` candidates stay.
 
-    ``hard_cap`` bounds a probing key's document frequency; ``soft_cap`` does so for
+    Keys of more than ``posting_cap`` targets are only unfolded for records that could need
+    them among their ``top_m`` (the result does not change). ``hard_cap`` bounds a probing key's document frequency; ``soft_cap`` does so for
     records that have a rarer chosen key; ``min_shared`` bounds a pair's shared keys from
     below. ``split_states`` maps each word of a state's name, and ``compat`` merges phrases
     inside words as well; both are off. ``scripts`` reads scripts other than Latin.
@@ -19,6 +20,7 @@ class LinkConfig:
 
     k: int = 10
     top_m: int = 150
+    posting_cap: int | None = 100_000
     hard_cap: int | None = None
     soft_cap: int | None = None
     min_shared: int = 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.config import LinkConfig
+from linkloom.scratch import materialise
 
 
 def key_df(keys: DataFrame) -> DataFrame:
@@ -55,6 +56,31 @@ def top_candidates(pairs: DataFrame, m: int) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= m).drop("r")
 
 
+def sparing_join(chosen: DataFrame, keys: DataFrame, n_targets: int, cfg: LinkConfig) -> DataFrame:
+    """Like ``posting_join``, without the pairs that share only frequent keys and cannot be among a record's ``top_m``.
+
+    A pair without a rare key scores the sum of the record's frequent keys at most. Where
+    ``top_m`` pairs of rare keys alone score more, frequent keys are only looked up for the
+    pairs that are there; other records unfold them whole.
+    """
+    gain, often = idf(F.col("df"), F.lit(n_targets)), chosen.where(F.col("df") > cfg.posting_cap)
+    rare = materialise(posting_join(chosen.where(F.col("df") <= cfg.posting_cap), keys), "rare-postings")
+    pairs = rare.groupBy("s1_id", "t_id").agg(F.sum(gain).alias("score"), F.count("*").alias("n")).where(F.col("n") >= cfg.min_shared)
+    order = Window.partitionBy("s1_id").orderBy(F.desc("score"))
+    last = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") == cfg.top_m)
+    most = often.groupBy("s1_id").agg(F.sum(gain).alias("most"))
+    # Scores are rounded to six places.
+    sure = materialise(last.join(most, "s1_id").where("score > most + 2e-6").select("s1_id"), "sure")
+    whole = posting_join(often.join(sure, "s1_id", "left_anti"), keys)
+    asked = rare.select("s1_id", "t_id").distinct().join(often.join(sure, "s1_id", "left_semi"), "s1_id")
+    postings = keys.where("src > 1").select("key", F.col("entity_id").alias("t_id"))
+    found = asked.join(postings, ["key", "t_id"], "left_semi").select("s1_id", "t_id", "key", "df")
+    return rare.unionByName(whole).unionByName(found)
+
+
 def candidates(keys: DataFrame, cfg: LinkConfig, n_targets: int) -> DataFrame:
-    chosen = rarest_keys(keys, key_df(keys), cfg)
-    return top_candidates(scored_pairs(posting_join(chosen, keys), n_targets, cfg), cfg.top_m)
+    """The ``top_m`` pairs of each record. Frequencies and probes are written once."""
+    chosen = materialise(rarest_keys(keys, materialise(key_df(keys), "frequencies"), cfg), "probes")
+    spare = cfg.posting_cap is not None and not chosen.where(F.col("df") > cfg.posting_cap).isEmpty()
+    joined = sparing_join(chosen, keys, n_targets, cfg) if spare else posting_join(chosen, keys)
+    return top_candidates(scored_pairs(joined, n_targets, cfg), cfg.top_m)

@@ -122,6 +122,14 @@ def test_soft_cap_spares_records_of_frequent_keys(spark):
     assert {(r.s1_id, r.key) for r in got} == {("a", "rare"), ("b", "hot")}
 
 
+@pytest.mark.parametrize("cap, m, shared", [(1, 3, 1), (4, 3, 1), (4, 1, 1), (10, 5, 2), (40, 2, 1)])
+def test_frequent_keys_are_spared_without_a_change(spark, cap, m, shared):
+    records = projections.company_records(spark, SMALL)
+    p = link.prepare(records, LinkConfig(scripts=False))
+    rows = lambda **k: sorted(map(tuple, blocking.candidates(p.keys, LinkConfig(top_m=m, min_shared=shared, **k), p.n_targets).collect()))
+    assert rows(posting_cap=cap) == rows(posting_cap=None)
+
+
 def test_keys_are_computed_once(spark):
     """No filter repeats the token pipeline, and the plan holds each phrase but once a column."""
     rows = keys.prepare(tables.normalise(projections.company_records(spark, SMALL), False))
