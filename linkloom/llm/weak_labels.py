@@ -26,7 +26,7 @@ from linkloom.llm.common import HELPER, lean, materialise
 UPPER, LETTERS, DIGITS = bytes(range(65, 91)), bytes((*range(65, 91), *range(97, 123), *range(128, 256))), bytes(range(48, 58))
 SYMBOLS = b"*$%&#@^~=+<>{}[]\\_"
 #: Words that are a mark alone.
-BARE = tuple(bytes([c]) for c in b"|*$%&#@^~=+<>-_/\\.,;:!?")
+BARE = frozenset(bytes([c]) for c in b"|*$%&#@^~=+<>-_/\\.,;:!?")
 #: Words per block of the distinct-word share, so that long texts are judged like short ones.
 BLOCK = 500
 
@@ -53,10 +53,11 @@ def votes(data: bytes, words: list[bytes]) -> tuple[int, ...]:
     capitals = (len(data) - len(data.translate(None, UPPER))) / letters if letters else 0.0
     marks = len(data) - len(data.translate(None, SYMBOLS))
     stutter = sum(map(eq, words, words[1:])) / n
-    bare = sum(map(words.count, BARE)) / n
+    alone = [w for w in words if len(w) == 1]
+    bare = sum(w in BARE for w in alone) / n
     lettered = (len(data) - len(data.translate(None, LETTERS + DIGITS))) / solid
     variety = sum(len(set(words[i : i + BLOCK])) for i in range(0, n, BLOCK)) / n if n >= 20 else 1.0
-    bad = (capitals >= 0.5, data.count(b"!!") / n >= 0.3, marks / n >= 1, words.count(b"|") / n >= 0.15, bare >= 0.15, stutter >= 0.25, variety <= 0.25, lettered <= 0.65)
+    bad = (capitals >= 0.5, data.count(b"!!") / n >= 0.3, marks / n >= 1, alone.count(b"|") / n >= 0.15, bare >= 0.15, stutter >= 0.25, variety <= 0.25, lettered <= 0.65)
     plain = lettered >= 0.85 and capitals <= 0.2 and stutter <= 0.05 and bare <= 0.02 and marks / n <= 0.1
     odd = lettered <= 0.7 or capitals >= 0.4 or stutter >= 0.2 or bare >= 0.1
     return (*(BAD * x for x in bad), GOOD if plain else BAD if odd else 0)
@@ -113,10 +114,11 @@ class Features:
 
     def __init__(self, dimensions: int = DIMENSIONS, remembered: int = 1 << 17):
         self.dimensions, self.left = dimensions, remembered
-        self.known: dict[bytes, tuple[int, int]] = {}
+        #: Both features of a word as one number.
+        self.known: dict[bytes, int] = {}
 
-    def _word(self, word: bytes) -> tuple[int, int]:
-        found = zlib.crc32(b"s" + shape(word)) % self.dimensions, zlib.crc32(b"e" + word[-2:]) % self.dimensions
+    def _word(self, word: bytes) -> int:
+        found = zlib.crc32(b"s" + shape(word)) % self.dimensions * self.dimensions + zlib.crc32(b"e" + word[-2:]) % self.dimensions
         if self.left > 0:
             self.known[word] = found
             self.left -= 1
@@ -127,15 +129,15 @@ class Features:
         if not n:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
         counts = Counter(words)
-        get = self.known.get
-        pairs = [get(w) or self._word(w) for w in counts]
-        index = np.array(pairs, np.int64).ravel()
-        weight = np.repeat(np.fromiter(counts.values(), float, len(counts)), 2)
-        repeated = sum(map(eq, words, words[1:]))
-        index = np.append(index, zlib.crc32(b"repeat") % self.dimensions)
-        weight = np.append(weight, float(repeated))
+        pairs = list(map(self.known.get, counts))
+        if None in pairs:
+            pairs = [self._word(w) if p is None else p for w, p in zip(counts, pairs)]
+        outline, end = np.divmod(np.array(pairs, np.int64), self.dimensions)
+        weight = np.fromiter(counts.values(), float, len(counts))
+        index = np.concatenate([outline, end, [zlib.crc32(b"repeat") % self.dimensions]])
         at, inverse = np.unique(index, return_inverse=True)
-        return at.astype(np.int32), np.sqrt(np.bincount(inverse, weight) / n).astype(np.float32)
+        repeated = sum(map(eq, words, words[1:]))
+        return at.astype(np.int32), np.sqrt(np.bincount(inverse, np.concatenate([weight, weight, [repeated]])) / n).astype(np.float32)
 
 
 def train(rows: list[tuple[bytes, bytes, float]], dimensions: int = DIMENSIONS, rounds: int = 250, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -222,8 +224,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSI
 SCORES = ("quality_score", "weak_posterior")
 
 
-def score(docs: DataFrame, model: Model, names: tuple[str, str] = SCORES) -> DataFrame:
-    """All columns of ``docs``, and the scorer's and the labellers' P(good) as ``names``.
+def score(docs: DataFrame, model: Model, names: tuple[str, ...] = SCORES) -> DataFrame:
+    """All columns of ``docs``, and the scorer's P(good) as ``names[0]`` and the labellers' as ``names[1]``, if there is one.
 
     A column of ``docs`` that has one of these names is replaced.
     """
@@ -241,8 +243,9 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = SCORES) -> Dat
                 index, value = features.of(words)
                 z = float(model.weights[index] @ value) + model.bias
                 scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-                posterior.append(model.posterior.get(pattern(data, words), 0.5))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(posterior, pa.float64())], names=schema.names)
+                if len(names) > 1:
+                    posterior.append(model.posterior.get(pattern(data, words), 0.5))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in (scores, posterior)[: len(names)])], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)
 
@@ -261,5 +264,5 @@ def classify(docs: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS)
 
 def keep_good(docs: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns as they were."""
-    names = tuple(HELPER + n for n in SCORES)
-    return score(docs, fit(docs, train_rows), names).where(F.col(names[0]) >= least).select(*docs.columns)
+    name = HELPER + SCORES[0]
+    return score(docs, fit(docs, train_rows), (name,)).where(F.col(name) >= least).select(*docs.columns)
