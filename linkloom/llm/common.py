@@ -57,6 +57,6 @@ def lean(run: Run, rows: int | None = SLICE) -> Run:
 FILE_ROWS = 1 << 19
 
 
-def files(rows: int) -> int:
-    """Files that a small table of at most ``rows`` rows is written to."""
-    return max(1, -(-rows // FILE_ROWS))
+def files(rows: int, each: int = FILE_ROWS) -> int:
+    """Files (and tasks) for a table of at most ``rows`` rows, ``each`` in a file. ``coalesce`` never makes more than there are."""
+    return max(1, -(-rows // each))

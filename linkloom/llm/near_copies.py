@@ -41,6 +41,8 @@ COUNTED = 1 << 17
 SAMPLED = 16
 #: Shares of the links' hashes that the rounds after the first one test; a part that a round joins is not tested in the next.
 ROUNDS = (0, 1 << 12, 1 << 16)
+#: Links whose texts one task compares, so that few links do not make many small files.
+TASK_LINKS = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -168,33 +170,43 @@ def _linker(rule: NearCopies, share: tuple[int, int] | None):
     budget = [length * rule.chain_bits // rule.segments for length in range(4 * CARRIED + 2)]
     ends = [np.uint64((1 << SEGMENT_BITS * (k + 1)) - 1) for k in range(3)]
 
+    def chained(i: np.ndarray, j: np.ndarray, rep: np.ndarray, rest: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows that hold the chain, and its differing bits. The chain's first segment agrees; each prefix must stay within its budget."""
+        bits = np.zeros(len(i), np.int64)
+        for k, column in enumerate(rest[:CARRIED]):
+            diff = column[i] ^ column[j]
+            near = np.ones(len(i), bool)
+            for s, mask in enumerate(ends):
+                near &= bits + np.bitwise_count(diff & mask) <= budget[4 * k + s + 2]
+            bits = bits + np.bitwise_count(diff)
+            near &= bits <= budget[4 * k + 5]
+            i, j, bits = i[near], j[near], bits[near]
+        if share is not None:
+            words, root = rest[CARRIED:-1], rest[-1]
+            dealt = remix(rep[i].view(np.uint64) ^ remix(rep[j].view(np.uint64))) >> np.uint64(48)
+            near = (root[i] != root[j]) & (dealt >= share[0]) & (dealt < share[1])
+            i, j, bits = i[near], j[near], bits[near]
+            near = sum((np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words), np.zeros(len(i), np.int64)) <= rule.fine_bits
+            i, j, bits = i[near], j[near], bits[near]
+        return i, j, bits
+
+    def few(i: np.ndarray, j: np.ndarray, role: np.ndarray, rep: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        met = (np.bitwise_count(rest[0][i] ^ rest[0][j]) <= budget[5]) & (rep[i] != rep[j])
+        met &= ((role[i] != 1) & (role[j] != 2)) | ((role[j] != 1) & (role[i] != 2))
+        i, j = np.where(rep[i] > rep[j], i, j)[met], np.where(rep[i] > rep[j], j, i)[met]
+        i, j, _ = chained(i, j, rep, rest)
+        return rep[i], rep[j]
+
     def links(key: int, role: np.ndarray, rep: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chain, words, root = rest[:CARRIED], rest[CARRIED:-1], rest[-1]
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 2)
         us, vs, ws = [], [], []
         step = max(1, STEP // max(1, len(right)))
         for at in range(0, len(left), step):
             own = left[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(chain[0][own][:, None] ^ chain[0][right][None, :]) <= budget[5])
+            i, j = np.nonzero(np.bitwise_count(rest[0][own][:, None] ^ rest[0][right][None, :]) <= budget[5])
             i, j = own[i], right[j]
-            kept = rep[i] > rep[j]
-            if share is not None:
-                dealt = remix(rep[i].view(np.uint64) ^ remix(rep[j].view(np.uint64))) >> np.uint64(48)
-                kept &= (root[i] != root[j]) & (dealt >= share[0]) & (dealt < share[1])
-            i, j = i[kept], j[kept]
-            bits = np.zeros(len(i), np.int64)
-            # The chain's first segment agrees; each prefix of it must stay within its budget.
-            for k in range(CARRIED):
-                diff = chain[k][i] ^ chain[k][j]
-                near = np.ones(len(i), bool)
-                for s, mask in enumerate(ends):
-                    near &= bits + np.bitwise_count(diff & mask) <= budget[4 * k + s + 2]
-                bits = bits + np.bitwise_count(diff)
-                near &= bits <= budget[4 * k + 5]
-                i, j, bits = i[near], j[near], bits[near]
-            if share is not None:
-                whole = sum((np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words), np.zeros(len(i), np.int64))
-                i, j, bits = (x[whole <= rule.fine_bits] for x in (i, j, bits))
+            later = rep[i] > rep[j]
+            i, j, bits = chained(i[later], j[later], rep, rest)
             if not len(i):
                 continue
             a, b = rep[i], rep[j]
@@ -212,7 +224,7 @@ def _linker(rule: NearCopies, share: tuple[int, int] | None):
             return u[best], v[best]
         return u, v
 
-    return grouped(links, slice(4, 4 + CARRIED + (rule.fine_words if share is not None else 0)))
+    return grouped(links, slice(4, 4 + CARRIED + (rule.fine_words if share is not None else 0)), few)
 
 
 def _links(classes: DataFrame, rule: NearCopies, block: int, share: tuple[int, int] | None = None) -> DataFrame:
@@ -233,9 +245,11 @@ def within(links: DataFrame, classes: DataFrame, rule: NearCopies) -> DataFrame:
 
 
 def verified(links: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
-    """The links whose texts share ``least_jaccard`` of their distinct shingles; only linked texts are fetched."""
-    linked = materialise(links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "doc_id"), "linked-ids")
-    texts = materialise(texts_of(linked, docs), "linked-texts")
+    """The links (a written table) whose texts share ``least_jaccard`` of their distinct shingles; only linked texts are fetched."""
+    n = links.count()
+    linked = links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "doc_id")
+    linked = materialise(linked.coalesce(files(2 * n)), "linked-ids")
+    texts = materialise(texts_of(linked, docs).coalesce(files(linked.count(), TASK_LINKS)), "linked-texts")
     side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +264,8 @@ def verified(links: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
                 near.append(both >= rule.least_jaccard * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=LINKS.names)
 
-    return links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(lean(run), LINKS)
+    met = links.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
+    return met.coalesce(files(n, TASK_LINKS)).mapInArrow(lean(run), LINKS)
 
 
 def _in_parts(classes: DataFrame, reach: DataFrame, roots: DataFrame) -> DataFrame:
@@ -279,10 +294,11 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), block: int = B
     classes = materialise(classes.repartition(tasks), "classes")
     named = classes.where("rep IS NOT NULL").select("rep", *rule.words)
     proposed = materialise(_links(named, rule, block), "chain-links")
-    passed = materialise(verified(materialise(within(proposed, named, rule), "near-links"), docs, rule), "verified")
+    near = materialise(within(proposed, named, rule).coalesce(files(proposed.count())), "near-links")
+    passed = materialise(verified(near, docs, rule), "verified")
     reach, roots, fine = components(proposed), components(passed), None
     for share in zip(ROUNDS, ROUNDS[1:]):
-        left = materialise(_in_parts(named, reach, roots), "in-parts")
+        left = materialise(_in_parts(named, reach, roots).coalesce(files(2 * reach.count())), "in-parts")
         if left.isEmpty():
             break
         if fine is None:

@@ -192,10 +192,15 @@ def nearest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
 LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def grouped(links, unsigned: slice):
+#: Members of a group that ``grouped`` hands on with others of its size.
+FEW = 8
+
+
+def grouped(links, unsigned: slice, few=None):
     """A ``mapInArrow`` function that calls ``links(key, role, *others)`` for each key and pair of blocks.
 
-    Batches have ``key, pair, role`` first and come sorted by key and pair; the last group
+    ``few(i, j, role, *others)``, if given, gets the pairs of rows (``i`` before ``j``) of all
+    groups of at most ``FEW`` members at once instead. Batches have ``key, pair, role`` first and come sorted by key and pair; the last group
     waits for the next batch. ``unsigned``: the columns that are passed as unsigned longs.
     """
 
@@ -210,13 +215,24 @@ def grouped(links, unsigned: slice):
         own = np.concatenate([[0], np.cumsum(role != 1)])
         wanted = (end - begin > 1) & (own[end] > own[begin])
         us, vs = [], []
+        if few is not None:
+            small = wanted & (end - begin <= FEW)
+            wanted &= ~small
+            # Each row's group end, or its own place in groups that are not small.
+            until = np.repeat(np.where(small, end, 0), end - begin)
+            for apart in range(1, FEW):
+                i = np.flatnonzero(until[: max(0, len(until) - apart)] > np.arange(apart, max(apart, len(until))))
+                if len(i):
+                    u, v = few(i, i + apart, role, *others)
+                    us.append(u)
+                    vs.append(v)
         for a, b in zip(begin[wanted].tolist(), end[wanted].tolist()):
             u, v = links(int(key[a]), role[a:b], *(c[a:b] for c in others))
             if len(u):
                 us.append(u)
                 vs.append(v)
         found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=LINKS.names) if us else None
-        return found, tail
+        return found if found is not None and found.num_rows else None, tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
