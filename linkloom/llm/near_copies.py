@@ -308,8 +308,9 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), block: int = B
         more = materialise(_links(left.repartition(tasks), rule, block, share), "more-links")
         if more.isEmpty():
             continue
-        passed = materialise(passed.unionAll(verified(more, docs, rule)), "verified")
-        roots = components(passed)
+        # Each part is a star already; only the new links join some.
+        new = materialise(verified(more, docs, rule), "verified")
+        roots = components(new.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     return listed.select("doc_id", "d1", "d2").join(found, ["d1", "d2"]).select("doc_id", "component_id")
 
