@@ -90,8 +90,10 @@ def sketch(text: Column, width: int = WIDTH, length: int = LENGTH, orders: int =
         return _let(F.transform(ranks, lambda h: F.shiftleft(h, 32)), lambda lower: F.array(*both(ranks), *both(lower)))
 
     def entries(kmers: Column) -> Column:
-        hashes = F.sequence(F.lit(0), F.lit(-(-orders // 4) - 1))
-        return F.flatten(F.transform(hashes, lambda i: _let(F.transform(kmers, lambda h: F.xxhash64(h, i)), four)))
+        # The k-mers' own hashes give the first four orders.
+        more = -(-orders // 4) - 1
+        again = F.transform(F.sequence(F.lit(1), F.lit(more)), lambda i: _let(F.transform(kmers, lambda h: F.xxhash64(h, i)), four))
+        return F.concat(four(kmers), F.flatten(again)) if more else four(kmers)
 
     none = F.array().cast("array<int>")
     return _let(numbered(kmer_hashes(text, width)), lambda k: F.when(F.size(k) == 0, none).otherwise(entries(k)))

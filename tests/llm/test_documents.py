@@ -131,7 +131,7 @@ def brute_sketch(text, width=5, length=2, orders=32):
         seen[k] += 1
     out = []
     for i in range(orders // 4):
-        whole = [spark_hash([k, np.int32(i)]) for k in ids]
+        whole = [spark_hash([k, np.int32(i)]) if i else k for k in ids]
         for ranks in (whole, [signed((x << 32) % (1 << 64)) for x in whole]):
             for down in (False, True):
                 taken = sorted(sorted(ranks, reverse=down)[:length], key=ranks.index)
