@@ -268,12 +268,21 @@ def verified(links: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
     return met.coalesce(files(n, TASK_LINKS)).mapInArrow(lean(run), LINKS)
 
 
+def _reach(proposed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, reach``: the smallest node that proposed links reach. Parts that verified links join (``roots``) are one node each on the way."""
+    side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    ends = proposed.join(side("u"), "u", "left").join(side("v"), "v", "left").select(F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b"))
+    above = components(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    nodes = proposed.select(F.col("u").alias("node")).union(proposed.select("v")).distinct()
+    part = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+    return part.join(above.select(F.col("node").alias("part"), F.col("root").alias("reach")), "part", "left").select("node", F.coalesce("reach", "part").alias("reach"))
+
+
 def _in_parts(classes: DataFrame, reach: DataFrame, roots: DataFrame) -> DataFrame:
     """The classes, with ``root``, in groups of proposed links (``reach``) that the verified
     ones (``roots``) leave in parts. Two classes alone have one link, and it failed."""
-    near = reach.unionAll(reach.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "reach")
-    parts = near.join(roots, "node", "left").select("node", "reach", F.coalesce("root", "node").alias("root"))
-    parts = materialise(parts.coalesce(files(2 * reach.count())), "parts")
+    parts = reach.join(roots, "node", "left").select("node", "reach", F.coalesce("root", "node").alias("root"))
+    parts = materialise(parts.coalesce(files(reach.count())), "parts")
     groups = parts.groupBy("reach").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 AND a < b").select("reach")
     return classes.join(parts.join(groups, "reach", "left_semi"), F.col("rep") == F.col("node")).select(*classes.columns, "root")
 
@@ -296,9 +305,10 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), block: int = B
     proposed = materialise(_links(named, rule, block), "chain-links")
     near = materialise(within(proposed, named, rule).coalesce(files(proposed.count())), "near-links")
     passed = materialise(verified(near, docs, rule), "verified")
-    reach, roots, fine = components(proposed), components(passed), None
+    roots, fine = components(passed), None
+    reach = materialise(_reach(proposed, roots).coalesce(files(2 * proposed.count())), "reach")
     for share in zip(ROUNDS, ROUNDS[1:]):
-        left = materialise(_in_parts(named, reach, roots).coalesce(files(2 * reach.count())), "in-parts")
+        left = materialise(_in_parts(named, reach, roots).coalesce(files(reach.count())), "in-parts")
         if left.isEmpty():
             break
         if fine is None:
