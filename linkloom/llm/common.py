@@ -23,8 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-#: Rows that Python code holds as objects at once; Spark's own batches have up to 10,000.
+#: Rows that Python code holds as objects at once.
 SLICE = 1024
+#: The setting of Spark's batches, and its default: 10,000 documents in each of a task's buffers.
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def give_back() -> None:
@@ -37,7 +39,13 @@ def give_back() -> None:
 
 
 def lean(run: Run, rows: int | None = SLICE) -> Run:
-    """``run`` (for ``mapInArrow``) on slices of at most ``rows`` rows, its memory given back at the task's end."""
+    """``run`` (for ``mapInArrow``) on slices of at most ``rows`` rows, its memory given back at the task's end.
+
+    A session that leaves Spark's batches at their default gets batches of ``SLICE`` rows.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        session.conf.set(BATCH, str(SLICE))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
