@@ -1,9 +1,10 @@
 """Candidates in lists: pairs are counted in memory and never shuffled."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.config import LinkConfig
-from linkloom.operators import blocking
+from linkloom.operators import blocking, metrics
 from linkloom.plans import link, queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,3 +35,12 @@ def test_ranked_pairs_equal_joined_ones(spark):
         best.setdefault(s, []).append((t, score, n))
     got = {r.s1_id: list(zip(r.t_ids, r.scores, r.counts)) for r in link.candidate_lists(p, LinkConfig(top_m=7)).collect()}
     assert got == {f"S1-{i}": best[f"S1-{i}"][:7] for i in range(6)} | {"S1-none": []}
+
+
+def test_recall_of_lists(spark):
+    """True pairs that are no candidates, and those of records without keys, count as missed."""
+    rows = [(1, "S1-1", "alpha beta", "", ""), (1, "S1-2", "", "", ""), (2, "S2-1", "alpha gamma", "", ""), (2, "S2-2", "delta", "", "")]
+    p = link.prepare(spark.createDataFrame(rows, "src int, entity_id string, business_name string, business_address string, country string"), LinkConfig())
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-2", "S2-2")], "s1_id string, t_id string")
+    got = metrics.list_recall(link.candidate_lists(p, LinkConfig(), truth), truth, link.source_ids(p.records)).first()
+    assert tuple(got) == (3, 1, 0.333333, 0.5) and link.candidate_lists(p, LinkConfig()).agg(F.count("*")).first()[0] == 2
