@@ -329,8 +329,8 @@ def link_documents(spark, d):
 @query
 def document_recall(spark, d):
     records = proj.document_records(spark, d)
-    pairs = link.candidates(link.prepare(records, CFG), CFG)
-    return metrics.candidate_recall(materialise(pairs, "pairs"), proj.document_truth(records), link.source_ids(records))
+    truth = proj.document_truth(records)
+    return metrics.list_recall(link.candidate_lists(link.prepare(records, CFG), CFG, truth), truth, link.source_ids(records))
 
 
 @query
