@@ -17,7 +17,7 @@ def shuffles_pairs(df):
     return made < 0 or "Exchange" in plan[:made]
 
 
-@pytest.mark.parametrize("name", ["candidate_lists", "label_pairs"])
+@pytest.mark.parametrize("name", ["key_score", "candidate_lists", "label_pairs"])
 def test_pairs_stay_where_they_are_made(spark, name):
     assert not shuffles_pairs(queries.QUERIES[name](spark, SMALL))
 
