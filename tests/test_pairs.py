@@ -44,3 +44,14 @@ def test_recall_of_lists(spark):
     truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-2", "S2-2")], "s1_id string, t_id string")
     got = metrics.list_recall(link.candidate_lists(p, LinkConfig(), truth), truth, link.source_ids(p.records)).first()
     assert tuple(got) == (3, 1, 0.333333, 0.5) and link.candidate_lists(p, LinkConfig()).agg(F.count("*")).first()[0] == 2
+
+
+def test_features_do_not_shuffle_pairs(spark):
+    """From the unfolded lists to the features nothing is exchanged, without broadcasts either."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES["f_jaccard"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    unfolded = plan.find("Generate")
+    assert unfolded > 0 and "Exchange" not in plan[:unfolded], plan[:3000]
