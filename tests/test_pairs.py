@@ -55,3 +55,29 @@ def test_features_do_not_shuffle_pairs(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     unfolded = plan.find("Generate")
     assert unfolded > 0 and "Exchange" not in plan[:unfolded], plan[:3000]
+
+
+@pytest.mark.parametrize("name", ["f_bigram", "f_country", "f05_entity"])
+def test_lists_are_read_as_they_lie(spark, name):
+    """Written lists are not exchanged on their way to the records of their part, without broadcasts either."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    unfolded = plan.find("Generate explode(arrays_zip")
+    below = plan[unfolded : plan.find("FileScan", unfolded)]
+    assert unfolded > 0 and "Exchange" not in below, plan[:3000]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 4, 9])
+def test_parts_are_dealt_out_evenly(spark, parts):
+    """Four shuffle partitions get as many parts each, but for one."""
+    names = blocking.part_names(spark, parts)
+    rows = spark.createDataFrame([(x,) for x in names], "part int").repartition(4, "part").groupBy(F.spark_partition_id()).count().collect()
+    assert len(set(names)) == parts and len(rows) == min(parts, 4) and max(r[1] for r in rows) == -(-parts // 4)
+
+
+def test_no_table_is_left_in_the_catalog(spark):
+    queries.QUERIES["f_country"](spark, SMALL).count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("linkloom")]
