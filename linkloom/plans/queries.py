@@ -421,7 +421,7 @@ def f_key_ratio(spark, d):
 
 @query
 def f_jaro_winkler(spark, d):
-    scored = features.string_features(company_meet(spark, d))
+    scored = features.string_features(company_meet(spark, d), ("jw",))
     return scored.select("s1_id", "t_id", F.round("n_jw", 6).alias("n_jw"), F.round("a_jw", 6).alias("a_jw"))
 
 

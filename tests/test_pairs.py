@@ -104,7 +104,7 @@ def test_shared_keys_rank_like_single_ones(monkeypatch):
             assert all(np.array_equal(x[order[0]], y[order[1]]) for x, y in zip(want, got))
 
 
-@pytest.mark.parametrize("name", ["f_country"])
+@pytest.mark.parametrize("name", ["f_country", "f_jaro_winkler"])
 def test_parts_beyond_the_shuffle_partitions(spark, monkeypatch, name):
     """Each part has a partition of its own, however many there are; lists are still read as they lie."""
     monkeypatch.setattr(blocking, "PART_RECORDS", 10)
@@ -118,3 +118,18 @@ def test_parts_beyond_the_shuffle_partitions(spark, monkeypatch, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     unfolded = plan.find("Generate explode(arrays_zip")
     assert unfolded > 0 and "Exchange" not in plan[unfolded : plan.find("FileScan", unfolded)]
+
+
+def test_only_asked_scores_are_computed(monkeypatch):
+    """The kernels of other scores are not run, and pairs that a worker had before are not scored again."""
+    from linkloom.functions import lanes, similarity
+
+    a, b = ["alpha beta", "x", "alpha beta"], ["alpha bet", "", "alpha bet"]
+    want = {k: [f(x, y) for x, y in zip(a, b)] for k, f in similarity.KERNELS.items()}
+    monkeypatch.setattr(lanes, "ratios", lambda *_: pytest.fail("ratios were computed"))
+    assert similarity.all_scores(a, b, ("jw",))["jw"].tolist() == pytest.approx(want["jw"])
+    monkeypatch.setattr(similarity, "_known", {})
+    first = similarity.remembered(a, b, ("jw", "token_set"))
+    monkeypatch.setattr(similarity, "all_scores", lambda *_: pytest.fail("scored again"))
+    again = similarity.remembered(a, b, ("jw", "token_set"))
+    assert all(first[k].tolist() == again[k].tolist() == pytest.approx(want[k]) for k in ("jw", "token_set"))
