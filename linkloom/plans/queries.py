@@ -427,7 +427,7 @@ def f_jaro_winkler(spark, d):
 
 @query
 def f_fuzz_ratios(spark, d):
-    scored = features.string_features(company_meet(spark, d))
+    scored = features.string_features(company_meet(spark, d), tuple(k for k in features.sim.KERNELS if k != "jw"))
     return scored.select("s1_id", "t_id", *(F.round(f, 6).alias(f) for f in features.STRING_FEATURES if not f.endswith("jw")))
 
 
