@@ -104,7 +104,7 @@ def test_shared_keys_rank_like_single_ones(monkeypatch):
             assert all(np.array_equal(x[order[0]], y[order[1]]) for x, y in zip(want, got))
 
 
-@pytest.mark.parametrize("name", ["f_country", "f_jaro_winkler", "f_key_ratio", "f_postal", "f_empty", "f_digits", "f_core_jaccard", "f_len_ratio", "f_jaccard", "f_fuzz_ratios", "f_overlap", "f_bigram"])
+@pytest.mark.parametrize("name", ["f_country", "f_jaro_winkler", "f_key_ratio", "f_postal", "f_empty", "f_digits", "f_core_jaccard", "f_len_ratio", "f_jaccard", "f_fuzz_ratios", "f_overlap", "f_bigram", "f05_macro"])
 def test_parts_beyond_the_shuffle_partitions(spark, monkeypatch, name):
     """Each part has a partition of its own, however many there are; lists are still read as they lie."""
     monkeypatch.setattr(blocking, "PART_RECORDS", 10)
