@@ -133,3 +133,19 @@ def test_only_asked_scores_are_computed(monkeypatch):
     monkeypatch.setattr(similarity, "all_scores", lambda *_: pytest.fail("scored again"))
     again = similarity.remembered(a, b, ("jw", "token_set"))
     assert all(first[k].tolist() == again[k].tolist() == pytest.approx(want[k]) for k in ("jw", "token_set"))
+
+
+def test_told_hits_are_counted_without_a_shuffle_of_pairs(spark):
+    """Counts by told hits equal those by joined truth, with repeated truth, records without truth, without pairs and unknown ones; f05_macro uses them."""
+    truth = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("b", "1"), ("x", "1")], "s1_id string, t_id string")
+    found = spark.createDataFrame([("a", "1", 1), ("a", "3", 0), ("c", "1", 0), ("c", "2", 0)], "s1_id string, t_id string, hit int")
+    s1 = spark.createDataFrame([(x,) for x in "abcd"], "s1_id string")
+    want, got = (sorted(map(tuple, metrics.record_counts(s1, truth, f).collect())) for f in (found.drop("hit"), found))
+    assert got == want == [("a", 2, 2, 1), ("b", 1, 0, 0), ("c", 0, 2, 0), ("d", 0, 0, 0)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES["f05_macro"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.find("Generate explode(arrays_zip")]
+    assert "hit" in above and not [x for x in above.splitlines() if "Exchange hashpartitioning(s1_id" in x and "t_id" in x.split("plan_id")[0]], above[:3000]
