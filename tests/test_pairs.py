@@ -152,7 +152,7 @@ def test_told_hits_are_counted_without_a_shuffle_of_pairs(spark):
 
 
 #: Queries whose lists are written before their features are made.
-LISTED = ["best_threshold", "f05_entity", "f_core_jaccard", "f_empty", "f_suffix", "f_country", "f_key_ratio", "f_postal", "f_state", "f_overlap", "f_digits", "f_jaccard", "f_len_ratio", "f_bigram", "f_jaro_winkler", "f05_macro", "f_fuzz_ratios", "infer_lists"]
+LISTED = ["best_threshold", "f05_entity", "f_core_jaccard", "f_empty", "f_suffix", "f_country", "f_key_ratio", "f_postal", "f_state", "f_overlap", "f_digits", "f_jaccard", "f_len_ratio", "f_bigram", "f_jaro_winkler", "f05_macro", "f_fuzz_ratios", "infer_lists", "error_buckets"]
 
 
 @pytest.mark.parametrize("name", LISTED)
