@@ -184,3 +184,31 @@ def test_features_records_are_not_sent_through_the_driver(spark):
     """Which records a part needs is joined by sorting, in small tables too."""
     plan = queries.QUERIES["f_empty"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan, plan[:3000]
+
+
+def test_infer_lists_writes_only_pairs_that_train(spark, monkeypatch):
+    """infer_lists features all pairs where they are scored: none is shuffled, sent through the driver or written but those that train. Its lists are those of written pairs."""
+    from linkloom.operators import labels, model, output
+    from linkloom.sources import projections
+
+    cfg = LinkConfig(top_m=5, train_share=50, val_share=30, rounds=10)
+    monkeypatch.setattr(queries, "CFG", cfg)
+    made, written, train = {}, [], link.train_lists
+    monkeypatch.setattr(link, "train_lists", lambda lists, *a: made.update(lists=lists, p=a[0], model=train(lists, *a)) or made["model"])
+    for module in (queries, link):
+        monkeypatch.setattr(module, "materialise", lambda df, *a, f=module.materialise: written.append(f(df, *a)) or written[-1])
+    found = queries.QUERIES["infer_lists"](spark, SMALL)
+    assert written and not [w for w in written if w.where(labels.split_of(F.col("s1_id"), cfg) == "rest").count()]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan[:3000]
+    above = plan[: plan.find("Generate explode(arrays_zip")]
+    assert not [x for x in above.splitlines() if "Exchange" in x and "t_id" in x.split("plan_id")[0].replace("collect_set(t_id", "")], above[:3000]
+    rows, truth = link.featured(made["p"], cfg).cache(), projections.company_truth(spark, SMALL)
+    fitted, threshold = made["model"]
+    listed, matched = link.infer(projections.company_records(spark, SMALL), fitted, threshold, cfg, pairs=rows)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, listed.join(matched, "source1_entity_id").collect()))
+    told = {(r.s1_id, r.t_id): r.label for r in written[0].collect()}
+    wanted = labels.label_pairs(rows, truth, cfg).where("split <> 'rest'").collect()
+    assert told == {(r.s1_id, r.t_id): r.label for r in wanted} and 0 < sum(told.values()) < len(told)
+    assert metrics.macro_f05(metrics.record_counts(link.source_ids(made["p"].records), truth, output.matches(model.predict(fitted, rows), threshold))).first().macro_f05 > 0.9
+    rows.unpersist()
