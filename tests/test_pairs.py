@@ -37,6 +37,16 @@ def test_ranked_pairs_equal_joined_ones(spark):
     assert got == {f"S1-{i}": best[f"S1-{i}"][:7] for i in range(6)} | {"S1-none": []}
 
 
+def test_postings_go_to_python_with_empty_lists(spark, monkeypatch):
+    """Null lists make Spark go over those at a batch's end again for each row that it sends; postings have none, and all of them are sent. Pairs are unfolded by place, not from zipped objects."""
+    sent, send = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *a: sent.append(df) or send(df, *a))
+    plan = queries.QUERIES["key_score"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    postings = sent[0].where("s1_id IS NULL")
+    assert len(sent) == 1 and postings.count() and not postings.where("probes IS NULL OR carried IS NULL OR t_id IS NULL").count()
+    assert "arrays_zip" not in plan, plan[:3000]
+
+
 def test_recall_of_lists(spark):
     """True pairs that are no candidates, and those of records without keys, count as missed."""
     rows = [(1, "S1-1", "alpha beta", "", ""), (1, "S1-2", "", "", ""), (2, "S2-1", "alpha gamma", "", ""), (2, "S2-2", "delta", "", "")]
