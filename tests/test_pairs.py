@@ -47,6 +47,45 @@ def test_postings_go_to_python_with_empty_lists(spark, monkeypatch):
     assert "arrays_zip" not in plan, plan[:3000]
 
 
+def test_pairs_by_place_are_all_pairs(monkeypatch):
+    """Pairs that share their ids' lists are those of each record alone, bit for bit: cut inside records, over two parts, with records without pairs and shared bounds."""
+    import numpy as np
+    import pyarrow as pa
+
+    from linkloom.functions import ranking
+
+    monkeypatch.setattr(ranking, "PAIR_ROWS", 7)
+    rng = np.random.default_rng(5)
+    probes = pa.list_(pa.struct([("key_id", pa.int64()), ("df", pa.int64())]))
+    schema = pa.schema([("part", pa.int32()), ("key_id", pa.int64()), ("t_id", pa.string()), ("s1_id", pa.string()), ("probes", probes), ("carried", pa.list_(pa.string()))])
+    rows, want = [], {least: [] for least in (1, 2)}
+    for part in (4, 2):
+        lists = [np.sort(rng.choice(30, n, replace=False)) for n in (1, 2, 3, 9, 20)]
+        index = ranking.Postings([np.full(len(x), k) for k, x in enumerate(lists)], [pa.array([f"S2-{t}" for t in x], pa.string()) for x in lists])
+        rows += [(part, k, f"S2-{t}", None, [], []) for k, x in enumerate(lists) for t in x]
+        for i in range(20):
+            own = np.sort(rng.choice(5, rng.integers(0, 5), replace=False))
+            df = np.array([len(lists[k]) for k in own], np.int64)
+            rows.append((part, None, None, f"S1-{part}-{i}", [{"key_id": int(k), "df": int(n)} for k, n in zip(own, df)], None))
+            for least, all_of in want.items():
+                at, score, count = index.pairs(own, df, 60, None, None, least)
+                all_of += zip([f"S1-{part}-{i}"] * len(at), index.ids.take(pa.array(at)).to_pylist(), score.tolist(), count.tolist())
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i : i + 50]], schema) for i in range(0, len(rows), 50)]
+    for least, counted in ((1, False), (1, True), (2, False), (2, True)):
+        got = []
+        for row in (r for b in ranking.paired(iter(batches), 60, least, counted) for r in b.to_pylist()):
+            assert len(set(row["t_ids"])) == len(row["t_ids"]) and len(row["places"]) < 14
+            made = [row["scores"], row["counts"]] if counted else [row["scores"]]
+            got += [(row["s1_ids"][p >> 32], row["t_ids"][p & 0xFFFFFFFF], *x) for p, *x in zip(row["places"], *made)]
+        assert sorted(got) == sorted(x[: 3 + counted] for x in want[least]) and got
+
+
+def test_key_score_asks_for_no_counts(spark):
+    """Shared keys are neither counted nor sent where only scores are asked for."""
+    counts = lambda name: "counts#" in queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert counts("shared_count") and not counts("key_score")
+
+
 def test_recall_of_lists(spark):
     """True pairs that are no candidates, and those of records without keys, count as missed."""
     rows = [(1, "S1-1", "alpha beta", "", ""), (1, "S1-2", "", "", ""), (2, "S2-1", "alpha gamma", "", ""), (2, "S2-2", "delta", "", "")]
